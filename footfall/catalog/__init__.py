@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("behaviour",)
+AREAS = ("behaviour", "ranking")
 
 
 def load() -> None:

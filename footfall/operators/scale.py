@@ -73,6 +73,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def lookup_join(left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
+    """Join a table with one row per key: broadcast when counted small, split hot keys otherwise."""
+    if small_enough(table, max_rows):
+        return left.join(F.broadcast(table), list(on), how)
+    return spread_join(left, table, on, how)
+
+
 def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """``df`` in range partitions, frozen, with partition number and position inside the partition."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
