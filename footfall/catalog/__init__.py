@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("behaviour", "ranking")
+AREAS = ("behaviour", "ranking", "cleaning", "social")
 
 
 def load() -> None:

@@ -120,7 +120,7 @@ def critic_penalty(tag, user_rating, venue_rating, lam: float = 0.20) -> Column:
 def tokens(text, sep: str = ",") -> Column:
     """Trimmed non-empty parts of a separated list; NULL gives an empty array."""
     parts = F.split(F.coalesce(_c(text), F.lit("")), sep)
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def token_jaccard(a: Column, b: Column) -> Column:

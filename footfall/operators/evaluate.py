@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.scalar import ratio
 from footfall.operators.events import overlap_users
-from footfall.operators.scale import attach, best_row, lookup_join, scalar, top_k
+from footfall.operators.scale import attach, lookup_join, scalar, top_k
 from footfall.operators.stats import bootstrap_ci, rows, spearman, wilcoxon
 
 KS = (5, 10, 20)
@@ -227,7 +227,12 @@ def authenticity(answers: DataFrame, signals: dict[str, Sequence[str]], segment:
     """Share per segment of rows with at least ``need`` answers naming one of the segment's signal words."""
     table = F.create_map(*[x for k, ws in signals.items() for x in (F.lit(k), F.array(*[F.lit(w.lower()) for w in ws]))])
     words = F.coalesce(F.try_element_at(table, F.col(segment)), F.array().cast("array<string>"))
-    hits = sum((F.exists(words, lambda w, c=c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), w)).cast("int") for c in columns), F.lit(0))
+
+    def named(column):
+        said = F.lower(F.coalesce(F.col(column), F.lit("")))
+        return F.exists(words, lambda w: F.contains(said, w)).cast("int")
+
+    hits = sum((named(c) for c in columns), F.lit(0))
     marked = answers.withColumn("authentic", (hits >= need).cast("int"))
     return marked.groupBy(segment).agg(F.avg("authentic").alias("share"), F.sum("authentic").alias("n_authentic"), rows().alias("n"))
 
