@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("behaviour", "ranking", "cleaning", "social")
+AREAS = ("behaviour", "ranking", "cleaning", "social", "models", "restaurants", "study")
 
 
 def load() -> None:

@@ -223,18 +223,24 @@ def metrics_by_sets(ballots: DataFrame, sets: Sequence[Sequence[str]], measures:
     return out.withColumn("level", level).drop("_g")
 
 
-def authenticity(answers: DataFrame, signals: dict[str, Sequence[str]], segment: str, columns: Sequence[str], need: int = 2) -> DataFrame:
-    """Share per segment of rows with at least ``need`` answers naming one of the segment's signal words."""
-    table = F.create_map(*[x for k, ws in signals.items() for x in (F.lit(k), F.array(*[F.lit(w.lower()) for w in ws]))])
-    words = F.coalesce(F.try_element_at(table, F.col(segment)), F.array().cast("array<string>"))
+def authenticity(
+    answers: DataFrame, signals: dict[str, Sequence[Sequence[str]]], segment: str, columns: Sequence[str], need: int = 2
+) -> DataFrame:
+    """Share per segment of rows whose answers name, for at least ``need`` questions, one of the words expected from
+    the segment there (``signals``: segment -> one word list per question). Unknown segments have no words."""
 
-    def named(column):
+    def named(i, column):
+        lists = [(k, per[i]) for k, per in signals.items() if i < len(per)]
+        table = F.create_map(*[x for k, ws in lists for x in (F.lit(k), F.array(*[F.lit(w.lower()) for w in ws]))])
+        words = F.coalesce(F.try_element_at(table, F.col(segment)), F.array().cast("array<string>"))
         said = F.lower(F.coalesce(F.col(column), F.lit("")))
         return F.exists(words, lambda w: F.contains(said, w)).cast("int")
 
-    hits = sum((named(c) for c in columns), F.lit(0))
+    hits = sum((named(i, c) for i, c in enumerate(columns)), F.lit(0))
     marked = answers.withColumn("authentic", (hits >= need).cast("int"))
-    return marked.groupBy(segment).agg(F.avg("authentic").alias("share"), F.sum("authentic").alias("n_authentic"), rows().alias("n"))
+    return marked.groupBy(segment).agg(
+        F.avg("authentic").alias("share"), F.sum("authentic").alias("n_authentic"), rows().alias("n")
+    )
 
 
 # ---------------------------------------------------------------- method tables

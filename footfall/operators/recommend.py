@@ -120,12 +120,12 @@ def blend_weights(df: DataFrame, columns: Sequence[str] = OBJECTIVES, prior: Seq
     return df.withColumns({f"w_{c}": F.when(total > 0, mixed[c] / total).otherwise(F.lit(p)) for c, p in zip(columns, prior)})
 
 
-def weighted_top(df: DataFrame, k: int = 100, columns: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """Keep each user's ``k`` best candidates by weighted score, best first."""
+def weighted_top(df: DataFrame, k: int = 100, columns: Sequence[str] = OBJECTIVES, decimals: int = 9) -> DataFrame:
+    """Keep each user's ``k`` best candidates by weighted score, best first. Rounding keeps equal scores tied."""
     def with_score(x):
         score = reduce(lambda a, b: a + b, [F.col(f"w_{c}") * x[c] for c in columns])
         # The order key comes first: highest score, then venue id.
-        return F.struct((-score).alias("neg"), x["business_id"].alias("business_id"), x.alias("x"))
+        return F.struct((-F.round(score, decimals)).alias("neg"), x["business_id"].alias("business_id"), x.alias("x"))
 
     ranked = F.slice(F.sort_array(F.transform("cands", with_score)), 1, k)
     return df.withColumn("cands", ranked)

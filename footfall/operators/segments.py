@@ -176,27 +176,38 @@ def pca(df: DataFrame, columns: Sequence[str], n: int = 2):
     return out.select(*df.columns, *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(n)]), list(model.explainedVariance)
 
 
-def name_segments_by_rules(clustered: DataFrame) -> DataFrame:
-    """Name the coffee clusters by their means; repeated names get a running suffix."""
+def name_coffee_clusters(clustered: DataFrame) -> DataFrame:
+    """Describe each cluster by its mean revisit ratio, number of venues and gap between visits."""
     means = clustered.groupBy("cluster").agg(
-        F.avg("revisit_ratio").alias("r"), F.avg("total_visits").alias("n"), F.avg("weekday_ratio").alias("w")
+        F.avg("revisit_ratio").alias("r"), F.avg("unique_venues").alias("u"), F.avg("avg_time_gap_days").alias("g")
     )
     name = (
-        F.when(F.col("r") > 0.3, F.lit("Loyalists"))
-        .when(F.col("n") <= 2, F.lit("Infrequent Visitors"))
-        .when(F.col("w") > 0.7, F.lit("Weekday Regulars"))
-        .otherwise(F.lit("Casual Weekenders"))
+        F.when((F.col("r") > 0.3) & (F.col("u") < 3), F.lit("High-persistence, low-exploration (Loyalist)"))
+        .when((F.col("r") < 0.15) & (F.col("u") > 5), F.lit("Low-persistence, high-exploration (Explorer)"))
+        .when(F.col("g") < 30, F.lit("Frequent, regular visitor (Routine)"))
+        .otherwise(F.lit("Moderate engagement (Casual)"))
     )
-    return clustered.join(F.broadcast(suffix_repeats(means.select("cluster", name.alias("segment")))), "cluster")
+    # One row per cluster.
+    return clustered.join(F.broadcast(means.select("cluster", name.alias("segment"))), "cluster")
 
 
-def suffix_repeats(names: DataFrame, key: str = "cluster", label: str = "segment") -> DataFrame:
-    """Second and later uses of a label get ' (2)', ' (3)' ... in key order; one row per cluster."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(key))
-    marked = names.withColumn("_i", place)
-    return marked.withColumn(
-        label, F.when(F.col("_i") > 1, F.concat(F.col(label), F.lit(" ("), F.col("_i").cast("string"), F.lit(")"))).otherwise(F.col(label))
-    ).drop("_i")
+def name_hotel_clusters(clustered: DataFrame) -> DataFrame:
+    """Name the guest clusters by their means; a repeated name is told apart by its weekday share."""
+    cols = ("hotel_frequency", "n_states_visited", "weekday_fraction", "hotel_city_diversity", "total_hotel_reviews")
+    means = clustered.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in cols])
+    name = (
+        F.when((F.col("hotel_frequency") > 1.5) & (F.col("n_states_visited") > 3) & (F.col("weekday_fraction") > 0.6), F.lit("Road Warriors"))
+        .when((F.col("weekday_fraction") < 0.55) & (F.col("hotel_frequency") < 2.0), F.lit("Leisure Travelers"))
+        .when((F.col("hotel_city_diversity") > 1.0) & (F.col("total_hotel_reviews") > 3), F.lit("Budget Explorers"))
+        .otherwise(F.lit("One-Time Tourists"))
+    )
+    typical = means.agg(F.avg("weekday_fraction").alias("m")).scalar()
+    named = means.select("cluster", name.alias("segment"), (F.col("weekday_fraction") > typical).alias("_work"))
+    again = F.row_number().over(Window.partitionBy("segment").orderBy("cluster")) > 1
+    suffix = F.when(again, F.when(F.col("_work"), F.lit(" (Business)")).otherwise(F.lit(" (Leisure)"))).otherwise(F.lit(""))
+    named = named.withColumn("segment", F.concat("segment", suffix)).drop("_work")
+    # One row per cluster.
+    return clustered.join(F.broadcast(named), "cluster")
 
 
 def name_segments_by_peak(clustered: DataFrame, peaks: Sequence[tuple[str, str]], other: str = "Mixed / Average") -> DataFrame:
