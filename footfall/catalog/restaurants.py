@@ -167,8 +167,7 @@ view(
     "candidate_objectives", "R1 R2 R3 J14 F9 F10 F11 F12", "SELECT user_id, business_id, u_beh, c_mob, r_ctx FROM objective_rows", rnd="u_beh c_mob r_ctx", digits=5
 )
 def _(v):
-    scored = rec.objectives(tagged(v), popular(v))
-    return scored.select("user_id", F.inline("cands")).select("user_id", "business_id", "u_beh", "c_mob", "r_ctx")
+    return rec.objectives(tagged(v), popular(v)).select("user_id", "business_id", "u_beh", "c_mob", "r_ctx")
 
 
 def _weights_sql() -> str:
@@ -187,7 +186,7 @@ view("objective_weights", _weights_sql())
 @query("objective_weights", "R4 R5", "SELECT * FROM objective_weights", rnd="w_u_beh w_c_mob w_r_ctx")
 def _(v):
     out = rec.blend_weights(rec.entropy_weights(rec.objectives(tagged(v), popular(v))))
-    return out.select("user_id", "w_u_beh", "w_c_mob", "w_r_ctx")
+    return out.groupBy("user_id").agg(*[F.max(c).alias(c) for c in ("w_u_beh", "w_c_mob", "w_r_ctx")])
 
 
 view(
@@ -197,20 +196,20 @@ view(
 )
 
 
-@query("scored_candidates", "R6 W4", "SELECT user_id, business_id, CAST(rank AS INT) AS rank, score FROM scored_candidates WHERE rank <= 10", rnd="score")
+@query("scored_candidates", "R6 W4", "SELECT user_id, business_id, rank, score FROM scored_candidates WHERE rank <= 10", rnd="score")
 def _(v):
-    return rec.flatten(rec.score_candidates(tagged(v), popular(v), keep=10)).select("user_id", "business_id", "rank", "score")
+    return rec.score_candidates(tagged(v), popular(v), keep=10).select("user_id", "business_id", "rank", "score")
 
 
 @query("mean_objective_weights", "A48", "SELECT avg(w_u_beh) AS w_u_beh, avg(w_c_mob) AS w_c_mob, avg(w_r_ctx) AS w_r_ctx FROM objective_weights", rnd="w_u_beh w_c_mob w_r_ctx")
 def _(v):
-    return rec.mean_weights(rec.flatten(rec.score_candidates(tagged(v), popular(v), keep=5)))
+    return rec.mean_weights(rec.score_candidates(tagged(v), popular(v), keep=5))
 
 
 @query("diverse_recommendations", "R7 U7")
 def _(v):
     """Twenty recommendations per user, re-ranked for diversity."""
-    return rec.flatten(rec.diversify(rec.score_candidates(tagged(v), popular(v))))
+    return rec.diversify(rec.score_candidates(tagged(v), popular(v)))
 
 
 @query("category_jaccard", "U7",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalar import (
-    clip,
     contains_any,
     context_score,
     critic_penalty,
@@ -65,52 +64,47 @@ def top_venues(venues: DataFrame, n: int = 5000) -> Column:
 
 
 def objectives(users: DataFrame, venues: DataFrame, n_venues: int = 5000) -> DataFrame:
-    """Per user one array ``cands`` of scored candidate venues.
+    """One row per user and candidate venue with the three objectives.
 
-    The bounded venue list is carried as a value, so every user is scored inside its own row: no join, no shuffle.
+    The bounded venue list is carried to the users as a value and unfolded there. Users are spread by id first, so
+    everything per user that follows stays in place: the candidate rows themselves are never shuffled.
     ``users`` needs user_id, centroid_lat/lon, avg_visited_rating, spatial_range_km, parking_sensitivity, archetype,
     critic_tag.
     """
-    u = {c: F.col(c) for c in ("avg_visited_rating", "critic_tag", "archetype", "parking_sensitivity", "spatial_range_km")}
-
-    def score(v):
-        dist = haversine_km(F.col("centroid_lat"), F.col("centroid_lon"), v["latitude"], v["longitude"])
-        return F.struct(
-            v["business_id"].alias("business_id"),
-            v["latitude"].alias("latitude"),
-            v["longitude"].alias("longitude"),
-            v["cuisine_categories"].alias("categories"),
-            v["avg_rating"].alias("avg_rating"),
-            base_utility(v["popularity"], v["repeat_user_rate"]).alias("base"),
-            (base_utility(v["popularity"], v["repeat_user_rate"]) * critic_penalty(u["critic_tag"], u["avg_visited_rating"], v["avg_rating"])).alias("u_beh"),
-            mobility(dist, u["spatial_range_km"], v["parking_score"], v["transit_access_score"], u["parking_sensitivity"], u["archetype"], v["night"]).alias("c_mob"),
-            context_score(v["peak_busyness"], v["avg_rating"], u["avg_visited_rating"]).alias("r_ctx"),
-        )
-
-    listed = users.select("user_id", *u, "centroid_lat", "centroid_lon").withColumn("venues", top_venues(venues, n_venues))
-    return listed.select("user_id", F.transform("venues", score).alias("cands"))
-
-
-def _total(items, term) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + term(x))
+    cols = ["user_id", "centroid_lat", "centroid_lon", "avg_visited_rating", "critic_tag", "archetype", "parking_sensitivity", "spatial_range_km"]
+    spread = users.select(*cols).repartition("user_id")
+    met = spread.withColumn("v", F.explode(top_venues(venues, n_venues))).select(*cols, "v.*")
+    met = met.withColumn("dist_km", haversine_km("centroid_lat", "centroid_lon", "latitude", "longitude"))
+    met = met.withColumn("base", base_utility(F.col("popularity"), F.col("repeat_user_rate")))
+    reach = mobility(
+        F.col("dist_km"), F.col("spatial_range_km"), F.col("parking_score"), F.col("transit_access_score"),
+        F.col("parking_sensitivity"), F.col("archetype"), F.col("night"),
+    )
+    return met.select(
+        "user_id", "business_id", "latitude", "longitude", F.col("cuisine_categories").alias("categories"), "avg_rating", "base",
+        (F.col("base") * critic_penalty("critic_tag", "avg_visited_rating", "avg_rating")).alias("u_beh"),
+        reach.alias("c_mob"),
+        context_score("peak_busyness", "avg_rating", "avg_visited_rating").alias("r_ctx"),
+    )
 
 
-def entropy_weights(scored: DataFrame, columns: Sequence[str] = OBJECTIVES, shift: float = 1e-6) -> DataFrame:
+def entropy_weights(scored: DataFrame, columns: Sequence[str] = OBJECTIVES, by: Sequence[str] = ("user_id",), shift: float = 1e-6) -> DataFrame:
     """Entropy weight of each objective over a user's candidates: even columns say little, uneven ones much."""
-    m = len(columns)
-    sums = scored.withColumns({f"_s_{c}": _total("cands", lambda x, c=c: x[c] + shift) for c in columns})
-    n = F.size("cands").cast("double")
+    from pyspark.sql import Window
+
+    per = Window.partitionBy(*by)
+    out = scored.withColumns({f"_s_{c}": F.sum(F.col(c) + shift).over(per) for c in columns} | {"_n": F.count(F.lit(1)).over(per)})
 
-    def spread(c):
-        total = F.when(F.col(f"_s_{c}") == 0, F.lit(1e-12)).otherwise(F.col(f"_s_{c}"))
-        h = -_total("cands", lambda x: (x[c] + shift) / total * F.log((x[c] + shift) / total + 1e-12))
-        return 1 - h / F.log(n)
+    def term(c):
+        p = (F.col(c) + shift) / F.when(F.col(f"_s_{c}") == 0, F.lit(1e-12)).otherwise(F.col(f"_s_{c}"))
+        return p * F.log(p + 1e-12)
 
-    out = sums.withColumns({f"_d_{c}": F.when(n > 1, spread(c)) for c in columns})
-    all_d = reduce(lambda a, b: a + b, [F.col(f"_d_{c}") for c in columns])
-    even = F.lit(1.0 / m)
-    out = out.withColumns({f"w_{c}": F.coalesce(F.try_divide(F.col(f"_d_{c}"), F.nullif(all_d, F.lit(0.0))), even) for c in columns})
-    return out.drop(*[f"_s_{c}" for c in columns], *[f"_d_{c}" for c in columns])
+    spread = {f"_d_{c}": F.when(F.col("_n") > 1, 1 + F.try_divide(F.sum(term(c)).over(per), F.log("_n"))) for c in columns}
+    out = out.withColumns(spread)
+    total = reduce(lambda a, b: a + b, [F.col(f"_d_{c}") for c in columns])
+    even = F.lit(1.0 / len(columns))
+    out = out.withColumns({f"w_{c}": F.coalesce(F.try_divide(F.col(f"_d_{c}"), F.nullif(total, F.lit(0.0))), even) for c in columns})
+    return out.drop("_n", *[f"_s_{c}" for c in columns], *[f"_d_{c}" for c in columns])
 
 
 def blend_weights(df: DataFrame, columns: Sequence[str] = OBJECTIVES, prior: Sequence[float] = PRIOR_WEIGHTS, share: float = ADAPTIVE_SHARE) -> DataFrame:
@@ -121,53 +115,37 @@ def blend_weights(df: DataFrame, columns: Sequence[str] = OBJECTIVES, prior: Seq
 
 
 def weighted_top(df: DataFrame, k: int = 100, columns: Sequence[str] = OBJECTIVES, decimals: int = 9) -> DataFrame:
-    """Keep each user's ``k`` best candidates by weighted score, best first. Rounding keeps equal scores tied."""
-    def with_score(x):
-        score = reduce(lambda a, b: a + b, [F.col(f"w_{c}") * x[c] for c in columns])
-        # The order key comes first: highest score, then venue id.
-        return F.struct((-F.round(score, decimals)).alias("neg"), x["business_id"].alias("business_id"), x.alias("x"))
-
-    ranked = F.slice(F.sort_array(F.transform("cands", with_score)), 1, k)
-    return df.withColumn("cands", ranked)
-
-
-def flatten(df: DataFrame, columns: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """One row per kept candidate with rank, score, objectives and weights."""
-    out = df.select("user_id", *[f"w_{c}" for c in columns], F.posexplode("cands").alias("pos", "c"))
-    return out.select(
-        "user_id", F.col("c.business_id"), (F.col("pos") + 1).alias("rank"), (-F.col("c.neg")).alias("score"),
-        *[F.col(f"c.x.{c}").alias(c) for c in columns], *[f"w_{c}" for c in columns],
-    )
+    """Each user's ``k`` best candidates by weighted score with their rank. Rounding keeps equal scores tied."""
+    score = reduce(lambda a, b: a + b, [F.col(f"w_{c}") * F.col(c) for c in columns])
+    scored = df.withColumn("score", F.round(score, decimals))
+    return top_k(scored, k, [F.col("score").desc(), F.col("business_id")], ["user_id"], "rank")
 
 
 def score_candidates(users: DataFrame, venues: DataFrame, n_venues: int = 5000, keep: int = 100) -> DataFrame:
-    """Objectives, entropy weights, blend and the best ``keep`` candidates: one narrow pass over the users."""
+    """Objectives, entropy weights, blend and the best ``keep`` candidates per user."""
     return weighted_top(blend_weights(entropy_weights(objectives(users, venues, n_venues))), keep)
 
 
-def _mmr_order(cands: Sequence[dict], k: int, lam: float) -> list[int]:
-    """Greedy order trading score against likeness to what is already chosen; likeness of each candidate to the
-    chosen set is kept as a running maximum."""
+def mmr_order(pdf: pd.DataFrame, k: int, lam: float) -> list[int]:
+    """Greedy order of a user's few candidates (best score first), trading score against likeness to what is
+    already chosen; the likeness of each candidate to the chosen set is kept as a running maximum."""
     import numpy as np
 
-    n = len(cands)
-    score = np.array([-c["neg"] for c in cands])
-    lat = np.radians([c["x"]["latitude"] for c in cands])
-    lon = np.radians([c["x"]["longitude"] for c in cands])
-    kinds = [set((c["x"]["categories"] or "").split(", ")) for c in cands]
-    vocabulary = {t: i for i, t in enumerate(sorted(set().union(*kinds)))} if n else {}
-    has = np.zeros((n, len(vocabulary)))
+    n = len(pdf)
+    score = pdf["score"].to_numpy(dtype=float)
+    lat, lon = np.radians(pdf["latitude"].to_numpy(dtype=float)), np.radians(pdf["longitude"].to_numpy(dtype=float))
+    kinds = [set((c or "").split(", ")) for c in pdf["categories"]]
+    place = {t: i for i, t in enumerate(sorted(set().union(*kinds)))}
+    has = np.zeros((n, len(place)))
     for i, ks in enumerate(kinds):
-        has[i, [vocabulary[t] for t in ks]] = 1.0
+        has[i, [place[t] for t in ks]] = 1.0
     size = has.sum(axis=1)
-    like = np.zeros(n)
-    open_ = np.ones(n, dtype=bool)
-    order: list[int] = []
+    like, waiting, order = np.zeros(n), np.ones(n, dtype=bool), []
     while len(order) < min(k, n):
         gain = score if not order else lam * score - (1 - lam) * like
-        pick = int(np.argmax(np.where(open_, gain, -np.inf)))
+        pick = int(np.argmax(np.where(waiting, gain, -np.inf)))
         order.append(pick)
-        open_[pick] = False
+        waiting[pick] = False
         common = has @ has[pick]
         half = np.sin((lat - lat[pick]) / 2) ** 2 + np.cos(lat) * np.cos(lat[pick]) * np.sin((lon - lon[pick]) / 2) ** 2
         km = 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(half, 0, 1)))
@@ -177,16 +155,15 @@ def _mmr_order(cands: Sequence[dict], k: int, lam: float) -> list[int]:
 
 
 def diversify(df: DataFrame, k: int = 20, lam: float = 0.7) -> DataFrame:
-    """Re-rank each user's kept candidates for diversity. Candidates travel inside the user's row, so the greedy
-    choice needs no grouping and no shuffle."""
-    schema = df.schema
+    """Re-rank each user's kept candidates (a bounded handful, from :func:`weighted_top`) for diversity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["cands"] = [[c[i] for i in _mmr_order(c, k, lam)] for c in map(list, pdf["cands"])]
-            yield pdf
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", ignore_index=True)
+        out = pdf.iloc[mmr_order(pdf, k, lam)].reset_index(drop=True)
+        out["rank"] = range(1, len(out) + 1)
+        return out
 
-    return df.mapInPandas(run, schema)
+    return df.groupBy("user_id").applyInPandas(run, df.schema)
 
 
 def mean_weights(recommended: DataFrame, columns: Sequence[str] = OBJECTIVES) -> DataFrame:
@@ -206,33 +183,28 @@ def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Se
     wb, wm, wc = weights
     scored = objectives(users, venues, n_venues)
 
-    def variant(kind, x):
-        mob = F.lit(1.0) if kind == "No Mobility (C_mob)" else x["c_mob"]
-        ctx = F.lit(1.0) if kind == "No Context (R_ctx)" else x["r_ctx"]
-        beh = x["base"] if kind == "No Critic Penalty" else x["u_beh"]
-        return {
-            "Popularity": x["base"],
-            "Rating": x["avg_rating"].cast("double"),
-            "Random": portable_hash(F.lit(str(seed)), F.col("user_id").cast("string"), x["business_id"].cast("string")) / F.lit(4294967296.0),
-        }.get(kind, wb * beh + wm * mob + wc * ctx)
-
-    def best(kind):
+    def variant(kind):
+        mob = F.lit(1.0) if kind == "No Mobility (C_mob)" else F.col("c_mob")
+        ctx = F.lit(1.0) if kind == "No Context (R_ctx)" else F.col("r_ctx")
+        beh = F.col("base") if kind == "No Critic Penalty" else F.col("u_beh")
+        fixed = {
+            "Popularity": F.col("base"),
+            "Rating": F.col("avg_rating").cast("double"),
+            "Random": portable_hash(F.lit(str(seed)), F.col("user_id").cast("string"), F.col("business_id").cast("string")) / F.lit(4294967296.0),
+        }
         # Rounded so that equal sums in another order stay ties, decided by venue id.
-        rows = F.transform("cands", lambda x: F.struct((-F.round(variant(kind, x), 9)).alias("neg"), x["business_id"].alias("business_id")))
-        return F.transform(F.slice(F.sort_array(rows), 1, max(ks)), lambda r: r["business_id"])
-
-    lists = scored.select(
-        "user_id",
-        F.transform("cands", lambda x: x["business_id"]).alias("all"),
-        F.explode(F.array(*[F.struct(F.lit(kind).alias("method"), best(kind).alias("top")) for kind in kinds])).alias("m"),
-    ).select("user_id", "m.method", F.posexplode("m.top").alias("pos", "business_id"))
+        return F.round(fixed.get(kind, wb * beh + wm * mob + wc * ctx), 9)
+
+    kinds_of = F.array(*[F.struct(F.lit(kind).alias("method"), variant(kind).alias("score")) for kind in kinds])
+    every = scored.select("user_id", "business_id", F.explode(kinds_of).alias("m")).select("user_id", "business_id", "m.method", "m.score")
+    lists = top_k(every, max(ks), [F.col("score").desc(), F.col("business_id")], ["user_id", "method"], "position")
     pool = scored_pool(venues, n_venues)
     future = test_pairs.join(F.broadcast(pool), "business_id", "left_semi")
     relevant = future.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     marked = (
         lists.join(relevant, "user_id")
         .join(future.withColumn("rel", F.lit(1)), ["user_id", "business_id"], "left")
-        .select("method", "user_id", (F.col("pos") + 1).alias("position"), F.coalesce("rel", F.lit(0)).alias("rel"), "n_relevant")
+        .select("method", "user_id", "position", F.coalesce("rel", F.lit(0)).alias("rel"), "n_relevant")
     )
     return mean_metrics(user_metrics(marked, ["method"], ks, ideal="slice"), ["method"], ks)
 
