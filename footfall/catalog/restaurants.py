@@ -323,8 +323,8 @@ def requests(v):
 @query(
     "serve_requests", "T9 F1",
     f"""WITH m AS (SELECT r.*, v.business_id, v.stars AS score, {hav('r.ref_lat', 'r.ref_lon', 'v.latitude', 'v.longitude', '6371.0')} AS distance_km FROM requests r JOIN businesses v ON r.city = v.city),
-n AS (SELECT *, distance_km <= radius_km AS near, bool_or(distance_km <= radius_km) OVER (PARTITION BY request_id) AS some FROM m),
-p AS (SELECT request_id, business_id, distance_km, score, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN some THEN -score ELSE distance_km END, business_id) AS place, NOT some AS fallback FROM n WHERE near OR NOT some)
+n AS (SELECT *, distance_km <= radius_km AS near, bool_or(distance_km <= radius_km) OVER (PARTITION BY request_id) AS found FROM m),
+p AS (SELECT request_id, business_id, distance_km, score, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN found THEN -score ELSE distance_km END, business_id) AS place, NOT found AS fallback FROM n WHERE near OR NOT found)
 SELECT * FROM p WHERE place <= 3""", rnd="distance_km score", digits=4,
 )
 def _(v):

@@ -252,19 +252,22 @@ def rank_mode(df: DataFrame, mode: str, segment_scores: DataFrame | None = None,
 def serve(venues: DataFrame, requests: DataFrame, score: str = "score") -> DataFrame:
     """Top k per request among its city's venues within the radius; the nearest k of the city when none is near.
 
-    ``requests``: request_id, city, ref_lat, ref_lon, radius_km, k (the same k bound for all rows is read from it).
+    ``requests``: request_id, city, ref_lat, ref_lon, radius_km, k.
     """
     km = haversine_km("ref_lat", "ref_lon", "latitude", "longitude")
     met = requests.join(venues, "city").withColumn("distance_km", km)
     near = met.where(F.col("distance_km") <= F.col("radius_km"))
-    k_max = 1000
-    inside = top_k(near, k_max, [F.col(score).desc(), F.col("business_id")], ["request_id"], "place")
+    from pyspark.sql import Window
+
+    def first(df: DataFrame, order: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("request_id").orderBy(order, F.col("business_id")))
+        return df.withColumn("place", place.cast("bigint")).where(F.col("place") <= F.col("k"))
+
+    inside = first(near, F.col(score).desc())
     lonely = requests.select("request_id").join(near.select("request_id"), "request_id", "left_anti")
-    fallback = top_k(
-        met.join(lonely, "request_id", "left_semi"), k_max, [F.col("distance_km").asc(), F.col("business_id")], ["request_id"], "place"
-    )
+    fallback = first(met.join(lonely, "request_id", "left_semi"), F.col("distance_km").asc())
     both = inside.withColumn("fallback", F.lit(False)).unionByName(fallback.withColumn("fallback", F.lit(True)))
-    return both.where(F.col("place") <= F.col("k")).select("request_id", "business_id", "distance_km", score, "place", "fallback")
+    return both.select("request_id", "business_id", "distance_km", score, "place", "fallback")
 
 
 # The measure each kind of visitor looks for.

@@ -220,7 +220,7 @@ def cohen_d(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
 def rank_biserial(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """(pairs a > b minus pairs a < b) / all pairs, from rank sums instead of all pairs."""
     by = list(by)
-    both = F.array(F.struct(F.lit(1).alias("is_a"), F.col(a).cast("double").alias("v")), F.struct(F.lit(0), F.col(b).cast("double")))
+    both = F.array(F.struct(F.lit(1).alias("is_a"), F.col(a).cast("double").alias("v")), F.struct(F.lit(0).alias("is_a"), F.col(b).cast("double").alias("v")))
     long = df.select(*by, F.explode(both).alias("x")).select(*by, "x.is_a", "x.v").where(F.col("v").isNotNull())
     hist = long.groupBy(*by, "v").agg(F.sum("is_a").alias("na"), rows().alias("c"))
     upto = running_total(hist, [F.col("v").asc()], ["c"], by)
