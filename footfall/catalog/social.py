@@ -15,7 +15,7 @@ from footfall.operators import recommend as rec
 from footfall.operators import text as tx
 
 
-@query("undirected_friends", "U3 S8", "SELECT * FROM social_edges")
+@query("undirected_friends", "U3", "SELECT * FROM social_edges")
 def _(v):
     return lk.undirected(v.friendships)
 
@@ -368,7 +368,7 @@ def _(v):
 
 @query("name_search", "V5 F15 F16")
 def _(v):
-    """Part names with a typo or a part of the name, searched among the nation and brand names."""
+    """Part names with a letter missing, searched among all part names."""
     p = v.raw("part")
     names = p.select(F.col("p_name").alias("name")).distinct()
     asked = p.select(F.col("p_partkey").alias("query_id"), F.expr("concat(substring(p_name, 1, 2), substring(p_name, 4, 100))").alias("query"))
