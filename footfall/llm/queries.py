@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import packing, simple8b
+from footfall.llm import chat, packing, simple8b, urls, warc
 from footfall.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,66 @@ def op1_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pack all documents into sequences of 1,024 ids."""
     return packing.pack_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+@query
+def op5_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive every page, index the archives and read each page's record back through the index."""
+    return warc.archive_and_read(table(spark, folder, "pages"))
+
+
+ORACLES["op5_warc_index"] = """
+WITH d AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest),
+j AS (SELECT d.*, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d LEFT JOIN f USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j"""
+
+
+@query
+def op6_chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Drop conversations that a longer one continues and render the others."""
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+ORACLES["op6_chat_snapshots"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+k AS (SELECT *, coalesce('=' || conv_id, '-' || row_number() OVER ()) AS conv FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position,
+ '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered FROM k),
+c AS (SELECT conv, any_value(conv_id) AS conv_id, count(*) AS n,
+ list(coalesce('=' || role, '-') || chr(1) || coalesce('=' || text, '-') ORDER BY position) AS l FROM p GROUP BY conv),
+gone AS (SELECT a.conv FROM c a JOIN c b ON a.l[1] = b.l[1] AND a.conv <> b.conv AND b.n >= a.n AND list_slice(b.l, 1, a.n) = a.l
+ WHERE b.n > a.n OR coalesce(b.conv_id < a.conv_id, b.conv_id IS NOT NULL))
+SELECT conv_id, position, role, rendered,
+ CAST(sum(length(rendered)) OVER (PARTITION BY conv ORDER BY position) - length(rendered) AS BIGINT) AS start,
+ CAST(length(rendered) AS BIGINT) AS n_chars, coalesce(role = 'assistant', false) AS trained
+FROM p WHERE conv NOT IN (SELECT conv FROM gone)"""
+
+
+# Fixed values of the query: host, path start, verdict.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+# Pages with junk marks in the title are taken as the list of bad URLs.
+JUNK_TITLE = r"(?s)<title>[^<]*[%*#$]{3}"
+
+
+@query
+def op9_url_bloom(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge every page's URL by the rules, and where none fits by the list of URLs of pages with junk titles."""
+    pages = table(spark, folder, "pages")
+    return urls.judge(pages, pages.where(F.col("html").rlike(JUNK_TITLE)).select("url"), URL_RULES)
+
+
+ORACLES["op9_url_bloom"] = r"""
+WITH p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+ coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*[?]([^#]*)', 1), '') AS params FROM pages),
+c AS (SELECT *, list_sort(list_filter(string_split(params, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept FROM p),
+k AS (SELECT *, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key FROM c),
+bad AS (SELECT DISTINCT key FROM k WHERE key IS NOT NULL AND regexp_matches(html, '(?s)<title>[^<]*[%*#$]{3}')),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+ WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+ WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+ WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+ WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM k)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+ WHEN key IN (SELECT key FROM bad) THEN 'block' ELSE 'allow' END AS verdict,
+ coalesce(rule IS NULL AND key IN (SELECT key FROM bad), false) AS listed FROM r"""
