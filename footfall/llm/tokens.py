@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 
 # Pieces kept per Python worker (about 0.2 kB each). Beyond it the memory starts anew; results don't depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 ENCODE_AT_ONCE = 2_000
 # Where cutting before a blank would cut inside a run of white space that the byte-level pattern takes as one piece.
 _UNSAFE = re.compile(r"\s \s|\s $")
+# A word and the ASCII marks after it, which both kinds of vocabulary cut apart.
+_WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)$")
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -57,13 +59,24 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        """What the piece is cut into before any merge, as far as it is a word and marks; words of ASCII in the case that counts."""
+        found = _WORD_AND_MARKS.match(piece)
+        if not found or not found[1].lstrip(" ").isalpha():
+            return (piece,)
+        word = found[1].lower() if self.spaces == "dropped" and piece.isascii() else found[1]
+        return (word, found[2]) if found[2] else (word,)
+
     def ids(self, texts: list[str | None], end_id: int) -> list[bytes]:
         cut = [self._pieces(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
         new = [x for x in set().union(*cut) if x not in known]
-        known.update(zip(new, self._encode(new)))
+        parts = {x: self._parts(x) for x in new}
+        need = list({y for p in parts.values() for y in p if y not in known})
+        known.update(zip(need, self._encode(need)))
+        known.update((x, b"".join([known[y] for y in p])) for x, p in parts.items())
         get, end = known.__getitem__, int(end_id).to_bytes(4, "little")
         return [b"".join(map(get, pieces)) + end for pieces in cut]
 
