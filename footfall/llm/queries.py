@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, packing, simple8b, urls, warc
+from footfall.llm import chat, decontaminate, lines, packing, simple8b, urls, warc
 from footfall.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,51 @@ r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.exa
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
  WHEN key IN (SELECT key FROM bad) THEN 'block' ELSE 'allow' END AS verdict,
  coalesce(rule IS NULL AND key IN (SELECT key FROM bad), false) AS listed FROM r"""
+
+
+@query
+def op4_winnowed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Delete later repeated runs of lines from every document."""
+    return lines.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "words", "words_removed", "text")
+
+
+ORACLES["op4_winnowed_lines"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
+x AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM d),
+l AS (SELECT doc_id, text, line, trim(body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare,
+ len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS words FROM x WHERE trim(body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+c AS (SELECT *, row_number() OVER w AS at, CAST(sum(words) OVER w - words AS BIGINT) AS ahead, CAST(sum(words) OVER (PARTITION BY doc_id, text) AS BIGINT) AS total
+ FROM l WINDOW w AS (PARTITION BY doc_id, text ORDER BY line ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, list(bare) OVER r AS held, max(line) OVER r AS last FROM c WINDOW r AS (PARTITION BY doc_id, text ORDER BY ahead RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+o AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id NULLS LAST, text, at) AS nth FROM h WHERE ahead + 50 <= total),
+g AS (SELECT DISTINCT doc_id, text, unnest(range(line, last + 1)) AS line FROM o WHERE nth > 1),
+k AS (SELECT x.doc_id, x.text, string_agg(x.body, chr(10) ORDER BY x.line) FILTER (g.line IS NULL) AS kept, any_value(g.line) AS cut,
+ count(*) FILTER (trim(x.body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '') AS n_lines,
+ count(*) FILTER (g.line IS NOT NULL AND trim(x.body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '') AS n_removed,
+ CAST(coalesce(sum(len(regexp_extract_all(x.body, '[^\x20\x09-\x0D]+'))), 0) AS BIGINT) AS words,
+ CAST(coalesce(sum(len(regexp_extract_all(x.body, '[^\x20\x09-\x0D]+'))) FILTER (g.line IS NOT NULL), 0) AS BIGINT) AS words_removed
+ FROM x LEFT JOIN g ON x.doc_id IS NOT DISTINCT FROM g.doc_id AND x.text = g.text AND x.line = g.line GROUP BY x.doc_id, x.text)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(words, 0) AS words, coalesce(words_removed, 0) AS words_removed,
+ CASE WHEN cut IS NULL THEN d.text ELSE coalesce(kept, '') END AS text
+FROM documents d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text"""
+
+
+@query
+def op7_winnowed_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("k1", "k2")
+
+
+ORACLES["op7_winnowed_contamination"] = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(list_slice(ws, s, s + least(len(ws), 13) - 1), ' ') AS win
+ FROM b, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS t(s) WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, s, n, array_to_string(list_slice(ws, s, s + n - 1), ' ') AS win FROM w, lens, unnest(range(1, len(ws) - n + 2)) AS t(s)),
+hit AS (SELECT r, s, dw.n, win, item_id FROM dw JOIN iw USING (n, win)),
+cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
