@@ -112,10 +112,10 @@ WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 x AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM d),
 l AS (SELECT doc_id, text, line, trim(body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare,
  len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS words FROM x WHERE trim(body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
-c AS (SELECT *, row_number() OVER w AS at, CAST(sum(words) OVER w - words AS BIGINT) AS ahead, CAST(sum(words) OVER (PARTITION BY doc_id, text) AS BIGINT) AS total
+c AS (SELECT *, row_number() OVER w AS pos, CAST(sum(words) OVER w - words AS BIGINT) AS ahead, CAST(sum(words) OVER (PARTITION BY doc_id, text) AS BIGINT) AS total
  FROM l WINDOW w AS (PARTITION BY doc_id, text ORDER BY line ROWS UNBOUNDED PRECEDING)),
 h AS (SELECT *, list(bare) OVER r AS held, max(line) OVER r AS last FROM c WINDOW r AS (PARTITION BY doc_id, text ORDER BY ahead RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-o AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id NULLS LAST, text, at) AS nth FROM h WHERE ahead + 50 <= total),
+o AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id NULLS LAST, text, pos) AS nth FROM h WHERE ahead + 50 <= total),
 g AS (SELECT DISTINCT doc_id, text, unnest(range(line, last + 1)) AS line FROM o WHERE nth > 1),
 k AS (SELECT x.doc_id, x.text, string_agg(x.body, chr(10) ORDER BY x.line) FILTER (g.line IS NULL) AS kept, any_value(g.line) AS cut,
  count(*) FILTER (trim(x.body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '') AS n_lines,
