@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, decontaminate, lines, packing, simple8b, urls, warc
+from footfall.llm import chat, decontaminate, lines, neardup, packing, quality, simple8b, urls, warc
 from footfall.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,26 @@ its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FR
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
+
+
+@query
+def op10_risk_controlled_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and risk-controlled cutoffs per language for every document."""
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("k1", "k2")
+
+
+@query
+def op8_odd_sketch_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near-duplicate documents, three-word shingles at 0.85."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85).drop("k1", "k2")
+
+
+ORACLES["op8_odd_sketch_near_duplicates"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + least(len(ws), 3) - 1), ' ') AS sh FROM w, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) USING (doc_id)"""
