@@ -13,15 +13,29 @@ REMEMBERED = 1_000_000
 ENCODE_AT_ONCE = 2_000
 # Where cutting before a blank would cut inside a run of white space that the byte-level pattern takes as one piece.
 _UNSAFE = re.compile(r"\s \s|\s $")
+_BEFORE_BLANK = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 # A word and the ASCII marks after it, which both kinds of vocabulary cut apart.
-_WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)$")
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)$")
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
+class _ByteLevel(dict):
+    """What the byte-level step of the library makes of each character."""
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.step = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        value = self[code] = self.step.pre_tokenize_str(chr(code))[0][0]
+        return value
+
+
 class Encoder:
-    """``ids(texts)``: for each text the ids as little-endian unsigned 32-bit integers, end id included.
+    """``ids(texts, end_id)``: for each text the ids as little-endian unsigned 32-bit integers, end id included.
 
-    ``spaces``: "dropped" where the vocabulary ignores white space, "kept" where a blank belongs to the word after it.
+    ``spaces``: "dropped" where the vocabulary ignores white space and case, "kept" where a blank belongs to the word after it.
     """
 
     def __init__(self, path: str, spaces: str):
@@ -29,8 +43,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.spaces = spaces
-        self.known: dict[str, bytes] = {}
+        self.bytes = _ByteLevel()
+        # Ids of pieces at the start of a text, and of those after a blank.
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = self.first if spaces == "dropped" else {}
 
     @classmethod
     def of(cls, path: str, spaces: str) -> "Encoder":
@@ -42,43 +60,64 @@ class Encoder:
             _encoders[path, spaces] = cls(path, spaces)
         return _encoders[path, spaces]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _word(self, word: str, blank: str) -> bytes:
+        """Ids of one word: no step before the merges would cut it, so it goes to the model as bytes."""
+        found = self.model.tokenize((blank + word).translate(self.bytes))
+        return b"".join([t.id.to_bytes(4, "little") for t in found])
+
+    def _learn(self, known: dict[str, bytes], pieces: list[str], blank: str) -> None:
+        """Ids of new pieces: words by the model, what may be cut further by the whole library."""
+        rest = []
+        for piece in pieces:
+            found = _WORD_AND_MARKS.match(piece)
+            # Below U+0130 a letter has one lower case and is composed.
+            if not found or not found[1].isalpha() or max(found[1]) >= "\u0130":
+                rest.append(piece)
+                continue
+            word, marks = found[1].lower() if self.spaces == "dropped" else found[1], found[2]
+            if word not in known:
+                known[word] = self._word(word, blank)
+            if marks:
+                if marks not in self.first:
+                    self.first[marks] = self._whole([marks])[0]
+                known[piece] = known[word] + self.first[marks]
+            elif word != piece:
+                known[piece] = known[word]
+        for i in range(0, len(rest), ENCODE_AT_ONCE):
+            part = rest[i : i + ENCODE_AT_ONCE]
+            known.update(zip(part, self._whole([blank + x for x in part])))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        out = []
-        for i in range(0, len(pieces), ENCODE_AT_ONCE):
-            found = self.tokenizer.encode_batch_fast(pieces[i : i + ENCODE_AT_ONCE], add_special_tokens=False)
-            out += [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-        return out
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str] | None:
+        """Pieces between blanks; None if the text can't be cut there."""
         if self.spaces == "dropped":
             return text.replace("\n", " ").split(" ")
-        if _UNSAFE.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _parts(self, piece: str) -> tuple[str, ...]:
-        """What the piece is cut into before any merge, as far as it is a word and marks; words of ASCII in the case that counts."""
-        found = _WORD_AND_MARKS.match(piece)
-        if not found or not found[1].lstrip(" ").isalpha():
-            return (piece,)
-        word = found[1].lower() if self.spaces == "dropped" and piece.isascii() else found[1]
-        return (word, found[2]) if found[2] else (word,)
+        if any(x in text for x in _BEFORE_BLANK) and _UNSAFE.search(text):
+            return None
+        return text.split(" ")
 
     def ids(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        cut = [self._pieces(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = [x for x in set().union(*cut) if x not in known]
-        parts = {x: self._parts(x) for x in new}
-        need = list({y for p in parts.values() for y in p if y not in known})
-        known.update(zip(need, self._encode(need)))
-        known.update((x, b"".join([known[y] for y in p])) for x, p in parts.items())
-        get, end = known.__getitem__, int(end_id).to_bytes(4, "little")
-        return [b"".join(map(get, pieces)) + end for pieces in cut]
+        if len(self.first) + len(self.later) > REMEMBERED * (2 if self.first is self.later else 1):
+            self.first.clear()
+            self.later.clear()
+        end = int(end_id).to_bytes(4, "little")
+        cut = [self._cut(t) if t else [] for t in texts]
+        first, later = self.first, self.later
+        self._learn(first, [x for x in {c[0] for c in cut if c} if x not in first], "")
+        self._learn(later, [x for x in set().union(*[c for c in cut if c]) if x not in later], "" if self.spaces == "dropped" else " ")
+        get, out = later.__getitem__, []
+        for text, pieces in zip(texts, cut):
+            if pieces is None:
+                out.append(self._whole([text])[0] + end)
+            elif pieces:
+                out.append(b"".join([first[pieces[0]], *map(get, pieces[1:]), end]))
+            else:
+                out.append(end)
+        return out
 
 
 def texts_of(batch, column: str, at_once: int = 128):
