@@ -15,10 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.shared import ascii_lower, settled
+from footfall.llm.shared import ascii_lower, content_keys, settled
 
 WINDOW = 13
 GRAM = 5
+SALT = 29
 # Fingerprints are broadcast up to this size (32 bytes each); beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 32
@@ -71,8 +72,7 @@ def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows alike in id and text share a key of 128 bits: they have the same result."""
-    content = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
-    return docs.select(F.col("doc_id"), F.xxhash64(*content).alias("k1"), F.xxhash64(F.lit(29), *content).alias("k2"), words_of(F.col("text").cast("string")).alias("words"))
+    return docs.select("doc_id", "text").withColumns(content_keys(SALT)).select("doc_id", "k1", "k2", words_of(F.col("text").cast("string")).alias("words"))
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:

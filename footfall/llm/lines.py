@@ -13,18 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.shared import settled
+from footfall.llm.shared import content_keys, settled
 
 RUN_WORDS = 50
+SALT = 31
 BLANK = " \t\r\x0b\x0c"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the key of 128 bits that rows alike in both share."""
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    content = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
-    return rows.select("doc_id", "text", F.xxhash64(*content).alias("k1"), F.xxhash64(F.lit(31), *content).alias("k2"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns(content_keys(SALT))
 
 
 def line_windows(keyed: DataFrame, run_words: int) -> DataFrame:
@@ -67,23 +66,27 @@ def repeated_runs(keyed: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return runs.agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.min_by("source", "at").alias("source"), F.min("source_line").alias("source_line")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, leave_copies: float | None = None) -> DataFrame:
     """``docs`` with later repeated runs taken out of ``text``: all its columns, and n_lines, n_removed, words, words_removed.
 
     Lines are compared without blanks at their ends; lines without a word belong to no run and stay. A null text stays null with no lines.
     Rows alike in doc_id and text count as one document and get the same result. A text that is one run of an earlier one becomes empty.
-    Columns of ``docs`` with the names of the four new ones are replaced.
+    With ``leave_copies`` a document of which at least that share of words would go is left whole: it is a copy, for a step
+    that compares documents. Columns of ``docs`` with the names of the four new ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "words", "words_removed")
     runs = settled(repeated_runs(_keyed(docs), run_words))
     gone = runs.groupBy(F.col("doc.k1").alias("__k1"), F.col("doc.k2").alias("__k2")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs"))
     text = F.col("text").cast("string")
-    content = [F.col("doc_id").isNull(), F.col("doc_id"), text.isNull(), text]
-    rows = docs.withColumns({"__k1": F.xxhash64(*content), "__k2": F.xxhash64(F.lit(31), *content)}).join(gone, ["__k1", "__k2"], "left")
+    keys = content_keys(SALT)
+    rows = docs.withColumns({"__k1": keys["k1"], "__k2": keys["k2"]}).join(gone, ["__k1", "__k2"], "left")
     kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("__runs", lambda r: (r["first_line"] <= i) & (i <= r["last_line"])))
     rows = rows.withColumn("__new", F.when(F.col("__runs").isNull(), text).otherwise(F.array_join(kept, "\n")))
     words = lambda c: F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")
     lines = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0)).cast("bigint")
+    if leave_copies is not None:
+        whole = words(text) - words(F.col("__new")) >= leave_copies * words(text)
+        rows = rows.withColumn("__runs", F.when(~whole, F.col("__runs"))).withColumn("__new", F.when(F.col("__runs").isNull(), text).otherwise(F.col("__new")))
     changed = F.col("__runs").isNotNull()
     rows = rows.withColumns({"n_lines": lines(text), "words": words(text), "n_removed": F.when(changed, lines(text) - lines(F.col("__new"))).otherwise(F.lit(0).cast("bigint")), "words_removed": F.when(changed, words(text) - words(F.col("__new"))).otherwise(F.lit(0).cast("bigint"))})
     return rows.withColumn("text", F.col("__new")).drop("__k1", "__k2", "__runs", "__new")

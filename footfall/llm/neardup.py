@@ -20,11 +20,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.shared import settled
+from footfall.llm.shared import content_keys, settled
 
 SHINGLE = 5
 PERCENT = 80
 ROWS = 5
+SALT = 43
 # Chance that two documents at the threshold share no bucket.
 MISSED = 1e-7
 SKETCH_BITS = 512
@@ -100,8 +101,7 @@ SIGNED = "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, node binary, b
 
 def _keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    content = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
-    return rows.select("doc_id", F.xxhash64(*content).alias("k1"), F.xxhash64(F.lit(43), *content).alias("k2"), "text")
+    return rows.withColumns(content_keys(SALT)).select("doc_id", "k1", "k2", "text")
 
 
 def signatures(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -268,7 +268,8 @@ def other_components(members: DataFrame, most: int, partners: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept; k1 and k2 are keys of the row's id and text.
+    """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept; k1 and k2 are keys of the row's id and text, and
+    first marks the one key per group that stays.
 
     Texts are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id reachable.
     A text without words is linked with nothing and kept. A missing doc_id is never the smallest unless its group has no other,
@@ -313,9 +314,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             break
         partners *= 8
     rows = signed.select("doc_id", "k1", "k2", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    alone = rows.where(F.col("comp").isNull()).withColumn("component_id", F.col("doc_id"))
-    linked = rows.where(F.col("comp").isNotNull()).join(smallest, "comp")
-    columns = ["doc_id", "n_shingles", "component_id", "k1", "k2"]
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2"))
+    grouped = rows.where(F.col("comp").isNotNull())
+    smallest = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("o"))
+    alone = rows.where(F.col("comp").isNull()).withColumn("component_id", F.col("doc_id")).withColumn("first", F.lit(True))
+    linked = grouped.join(smallest, "comp").withColumn("first", (F.col("k1") == F.col("o.k1")) & (F.col("k2") == F.col("o.k2")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return linked.select(columns).unionByName(alone.select(columns)).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "k1", "k2")
+    columns = ["doc_id", "n_shingles", "component_id", kept.alias("kept"), "k1", "k2", "first"]
+    return linked.select(columns).unionByName(alone.select(columns))

@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.shared import settled
+from footfall.llm.shared import content_keys, settled
 
+SALT = 41
 # Fixed values of the base rules.
 LEAST_WORDS = 20
 REPEAT_WINDOW = 8
@@ -116,9 +117,8 @@ def features(docs: DataFrame, stratum: str, marked: Sequence[str] = ()) -> DataF
                 columns = [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in zip(*rows)], part.column(3), part.column(4)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FEATURES.split(", ")])
 
-    content = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("*", F.xxhash64(*content).alias("k1"), F.xxhash64(F.lit(41), *content).alias("k2"))
+    rows = rows.withColumns(content_keys(SALT))
     return rows.mapInArrow(measure, FEATURES)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, decontaminate, lines, neardup, packing, quality, simple8b, urls, warc
+from footfall.llm import chains, chat, decontaminate, lines, neardup, packing, quality, simple8b, urls, warc
 from footfall.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,7 +158,7 @@ def op10_risk_controlled_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_odd_sketch_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near-duplicate documents, three-word shingles at 0.85."""
-    return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85).drop("k1", "k2")
+    return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85).drop("k1", "k2", "first")
 
 
 ORACLES["op8_odd_sketch_near_duplicates"] = r"""
@@ -170,3 +170,9 @@ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) USING (doc_id)"""
+
+
+@query
+def op2_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Fuzzy passages of every document that an earlier document has."""
+    return chains.fuzzy_passages(table(spark, folder, "documents"))

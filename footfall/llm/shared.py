@@ -57,7 +57,8 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def row_key(*columns: Column) -> Column:
-    """128 bits of a row's content: rows alike in these columns share it, nulls and empty texts differ."""
-    tagged = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]
-    return F.md5(F.concat_ws("\x01", *tagged))
+def content_keys(salt: int) -> dict[str, Column]:
+    """k1, k2: 128 bits of a row's doc_id and text. Rows alike in both share them; nulls and empty texts differ."""
+    text = F.col("text").cast("string")
+    content = [F.col("doc_id").isNull(), F.col("doc_id").cast("bigint"), text.isNull(), text]
+    return {"k1": F.xxhash64(*content), "k2": F.xxhash64(F.lit(salt), *content)}
