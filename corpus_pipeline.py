@@ -1,12 +1,52 @@
-"""A training corpus from raw documents, stage by stage, each written and read again."""
+"""A training corpus from raw documents, stage by stage, each written and read again.
+
+Every stage takes (spark, docs, sf_dir). All but the last give the columns of ``documents``; decisions are made per content key
+(doc_id and text), so repeated rows share them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footfall.llm import packing
+from footfall.llm import decontaminate, lines, neardup, packing, quality
 from footfall.llm.queries import vocabulary
-from footfall.llm.shared import settled, table
+from footfall.llm.shared import content_keys, settled, table
+
+# A document of which this share of words stands in earlier ones is a copy: the near-copy stage decides on it as a whole.
+COPY_SHARE = 0.3
+
+
+def _kept(docs: DataFrame, keys: DataFrame, salt: int, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose content key is (not) among ``keys`` (k1, k2)."""
+    named = {f"__{k}": c for k, c in content_keys(salt).items()}
+    return docs.withColumns(named).join(keys.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), ["__k1", "__k2"], how)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or a risk-controlled cutoff of their language go."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, judged.where("kept"), quality.SALT).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go, except from copies."""
+    cut = lines.dedup_lines(docs, leave_copies=COPY_SHARE)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return cut.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    groups = neardup.near_duplicates(docs)
+    return _kept(docs, groups.where("first"), neardup.SALT).dropDuplicates(["__k1", "__k2"]).select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more stands in benchmark items go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _kept(docs, found.where("contaminated"), decontaminate.SALT, "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +54,15 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-STAGES = [("best-fit packing", pack_sequences)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", pack_sequences),
+]
 
-# Tokenizers, thresholds and sketches have no SQL form; tests/llm compares the stages with brute-force versions.
+# Tokenizers, learnt cutoffs and sketches have no SQL form; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 
