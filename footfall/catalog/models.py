@@ -118,17 +118,6 @@ def _(v):
     return cf.tune_blend(p, tr, te, LAMS)
 
 
-@query("ease_scores", "M4")
-def _(v):
-    """Closed-form item weights on the 1000 most popular venues, scored for every user's known venues."""
-    from footfall.operators.scale import top_k
-
-    e = train_edges(v)
-    popular = top_k(e.groupBy("business_id").agg(F.sum("weight").alias("n")), 1000, [F.col("n").desc(), F.col("business_id")])
-    kept = e.join(popular.select("business_id"), "business_id", "left_semi")
-    return cf.ease_scores(kept, cf.ease_weights(kept, 500.0, 1000), kept)
-
-
 @query("als_scores", "M1 M3")
 def _(v):
     """Venue scores of the average user in an implicit factor model."""

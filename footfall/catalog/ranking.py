@@ -220,7 +220,7 @@ def ranked(df, by=()):
 
 @query(
     "segment_rank_deltas", "W10 J3",
-    """SELECT g.business_id, s.segment, g.rank AS global_rank, coalesce(r.rank, 10000) AS segment_rank, coalesce(r.rank, 10000) - g.rank AS delta
+    """SELECT g.business_id, s.segment, g.rank AS global_rank, r.rank AS segment_rank, r.rank - g.rank AS delta, r.rank IS NOT NULL AS is_ranked
 FROM global_ranks g CROSS JOIN (SELECT DISTINCT segment FROM segment_ranks) s LEFT JOIN segment_ranks r ON r.segment = s.segment AND r.business_id = g.business_id""",
 )
 def _(v):

@@ -29,9 +29,9 @@ def diners(v):
 
 view(
     "ranges",
-    f"""WITH p AS (SELECT p.user_id, b.business_id, b.latitude, b.longitude, row_number() OVER (PARTITION BY p.user_id ORDER BY b.business_id) AS i FROM pairs p JOIN businesses b ON p.business_id = b.business_id)
- SELECT user_id, coalesce(max(q), 0.0) AS spatial_range_km FROM (SELECT a.user_id, quantile_cont({hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude', '6371.0')}, 0.9) AS q
- FROM p a JOIN p b ON a.user_id = b.user_id AND a.i < b.i WHERE a.i <= 50 AND b.i <= 50 GROUP BY 1 UNION ALL SELECT DISTINCT user_id, NULL FROM p) GROUP BY user_id""",
+    f"""WITH p AS (SELECT p.user_id, b.latitude, b.longitude FROM pairs p JOIN businesses b ON p.business_id = b.business_id WHERE b.latitude IS NOT NULL),
+ m AS (SELECT user_id, avg(latitude) AS lat, avg(longitude) AS lon FROM p GROUP BY user_id)
+ SELECT p.user_id, quantile_cont({hav('p.latitude', 'p.longitude', 'm.lat', 'm.lon', '6371.0')}, 0.9) AS spatial_range_km FROM p JOIN m ON p.user_id = m.user_id GROUP BY p.user_id""",
 )
 
 
@@ -159,7 +159,7 @@ view(
  LEAST(1.0, near * CASE WHEN rides THEN GREATEST(0.0, 1 - (d / 30.0 * 60 + 5) * 1.5 / 100) ELSE 1.0 END * 0.55 + CASE WHEN rides THEN 1.0 WHEN parking_sensitivity > 0.5 THEN pow(parking_score, 1.5) ELSE parking_score END * 0.30 + transit_access_score * 0.15) AS c_mob,
  GREATEST(0.0, LEAST(1.0, CASE WHEN peak_busyness <= 60 THEN 1.0 ELSE GREATEST(0.75, 1 - (peak_busyness - 60) / 200.0) END * (1 - LEAST(1.0, abs(avg_rating - avg_visited_rating) / 5.0)))) AS r_ctx
  FROM (SELECT *, 1 - 1 / (1 + exp(GREATEST(2.0, spatial_range_km) / 2 - d)) AS near FROM (SELECT u.user_id, u.critic_tag, u.avg_visited_rating, u.spatial_range_km, u.parking_sensitivity, v.*, {DIST} AS d,
-  u.archetype = 'Nightlife / Ride-Share Candidate' AND contains(v.cuisine_categories, 'Bars') AS rides FROM tagged_diners u CROSS JOIN (SELECT * FROM popular_venues ORDER BY popularity DESC, business_id LIMIT 5000) v))""",
+  u.archetype = 'Nightlife / Ride-Share Candidate' AND contains(v.cuisine_categories, 'Bars') AS rides FROM tagged_diners u CROSS JOIN popular_venues v) WHERE d <= 10.0)""",
 )
 
 

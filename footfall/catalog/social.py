@@ -201,12 +201,12 @@ WORDS = "regexp_extract_all(lower(text), '[a-zA-Z&]+')"
 view("doc_terms", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY 1, 2")
 
 
-def weights_sql(counts: str, key: str, n: str, min_df: int, cap: str) -> str:
+def weights_sql(counts: str, key: str, n: str, min_df: int) -> str:
     return f"""SELECT {key}, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {key})) AS weight FROM (SELECT c.{key}, c.term, c.tf, k.idf FROM {counts} c JOIN
- (SELECT term, ln((1.0 + {n}) / (1 + count(*))) + 1 AS idf FROM {counts} GROUP BY term HAVING count(*) >= {min_df} ORDER BY sum(tf) DESC, term {cap}) k ON c.term = k.term)"""
+ (SELECT term, ln((1.0 + {n}) / (1 + count(*))) + 1 AS idf FROM {counts} GROUP BY term HAVING count(*) >= {min_df}) k ON c.term = k.term)"""
 
 
-@query("document_tfidf", "V1", weights_sql("doc_terms", "doc_id", "(SELECT count(*) FROM documents)", 2, "LIMIT 5000"), rnd="weight")
+@query("document_tfidf", "V1", weights_sql("doc_terms", "doc_id", "(SELECT count(*) FROM documents)", 2), rnd="weight")
 def _(v):
     return tx.tfidf(v.raw("documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -216,7 +216,7 @@ GRAMS = """SELECT p_partkey, substr(w, CAST(i AS INT), CAST(n AS INT)) AS term F
 view("name_grams", f"SELECT p_partkey, term, count(*) AS tf FROM ({GRAMS}) GROUP BY 1, 2")
 
 
-@query("name_ngram_tfidf", "V2", weights_sql("name_grams", "p_partkey", "(SELECT count(*) FROM part)", 1, ""), rnd="weight")
+@query("name_ngram_tfidf", "V2", weights_sql("name_grams", "p_partkey", "(SELECT count(*) FROM part)", 1), rnd="weight")
 def _(v):
     return tx.tfidf(v.raw("part").select("p_partkey", "p_name"), "p_partkey", "p_name", "char", min_df=1, max_features=None)
 
@@ -224,7 +224,7 @@ def _(v):
 view("cat_counts_a", "SELECT 'a' || business_id AS doc, term, count(*) AS tf FROM (SELECT business_id, unnest(regexp_extract_all(lower(coalesce(categories, '')), '[a-zA-Z&]+')) AS term FROM businesses) GROUP BY 1, 2")
 view("cat_counts_b", "SELECT 'b' || category AS doc, term, count(*) AS tf FROM (SELECT category, unnest(regexp_extract_all(lower(category), '[a-zA-Z&]+')) AS term FROM (SELECT DISTINCT category FROM pois)) GROUP BY 1, 2")
 view("cat_counts", "SELECT * FROM cat_counts_a UNION ALL SELECT * FROM cat_counts_b")
-view("cat_weights", weights_sql("cat_counts", "doc", "(SELECT (SELECT count(*) FROM businesses) + (SELECT count(DISTINCT category) FROM pois))", 2, "LIMIT 5000"))
+view("cat_weights", weights_sql("cat_counts", "doc", "(SELECT (SELECT count(*) FROM businesses) + (SELECT count(DISTINCT category) FROM pois))", 2))
 view(
     "near_sims",
     """SELECT n.business_id, n.poi_id, n.dist_m, coalesce(s.sim, 0.0) AS category_sim FROM near_75 n LEFT JOIN (SELECT n.business_id, n.poi_id, sum(a.weight * b.weight) AS sim FROM near_75 n JOIN pois p ON n.poi_id = p.poi_id
@@ -366,7 +366,28 @@ def _(v):
     return rec.linked_share(rec.enrich(scores, empty, lk.link_venues(*sides(v), min_confidence=0.3), 0.2))
 
 
-@query("name_search", "V5 F15 F16")
+def grams_sql(table: str, key: str, sizes: str) -> str:
+    return f"""SELECT {key}, substr(w, CAST(i AS INT), CAST(n AS INT)) AS term FROM (SELECT {key}, ' ' || unnest(list_filter(string_split(lower({key}), ' '), lambda x: x <> '')) || ' ' AS w FROM {table}),
+ (VALUES {sizes}) t(n), range(1, 200) r(i) WHERE i + n - 1 <= length(w)"""
+
+
+view("name_list", "SELECT DISTINCT p_name AS name FROM part")
+view("name_asked", "SELECT p_partkey AS query_id, lower(substr(p_name, 1, 2) || substr(p_name, 4, 100)) AS query FROM part")
+view("query_list", "SELECT DISTINCT query FROM name_asked")
+view("list_counts", f"SELECT name, term, count(*) AS tf FROM ({grams_sql('name_list', 'name', '(2), (3), (4)')}) GROUP BY 1, 2")
+view("list_idf", "SELECT term, ln((1.0 + (SELECT count(*) FROM name_list)) / (1 + count(*))) + 1 AS idf FROM list_counts GROUP BY term")
+view("list_weights", "SELECT name, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY name)) AS weight FROM list_counts JOIN list_idf USING (term)")
+view("asked_counts", f"SELECT query, term, count(*) AS tf FROM ({grams_sql('query_list', 'query', '(2), (3), (4)')}) GROUP BY 1, 2")
+view("asked_weights", "SELECT query, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query)) AS weight FROM asked_counts JOIN list_idf USING (term)")
+
+
+@query("name_search", "V5 F15 F16",
+    f"""WITH near AS (SELECT query, name, sum(a.weight * b.weight) + 0.25 AS score FROM asked_weights a JOIN list_weights b USING (term) GROUP BY 1, 2 HAVING sum(a.weight * b.weight) > 0.03),
+lettered AS (SELECT DISTINCT query, name FROM ({grams_sql('query_list', 'query', '(3)')}) JOIN ({grams_sql('name_list', 'name', '(3)')}) USING (term)),
+told AS (SELECT query, name, CASE WHEN query = lower(name) THEN 2.0 WHEN contains(lower(name), query) THEN 1.2 ELSE 1 - levenshtein(query, lower(name)) / CAST(GREATEST(length(query), length(name)) AS DOUBLE) END AS score FROM lettered),
+best AS (SELECT query, name, round(max(score), 9) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM told WHERE score >= 0.45) GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS place FROM best)
+SELECT query_id, name, score, place FROM name_asked JOIN placed USING (query) WHERE place <= 5""", rnd="score")
 def _(v):
     """Part names with a letter missing, searched among all part names."""
     p = v.raw("part")

@@ -68,63 +68,6 @@ def item_knn_personal(edges: DataFrame, candidates: DataFrame, cosines: DataFram
     return scored.groupBy("user_id", F.col("j").alias("business_id")).agg(F.sum("similarity").alias("score"))
 
 
-# ---------------------------------------------------------------- closed-form item weights
-
-
-def ease_weights(edges: DataFrame, lam: float = 500.0, max_items: int = 2000, blocks: int = 32) -> DataFrame:
-    """Item-item weights B = I - P / diag(P) with P = (X'X + lam I)^-1, zero diagonal, as (i, j, b).
-
-    The Gram matrix is added up by Spark. It is dense in the number of items, so items are capped and more are
-    refused; the capped matrix (``max_items`` squared numbers at most) is broadcast, and every task solves only its
-    own columns, since column j of B needs column j of P alone.
-    """
-    spark = edges.sparkSession
-    items = edges.select("business_id").distinct()
-    if not small_enough(items, max_items):
-        raise ValueError(f"more than {max_items} items: restrict the edges to the most popular ones first")
-    numbered = settle(number_rows(items, [F.col("business_id")], name="pos"))
-    edge = lookup_join(edges, numbered, ["business_id"]).select("user_id", F.col("pos").alias("business_id"), "weight")
-    diagonal = edge.groupBy("business_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).select(
-        F.col("business_id").alias("i"), F.col("business_id").alias("j"), "s"
-    )
-    cells = co_weights(edge).unionByName(diagonal).toPandas()
-    n = numbered.count()
-    gram = np.zeros((n, n))
-    i, j = cells["i"].to_numpy() - 1, cells["j"].to_numpy() - 1
-    gram[i, j] = cells["s"].to_numpy()
-    gram[j, i] = cells["s"].to_numpy()
-    gram[np.diag_indices(n)] += lam
-    shared = spark.sparkContext.broadcast(gram)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        for pdf in batches:
-            cols = pdf["pos"].to_numpy() - 1
-            unit = np.zeros((g.shape[0], len(cols)))
-            unit[cols, np.arange(len(cols))] = 1.0
-            p = np.linalg.solve(g, unit)
-            b = -p / p[cols, np.arange(len(cols))]
-            b[cols, np.arange(len(cols))] = 0.0
-            for k, c in enumerate(cols):
-                yield pd.DataFrame({"pi": np.arange(1, g.shape[0] + 1), "pj": c + 1, "b": b[:, k]})
-
-    solved = numbered.select("pos").repartition(min(blocks, max(n, 1)), "pos").mapInPandas(solve, "pi long, pj long, b double")
-    left = numbered.select(F.col("pos").alias("pi"), F.col("business_id").alias("i"))
-    right = numbered.select(F.col("pos").alias("pj"), F.col("business_id").alias("j"))
-    # Both sides hold at most max_items rows.
-    return solved.join(F.broadcast(left), "pi").join(F.broadcast(right), "pj").select("i", "j", "b")
-
-
-def ease_scores(edges: DataFrame, weights: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(user, venue, score) = sum of the user's weights times B towards each candidate."""
-    own = edges.select("user_id", F.col("business_id").alias("i"), "weight")
-    wanted = candidates.select("user_id", F.col("business_id").alias("j"))
-    met = spread_join(own, wanted, ["user_id"]).join(weights, ["i", "j"], "left")
-    return met.groupBy("user_id", F.col("j").alias("business_id")).agg(
-        F.sum(F.col("weight") * F.coalesce("b", F.lit(0.0))).alias("score")
-    )
-
-
 # ---------------------------------------------------------------- factor models
 
 

@@ -198,11 +198,10 @@ def friend_counts(edges: DataFrame, nodes: DataFrame, key: str = "user_id") -> D
     return neighbors(edges, nodes, key).groupBy(F.col("u").alias(key)).agg(rows().alias("friend_count"))
 
 
-def friends_of_friends(edges: DataFrame, nodes: DataFrame, key: str = "user_id", cap: int | None = None, scope: str = "linked") -> DataFrame:
+def friends_of_friends(edges: DataFrame, nodes: DataFrame, key: str = "user_id", scope: str = "linked") -> DataFrame:
     """(u, w): two steps away, neither the user nor a friend.
 
-    ``linked`` sees only friendships touching one of the users; ``full`` sees all. ``cap`` keeps the smallest ids
-    per user; by default nothing is cut.
+    ``linked`` sees only friendships touching one of the users; ``full`` sees all.
     """
     sym = both_ways(edges)
     ids = nodes.select(F.col(key).alias("u")).distinct()
@@ -214,12 +213,7 @@ def friends_of_friends(edges: DataFrame, nodes: DataFrame, key: str = "user_id",
     hop = spread_join(
         direct.select("u", F.col("w").alias("mid")), second.select(F.col("u").alias("mid"), "w"), ["mid"]
     ).where(F.col("u") != F.col("w"))
-    far = hop.select("u", "w").distinct().join(direct, ["u", "w"], "left_anti")
-    if cap is None:
-        return far
-    from footfall.operators.scale import top_k
-
-    return top_k(far, cap, [F.col("w")], ["u"])
+    return hop.select("u", "w").distinct().join(direct, ["u", "w"], "left_anti")
 
 
 def friend_visits(edges: DataFrame, visits: DataFrame) -> DataFrame:
@@ -230,7 +224,7 @@ def friend_visits(edges: DataFrame, visits: DataFrame) -> DataFrame:
 
 
 def social_venue_signals(
-    bridge: DataFrame, edges: DataFrame, checkins: DataFrame, fof_weight: float = 0.3, fof_cap: int | None = None, scope: str = "linked"
+    bridge: DataFrame, edges: DataFrame, checkins: DataFrame, fof_weight: float = 0.3, scope: str = "linked"
 ) -> DataFrame:
     """Per venue: visits of linked users' friends and friends of friends weighted by link confidence, distinct
     visiting friends with their log, and the mean confidence.
@@ -250,7 +244,7 @@ def social_venue_signals(
         rows().alias("social_unique_visitors"),
         ratio(F.sum("conf"), F.sum("k")).alias("mean_bridge_confidence"),
     )
-    far = reach(friends_of_friends(edges, nodes, "b_user_id", fof_cap, scope)).join(visits, "w").groupBy("business_id").agg(
+    far = reach(friends_of_friends(edges, nodes, "b_user_id", scope)).join(visits, "w").groupBy("business_id").agg(
         (F.sum(F.col("n") * F.col("conf")) * fof_weight).alias("fof_checkin_count")
     )
     return near.join(far, "business_id", "outer").select(

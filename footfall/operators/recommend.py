@@ -19,7 +19,9 @@ from footfall.functions.scalar import (
     ride_cost_factor,
 )
 from footfall.operators.clean import NIGHTLIFE_WORDS, minmax
+from footfall.operators.geo import radius_join
 from footfall.operators.scale import attach, portable_hash, scalar, top_k
+from footfall.session import settle
 
 # Prior weights of the three objectives and the share given to the entropy weights.
 PRIOR_WEIGHTS = (0.55, 0.45, 0.00)
@@ -47,11 +49,14 @@ def mobility(dist: Column, range_km: Column, parking: Column, transit: Column, s
     return F.least(F.lit(1.0), reach * 0.55 + spot * 0.30 + transit * 0.15)
 
 
-def top_venues(venues: DataFrame, n: int = 5000) -> Column:
-    """The ``n`` most popular venues as one array column (bounded by ``n``)."""
-    head = top_k(venues, n, [F.col("popularity").desc(), F.col("business_id")])
-    filled = head.select(
-        "business_id", "latitude", "longitude", F.col("popularity"),
+# How far from the middle of a user's places candidates may lie. A stated feature of the model: nothing is cut by number.
+CANDIDATE_KM = 10.0
+
+
+def candidate_venues(venues: DataFrame) -> DataFrame:
+    """What the objectives need of a venue, gaps filled."""
+    return venues.select(
+        "business_id", "latitude", "longitude", F.col("latitude").alias("venue_lat"), F.col("longitude").alias("venue_lon"), F.col("popularity"),
         F.coalesce("repeat_user_rate", F.lit(0.0)).alias("repeat_user_rate"),
         F.coalesce("avg_rating", F.lit(3.0)).alias("avg_rating"),
         F.coalesce("parking_score", F.lit(0.5)).alias("parking_score"),
@@ -60,28 +65,25 @@ def top_venues(venues: DataFrame, n: int = 5000) -> Column:
         F.coalesce("cuisine_categories", F.lit("")).alias("cuisine_categories"),
         contains_any("cuisine_categories", NIGHTLIFE_WORDS).alias("night"),
     )
-    return scalar(filled.agg(F.collect_list(F.struct("*")).alias("v")))
 
 
-def objectives(users: DataFrame, venues: DataFrame, n_venues: int = 5000) -> DataFrame:
-    """One row per user and candidate venue with the three objectives.
+def objectives(users: DataFrame, venues: DataFrame, radius_km: float = CANDIDATE_KM) -> DataFrame:
+    """One row per user and venue within ``radius_km`` of the user's middle with the three objectives. Users meet venues by
+    grid cell, so the rows follow the local density, not users times venues.
 
-    The bounded venue list is carried to the users as a value and unfolded there. Users are spread by id first, so
-    everything per user that follows stays in place: the candidate rows themselves are never shuffled.
     ``users`` needs user_id, centroid_lat/lon, avg_visited_rating, spatial_range_km, parking_sensitivity, archetype,
     critic_tag.
     """
     cols = ["user_id", "centroid_lat", "centroid_lon", "avg_visited_rating", "critic_tag", "archetype", "parking_sensitivity", "spatial_range_km"]
-    spread = users.select(*cols).repartition("user_id")
-    met = spread.withColumn("v", F.explode(top_venues(venues, n_venues))).select(*cols, "v.*")
-    met = met.withColumn("dist_km", haversine_km("centroid_lat", "centroid_lon", "latitude", "longitude"))
+    met = radius_join(users.select(*cols), candidate_venues(venues), radius_km * 1000.0, ("centroid_lat", "centroid_lon"), ("latitude", "longitude"))
+    met = met.withColumn("dist_km", F.col("dist_m") / 1000.0)
     met = met.withColumn("base", base_utility(F.col("popularity"), F.col("repeat_user_rate")))
     reach = mobility(
         F.col("dist_km"), F.col("spatial_range_km"), F.col("parking_score"), F.col("transit_access_score"),
         F.col("parking_sensitivity"), F.col("archetype"), F.col("night"),
     )
     return met.select(
-        "user_id", "business_id", "latitude", "longitude", F.col("cuisine_categories").alias("categories"), "avg_rating", "base",
+        "user_id", "business_id", F.col("venue_lat").alias("latitude"), F.col("venue_lon").alias("longitude"), F.col("cuisine_categories").alias("categories"), "avg_rating", "base",
         (F.col("base") * critic_penalty("critic_tag", "avg_visited_rating", "avg_rating")).alias("u_beh"),
         reach.alias("c_mob"),
         context_score("peak_busyness", "avg_rating", "avg_visited_rating").alias("r_ctx"),
@@ -121,9 +123,9 @@ def weighted_top(df: DataFrame, k: int = 100, columns: Sequence[str] = OBJECTIVE
     return top_k(scored, k, [F.col("score").desc(), F.col("business_id")], ["user_id"], "rank")
 
 
-def score_candidates(users: DataFrame, venues: DataFrame, n_venues: int = 5000, keep: int = 100) -> DataFrame:
+def score_candidates(users: DataFrame, venues: DataFrame, radius_km: float = CANDIDATE_KM, keep: int = 100) -> DataFrame:
     """Objectives, entropy weights, blend and the best ``keep`` candidates per user."""
-    return weighted_top(blend_weights(entropy_weights(objectives(users, venues, n_venues))), keep)
+    return weighted_top(blend_weights(entropy_weights(objectives(users, venues, radius_km))), keep)
 
 
 def mmr_order(pdf: pd.DataFrame, k: int, lam: float) -> list[int]:
@@ -175,13 +177,13 @@ ABLATION_WEIGHTS = (0.55, 0.45, 0.00)
 ABLATIONS = ("Full Model", "No Mobility (C_mob)", "No Context (R_ctx)", "No Critic Penalty", "Popularity", "Rating", "Random")
 
 
-def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Sequence[str] = ABLATIONS, n_venues: int = 2000, ks: Sequence[int] = (5, 10, 20), weights: Sequence[float] = ABLATION_WEIGHTS, seed: int = 42) -> DataFrame:
+def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Sequence[str] = ABLATIONS, radius_km: float = CANDIDATE_KM, ks: Sequence[int] = (5, 10, 20), weights: Sequence[float] = ABLATION_WEIGHTS, seed: int = 42) -> DataFrame:
     """NDCG and hits of each scoring variant against future visits, over users with a future venue among the
     candidates. Objectives are computed once; each variant only re-orders them."""
     from footfall.operators.evaluate import mean_metrics, user_metrics
 
     wb, wm, wc = weights
-    scored = objectives(users, venues, n_venues)
+    scored = settle(objectives(users, venues, radius_km))
 
     def variant(kind):
         mob = F.lit(1.0) if kind == "No Mobility (C_mob)" else F.col("c_mob")
@@ -198,8 +200,7 @@ def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Se
     kinds_of = F.array(*[F.struct(F.lit(kind).alias("method"), variant(kind).alias("score")) for kind in kinds])
     every = scored.select("user_id", "business_id", F.explode(kinds_of).alias("m")).select("user_id", "business_id", "m.method", "m.score")
     lists = top_k(every, max(ks), [F.col("score").desc(), F.col("business_id")], ["user_id", "method"], "position")
-    pool = scored_pool(venues, n_venues)
-    future = test_pairs.join(F.broadcast(pool), "business_id", "left_semi")
+    future = test_pairs.join(scored.select("user_id", "business_id"), ["user_id", "business_id"], "left_semi")
     relevant = future.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     marked = (
         lists.join(relevant, "user_id")
@@ -209,11 +210,6 @@ def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Se
     return mean_metrics(user_metrics(marked, ["method"], ks, ideal="slice"), ["method"], ks)
 
 
-def scored_pool(venues: DataFrame, n_venues: int) -> DataFrame:
-    """The candidate venues, at most ``n_venues`` rows."""
-    return top_k(venues, n_venues, [F.col("popularity").desc(), F.col("business_id")]).select("business_id")
-
-
 # ---------------------------------------------------------------- serving
 
 # Weights of graph score, rating, popularity and revisits per visit mode.

@@ -8,32 +8,18 @@ from pyspark.sql import functions as F
 from footfall.functions.scalar import contains_any, haversine_km, ratio, tokens
 from footfall.operators.clean import NIGHTLIFE_WORDS
 from footfall.operators.features import burstiness, entropy_of, gini, pair_counts, rows, venue_weekly
+from footfall.operators.scale import quantiles
 
 
-def spatial_range(reviews: DataFrame, businesses: DataFrame, max_places: int = 50, q: float = 0.9) -> DataFrame:
-    """90 % quantile of the distances between a user's places. The measure looks at ``max_places`` distinct places
-    per user (by venue id), so a user's array and its distances stay bounded."""
+def spatial_range(reviews: DataFrame, businesses: DataFrame, q: float = 0.9) -> DataFrame:
+    """90 % quantile of the distances of a user's places to their middle, over all distinct places: linear in the places, where
+    distances between all of them would grow with their square."""
     places = pair_counts(reviews).select("user_id", "business_id").join(
         businesses.where(F.col("latitude").isNotNull()).select("business_id", "latitude", "longitude"), "business_id"
     )
-    first = F.row_number().over(Window.partitionBy("user_id").orderBy("business_id"))
-    kept = places.withColumn("_i", first).where(F.col("_i") <= max_places)
-    arr = kept.groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct("_i", "latitude", "longitude"))).alias("a")
-    )
-
-    def to_later(x, i):
-        return F.transform(
-            F.slice("a", i + 2, max_places),
-            lambda y: haversine_km(x["latitude"], x["longitude"], y["latitude"], y["longitude"]),
-        )
-
-    dists = arr.select("user_id", F.sort_array(F.flatten(F.transform("a", to_later))).alias("d"))
-    pos = F.lit(q) * (F.size("d") - 1)
-    lo = F.element_at("d", (F.floor(pos) + 1).cast("int"))
-    hi = F.element_at("d", (F.ceil(pos) + 1).cast("int"))
-    value = F.when(F.size("d") > 0, lo + (hi - lo) * (pos - F.floor(pos))).otherwise(F.lit(0.0))
-    return dists.select("user_id", value.alias("spatial_range_km"))
+    middle = places.groupBy("user_id").agg(F.avg("latitude").alias("_lat"), F.avg("longitude").alias("_lon"))
+    far = places.join(middle, "user_id").select("user_id", haversine_km("latitude", "longitude", "_lat", "_lon").alias("km"))
+    return quantiles(far, ["km"], {"q": q}, ["user_id"]).select("user_id", F.col("km_q").alias("spatial_range_km"))
 
 
 def restaurant_user_features(reviews: DataFrame, businesses: DataFrame, min_reviews: int = 3) -> DataFrame:

@@ -73,19 +73,18 @@ def venue_kinds(venues: DataFrame, rate: str = "revisit_rate") -> DataFrame:
     )
 
 
-def rank_deltas(global_ranks: DataFrame, segment_ranks: DataFrame, missing: int = 10_000) -> DataFrame:
-    """Rank in every segment minus global rank; unranked venues count as ``missing``."""
+def rank_deltas(global_ranks: DataFrame, segment_ranks: DataFrame) -> DataFrame:
+    """Rank in every segment minus global rank; both stay NULL where the segment doesn't rank the venue (``is_ranked`` false)."""
     labels = segment_ranks.select("segment").distinct().agg(F.collect_set("segment").alias("s"))
     # Segments are a handful of labels; each venue meets each label once.
     every = global_ranks.select("business_id", F.col("rank").alias("global_rank")).withColumn("segment", F.explode(scalar(labels)))
     ranks = segment_ranks.select("segment", "business_id", F.col("rank").alias("segment_rank"))
     out = every.join(ranks, ["segment", "business_id"], "outer")
-    out = out.withColumn("segment_rank", F.coalesce("segment_rank", F.lit(missing).cast("bigint")))
-    return out.withColumn("delta", F.col("segment_rank") - F.col("global_rank"))
+    return out.withColumns({"delta": F.col("segment_rank") - F.col("global_rank"), "is_ranked": F.col("segment_rank").isNotNull()})
 
 
-def most_promoted(deltas: DataFrame, n: int = 5, missing: int = 10_000) -> DataFrame:
-    ranked = deltas.where(F.col("segment_rank") < missing)
+def most_promoted(deltas: DataFrame, n: int = 5) -> DataFrame:
+    ranked = deltas.where("is_ranked")
     return top_k(ranked, n, [F.col("delta").asc(), F.col("business_id")], ["segment"], "place")
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators import baseline as bl
 from footfall.operators import cf, evaluate as evl, events as ev, features as ft, graph as gr
+from footfall.operators.scale import scalar
 from footfall.session import settle
 
 
@@ -43,21 +45,16 @@ def method_rankings(train: DataFrame, split_date: str, social: DataFrame | None
     return out
 
 
-def run_split(inter: DataFrame, split_date: str, social: DataFrame | None = None, min_users: int = 50, reference: str = "popularity", replicates: int = 1000, **options) -> DataFrame | None:
-    """Method table of one split, or None when fewer than ``min_users`` users appear on both sides."""
+def run_split(inter: DataFrame, split_date: str, social: DataFrame | None = None, reference: str = "popularity", replicates: int = 1000, **options) -> DataFrame:
+    """Method table of one split. ``n_overlap`` counts the users on both sides: callers decide how few are too few."""
     train, test = ev.temporal_split(inter, split_date)
-    if ev.overlap_users(train, test).limit(min_users).count() < min_users:
-        return None
+    overlap = scalar(ev.overlap_users(train, test).agg(F.count(F.lit(1)).alias("n")))
     tr, te = evl.split_pairs(train, test)
     scores = settle(method_rankings(train, split_date, social, **options))
     per_user = settle(evl.user_metrics(evl.rerank(tr, te, scores, ["method"]), ["method"]))
-    return evl.method_table(per_user, reference, replicates).withColumn("split_date", F.lit(split_date))
+    return evl.method_table(per_user, reference, replicates).withColumns({"split_date": F.lit(split_date), "n_overlap": overlap})
 
 
-def run_splits(inter: DataFrame, dates: Sequence[str], **options) -> DataFrame | None:
+def run_splits(inter: DataFrame, dates: Sequence[str], **options) -> DataFrame:
     """The method tables of several split dates in one frame."""
-    tables = [t for t in (run_split(inter, d, **options) for d in dates) if t is not None]
-    out = None
-    for t in tables:
-        out = t if out is None else out.unionByName(t)
-    return out
+    return reduce(DataFrame.unionByName, [run_split(inter, d, **options) for d in dates])

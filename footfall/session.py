@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -26,8 +28,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a scratch folder of its own; anywhere else a
-    machine-local folder would be lost with its executor, so the setting is required.
+    A local-mode session without that setting uses a new folder in its warehouse, the storage it names itself; anywhere
+    else a machine-local folder would be lost with its executor, so the setting is required.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
@@ -36,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        named = posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), f"_checkpoints-{uuid.uuid4().hex}")
     sc.setCheckpointDir(named)
 
 

@@ -160,16 +160,6 @@ def test_tails():
     assert tails.chi2_p(30.0, 10) == pytest.approx(0.000857, abs=1e-5)
 
 
-def test_ease_matches_dense_inverse(spark):
-    x = np.array([[1.0, 2, 0], [0, 1, 1], [3, 0, 1]])
-    e = spark.createDataFrame([(u, i, float(x[u, i])) for u in range(3) for i in range(3) if x[u, i]], "user_id int, business_id int, weight double")
-    p = np.linalg.inv(x.T @ x + 2 * np.eye(3))
-    b = -p / np.diag(p)
-    np.fill_diagonal(b, 0)
-    got = {(r["i"], r["j"]): r["b"] for r in cf.ease_weights(e, 2.0).collect()}
-    assert all(got[(i, j)] == pytest.approx(b[i, j]) for i in range(3) for j in range(3))
-
-
 def test_diversity_order(spark):
     rows_ = [("u", i, i + 1, s, 0.0, 0.0, c) for i, (s, c) in enumerate([(0.9, "a"), (0.89, "a"), (0.7, "b")])]
     df = spark.createDataFrame(rows_, "user_id string, business_id int, rank bigint, score double, latitude double, longitude double, categories string")
