@@ -3,7 +3,8 @@
 Documents with the same shingle set are one node. Each node has MinHash samples; bands of them are bucket keys. An odd sketch keeps
 the parity of how many samples fall on each of its bits; two sketches differ in about twice as many bits as samples
 differ, which tells high similarities apart well. Pairs whose sketches allow the asked similarity, five standard deviations
-down, are confirmed on the full sets.
+down, are weighed by odd sketches of the full sets: these never differ in more bits than the sets differ in shingles, so what they
+rule out is no link. The rest is confirmed on the full sets.
 
 No bucket is expanded into all its pairs. First each member meets its bucket's smallest node. Then, in buckets whose members
 are still of several components, the members outside the largest component meet the others as blocks of sketches inside
@@ -32,7 +33,9 @@ SKETCH_BITS = 512
 DEVIATIONS = 5
 BLOCK = 1024
 PER_GROUP = 64
-FIRST_PARTNERS = 8
+FIRST_PARTNERS = 4
+MORE_PARTNERS = 4
+SET_BITS = 1024
 REMEMBERED = 500_000
 
 
@@ -96,6 +99,14 @@ def odd_sketch(samples):
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def set_parity(shingles):
+    """Odd sketch of a whole set, as 64-bit words."""
+    import numpy as np
+
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % SET_BITS, minlength=SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 SIGNED = "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>"
 
 
@@ -139,7 +150,7 @@ def signatures(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def full_sets(keyed: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes) of the nodes in ``reps`` (node, k1, k2)."""
+    """node, n, parity (odd sketch of the set), shingles (sorted 64-bit hashes as bytes) of the nodes in ``reps`` (node, k1, k2)."""
 
     def fill(batches):
         import pyarrow as pa
@@ -147,10 +158,15 @@ def full_sets(keyed: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_parity(x) for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    names=["node", "n", "parity", "shingles"],
+                )
 
-    texts = keyed.join(reps, ["k1", "k2"]).select("node", "text")
-    return texts.mapInArrow(fill, "node binary, shingles binary").dropDuplicates(["node"])
+    # Rows alike share a key; one of each is enough.
+    texts = keyed.join(reps, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+    return texts.mapInArrow(fill, "node binary, n bigint, parity array<bigint>, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,23 +218,23 @@ def components(edges: DataFrame) -> DataFrame:
     return comp
 
 
-def _differing(a: str, b: str):
-    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_BITS // 64)])
+def _differing(a: str, b: str, bits: int):
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(bits // 64)])
 
 
-def other_components(members: DataFrame, most: int, partners: int) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components whose sketches differ in at most ``most`` bits: for each member outside
+def other_components(members: DataFrame, most: int, percent: int, partners: int) -> DataFrame:
+    """Pairs (a, b) of bucket members in different components that their sketches don't rule out: for each member outside
     its bucket's largest component the ``partners`` likeliest in each other component; ``cut`` says that there were more.
 
-    ``members`` has key, node, comp, sketch. Probes and targets meet in blocks of ``BLOCK``.
+    ``members`` has key, node, comp, sketch, n, parity. Probes and targets meet in blocks of ``BLOCK``.
     """
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most"))
     open_ = largest.where(F.col("comps") > 1).select("key", "largest", F.ceil(F.col("all") / BLOCK).alias("targets"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("probes"))
     rows = members.join(open_, "key")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    probes = rows.where(F.col("comp") != F.col("largest")).select("key", place("probes").alias("i"), F.explode(F.sequence(F.lit(0), F.col("targets") - 1)).alias("j"), F.lit(0).alias("role"), "node", "comp", "sketch")
-    targets = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("i"), place("targets").alias("j"), F.lit(1).alias("role"), "node", "comp", "sketch")
+    probes = rows.where(F.col("comp") != F.col("largest")).select("key", place("probes").alias("i"), F.explode(F.sequence(F.lit(0), F.col("targets") - 1)).alias("j"), F.lit(0).alias("role"), "node", "comp", "sketch", "n", "parity")
+    targets = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("i"), place("targets").alias("j"), F.lit(1).alias("role"), "node", "comp", "sketch", "n", "parity")
     dealt = probes.unionByName(targets).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
 
     def meet(batches):
@@ -227,18 +243,21 @@ def other_components(members: DataFrame, most: int, partners: int) -> DataFrame:
 
         def pairs(group):
             """Pairs of one block of probes and one of targets."""
-            sketch = lambda part: np.array([g[6] for g in part], np.int64).view(np.uint64)
+            words = lambda part, i: np.array([g[i] for g in part], np.int64).view(np.uint64)
             left, right = [g for g in group if g[3] == 0], [g for g in group if g[3] == 1]
             out = []
             if not left or not right:
                 return out
             number = {c: i for i, c in enumerate({g[5] for g in group})}
             comp_l, comp_r = (np.array([number[g[5]] for g in part]) for part in (left, right))
-            sl, sr = sketch(left), sketch(right)
+            sl, sr, pl, pr = words(left, 6), words(right, 6), words(left, 8), words(right, 8)
+            nl, nr = (np.array([g[7] for g in part], np.int64) for part in (left, right))
             for i, probe in enumerate(left):
                 differ = np.bitwise_count(sr ^ sl[i]).sum(axis=1, dtype=np.int64)
                 near = np.flatnonzero((differ <= most) & (comp_r != comp_l[i]))
-                near = near[np.lexsort((differ[near], comp_r[near]))]
+                odd, sizes = np.bitwise_count(pr[near] ^ pl[i]).sum(axis=1, dtype=np.int64), nr[near] + nl[i]
+                fits = odd * (100 + percent) <= (100 - percent) * sizes
+                near = near[fits][np.lexsort((odd[fits] / sizes[fits], comp_r[near[fits]]))]
                 c = comp_r[near]
                 starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
                 nth = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)]))
@@ -284,26 +303,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     keys = reps.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     buckets = settled(keys.join(shared, "key"))
-    sketches = reps.select("node", "sketch")
+    involved = buckets.select("node").distinct().join(reps.select("node", "k1", "k2"), "node")
+    sets = settled(full_sets(keyed, involved, shingle))
+    sketches = settled(reps.select("node", "sketch").join(sets.select("node", "n", "parity"), "node"))
 
     def weighed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-        return left.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").where(_differing("sa", "sb") <= most).select("a", "b")
+        left = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
+        both = left.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+        fits = _differing("pa", "pb", SET_BITS) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+        return both.where((_differing("sa", "sb", SKETCH_BITS) <= most) & fits).select("a", "b")
 
     stars = settled(weighed(buckets.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
-    involved = buckets.select("node").distinct().join(reps.select("node", "k1", "k2"), "node")
-    sets = settled(full_sets(keyed, involved, shingle))
     tested, edges, partners = stars, settled(confirm(stars, sets, percent)), FIRST_PARTNERS
     comp = components(edges)
     while True:
-        members = buckets.select("key", "node").join(comp, "node", "left").join(sketches, "node").select("key", "node", F.coalesce("comp", "node").alias("comp"), "sketch")
-        found = settled(other_components(members, most, partners))
+        members = buckets.select("key", "node").join(comp, "node", "left").join(sketches, "node").select("key", "node", F.coalesce("comp", "node").alias("comp"), "sketch", "n", "parity")
+        found = settled(other_components(members, most, percent, partners))
         fresh = settled(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
         cut = not found.where("cut").isEmpty()
         if fresh.isEmpty():
             if not cut:
                 break
-            partners *= 8
+            partners *= MORE_PARTNERS
             continue
         tested = tested.unionByName(fresh)
         linked = settled(confirm(fresh, sets, percent))
@@ -312,7 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             comp = components(edges)
         elif not cut:
             break
-        partners *= 8
+        partners *= MORE_PARTNERS
     rows = signed.select("doc_id", "k1", "k2", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2"))
     grouped = rows.where(F.col("comp").isNotNull())
