@@ -61,7 +61,7 @@ def item_knn_personal(edges: DataFrame, candidates: DataFrame, cosines: DataFram
     sims = item_cosines(edges) if cosines is None else cosines
     own = edges.select("user_id", F.col("business_id").alias("i"))
     wanted = candidates.select("user_id", F.col("business_id").alias("j"))
-    met = spread_join(own, wanted, ["user_id"])
+    met = spread_join(own, wanted, ["user_id"], both=True)
     scored = met.join(sims, ["i", "j"], "left").withColumn(
         "similarity", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
     )

@@ -50,7 +50,7 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float, left_pos=("lat
     looks = looks.withColumn("_s", spot).withColumn(
         "_cell", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.pmod(F.col("_s")["c"] + i, F.col("_s")["n"]))))
     ).drop("_s")
-    met = spread_join(looks, cells, ["_band", "_cell"])
+    met = spread_join(looks, cells, ["_band", "_cell"], both=True)
     dist = haversine_m(llat, llon, F.col("_rlat"), F.col("_rlon"))
     return met.withColumn("dist_m", dist).where(F.col("dist_m") <= metres).drop("_band", "_cell", "_rlat", "_rlon")
 

@@ -98,7 +98,7 @@ def shared_places(a: DataFrame, b: DataFrame, min_shared: int = 2) -> DataFrame:
     order = pa.unionByName(pb).groupBy("place_id").agg(rows().alias("weight"))
     sa, sb = (settle(_placed(p, order, min_shared - 1)) for p in (pa, pb))
     ua, ub = F.col("user_id").alias("a_user"), F.col("user_id").alias("b_user")
-    head = spread_join(sa.where("not tail").select(ua, "place_id"), sb.where("not tail").select(ub, "place_id"), ["place_id"])
+    head = spread_join(sa.where("not tail").select(ua, "place_id"), sb.where("not tail").select(ub, "place_id"), ["place_id"], both=True)
     head = head.select("a_user", "b_user", "place_id")
     found = head.select("a_user", "b_user").distinct()
     tail_a = found.join(sa.where("tail").select(ua, "place_id"), "a_user").join(sb.select(ub, "place_id"), ["b_user", "place_id"])
@@ -211,7 +211,7 @@ def friends_of_friends(edges: DataFrame, nodes: DataFrame, key: str = "user_id",
         touching = direct.unionByName(direct.select(F.col("w").alias("u"), F.col("u").alias("w")))
         second = touching.distinct()
     hop = spread_join(
-        direct.select("u", F.col("w").alias("mid")), second.select(F.col("u").alias("mid"), "w"), ["mid"]
+        direct.select("u", F.col("w").alias("mid")), second.select(F.col("u").alias("mid"), "w"), ["mid"], both=True
     ).where(F.col("u") != F.col("w"))
     return hop.select("u", "w").distinct().join(direct, ["u", "w"], "left_anti")
 
@@ -219,7 +219,7 @@ def friends_of_friends(edges: DataFrame, nodes: DataFrame, key: str = "user_id",
 def friend_visits(edges: DataFrame, visits: DataFrame) -> DataFrame:
     """(user, venue): number of friends who visited the venue."""
     seen = visits.where(F.col("user_id").isNotNull()).select(F.col("user_id").alias("w"), "business_id").distinct()
-    met = spread_join(seen, both_ways(edges), ["w"])
+    met = spread_join(seen, both_ways(edges), ["w"], both=True)
     return met.groupBy(F.col("u").alias("user_id"), "business_id").agg(rows().alias("friend_visits"))
 
 

@@ -7,6 +7,7 @@ is taken from range partitions, and quantiles are read from running totals of a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,27 +41,42 @@ def hot_keys(df: DataFrame, on: Sequence[str], min_chunk: int = MIN_CHUNK) -> Da
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", min_chunk: int = MIN_CHUNK
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", min_chunk: int = MIN_CHUNK, both: bool = False
 ) -> DataFrame:
     """Equi join whose hot keys on the left are cut into pieces, with the right rows copied per piece.
 
-    Every (left, right) match still meets exactly once, so the result equals the plain join.
+    With ``both`` (inner joins) keys that are hot on the right are cut too: a key's rows meet in a grid of left and right
+    pieces. Every (left, right) match still meets exactly once, so the result equals the plain join. Left rows with a NULL
+    key match nothing; they are spread over many pieces.
     """
+    if both and how != "inner":
+        raise ValueError("only an inner join can cut the right side")
     on = list(on)
-    # Only hot keys travel here, at most HOT_SHARE of them, so the broadcast is bounded by construction.
-    hot = F.broadcast(hot_keys(left, on, min_chunk))
-    spread_by = [F.col(c) for c in left.columns]
-    lhs = (
-        left.join(hot, on, "left")
-        .withColumn("piece", F.pmod(F.xxhash64(*spread_by), F.coalesce("pieces", F.lit(1))).cast("int"))
-        .drop("pieces")
-    )
-    rhs = (
-        right.join(hot, on, "left")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
-        .drop("pieces")
-    )
-    return lhs.join(rhs, [*on, "piece"], how).drop("piece")
+    one = F.lit(1)
+
+    def of_row(df: DataFrame, pieces: str) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce(F.col(pieces), one)).cast("int")
+
+    def copies(pieces: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(pieces), one) - 1))
+
+    hot = hot_keys(left, on, min_chunk)
+    if both:
+        hot = hot.join(hot_keys(right, on, min_chunk).withColumnRenamed("pieces", "pieces_r"), on, "outer")
+    else:
+        hot = hot.withColumn("pieces_r", F.lit(1))
+    # Only hot keys travel here, at most HOT_SHARE of either side, so the broadcast is bounded by construction.
+    hot = F.broadcast(hot)
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    lhs = left.join(hot, on, "left")
+    spread = F.when(missing, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(HOT_SHARE)).cast("int")).otherwise(of_row(left, "pieces"))
+    lhs = lhs.withColumn("piece", spread)
+    rhs = right.join(hot, on, "left").withColumn("piece", copies("pieces"))
+    if both:
+        lhs = lhs.withColumn("piece_r", copies("pieces_r"))
+        rhs = rhs.withColumn("piece_r", of_row(right, "pieces_r"))
+        return lhs.drop("pieces", "pieces_r").join(rhs.drop("pieces", "pieces_r"), [*on, "piece", "piece_r"], how).drop("piece", "piece_r")
+    return lhs.drop("pieces", "pieces_r").join(rhs.drop("pieces", "pieces_r"), [*on, "piece"], how).drop("piece")
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:

@@ -57,6 +57,26 @@ def test_spread_join_equals_plain_join(spark):
     assert tuple(plain) == tuple(split)
 
 
+@pytest.mark.parametrize("how,both", [("inner", True), ("inner", False), ("left", False)])
+def test_spread_join_splits_hot_and_missing_keys(spark, how, both):
+    """A third of the rows of either side on one key and a third without key: same rows as the plain join, no large partition."""
+    key = lambda n: F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % n)
+    left = spark.range(9000).select(key(500).alias("k"), F.col("id").alias("l"))
+    right = spark.range(600).select(key(400).alias("k"), F.col("id").alias("r"))
+    got = scale.spread_join(left, right, ["k"], how, min_chunk=50, both=both)
+    sums = (F.count("*"), F.count("k"), F.sum(F.hash("l", "r").cast("bigint")))
+    assert got.agg(*sums).first() == left.join(right, ["k"], how).agg(*sums).first()
+    if how == "left":
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            sizes = [r[1] for r in got.where("k is null").groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert max(sizes) < 3000 * 0.5
+
+
 def test_numbers_and_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     values = np.round(rng.normal(size=500), 1)
