@@ -12,7 +12,7 @@ from footfall.operators import clean as cl
 from footfall.operators import events as ev
 from footfall.operators import features as ft
 from footfall.operators import geo
-from footfall.operators.scale import attach
+from footfall.operators.scale import attach, spread_join
 
 
 @query(
@@ -266,12 +266,12 @@ def _(v):
 def _(v):
     scope = v.businesses.where(F.contains(F.lower(F.coalesce("categories", F.lit(""))), F.lit("hotel")))
     kept = ev.restrict_to_venues(v.interactions, scope)
-    return kept.join(v.businesses.select("business_id", "city"), "business_id", "left").select("user_id", "business_id", "ts", "city")
+    return spread_join(kept, v.businesses.select("business_id", "city"), ["business_id"], "left").select("user_id", "business_id", "ts", "city")
 
 
 @query("users_without_history", "J5", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM reviews WHERE ts < TIMESTAMP '1995-07-01')")
 def _(v):
-    return v.raw("customer").select(F.col("c_custkey").alias("user_id")).join(ev.temporal_split(v.reviews, "1995-07-01")[0].select("user_id"), "user_id", "left_anti")
+    return v.raw("customer").select(F.col("c_custkey").alias("user_id")).join(ev.temporal_split(v.reviews, "1995-07-01")[0].select("user_id").distinct(), "user_id", "left_anti")
 
 
 @query("overlap_users", "J6 U4", "SELECT user_id FROM both_users")

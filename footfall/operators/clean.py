@@ -210,6 +210,7 @@ def venue_explanations(df: DataFrame, slots: int = 5) -> DataFrame:
     return df.select("business_id", *[padded[i].alias(f"explain_{i + 1}") for i in range(slots)])
 
 
+# Labels and thresholds.
 def classify_profile() -> Column:
     """Visitor mix of a coffee venue; unknown measures count as 0."""
     r, g, cv, n = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("repeat_user_rate", "gini_user_contribution", "stability_cv", "popularity_visits"))
@@ -222,6 +223,7 @@ def classify_profile() -> Column:
     )
 
 
+# Labels and thresholds.
 def classify_hotel_profile() -> Column:
     share, season = or_default("business_leisure_ratio", 0.5), or_default("seasonal_cv", 0.5)
     back = or_default("multi_stay_rate", 0.0)
@@ -234,6 +236,7 @@ def classify_hotel_profile() -> Column:
     )
 
 
+# Labels and thresholds.
 def behavioral_tag(domain: str) -> Column:
     """One line on a venue's visitors; a missing or zero measure takes its default."""
     if domain == "coffee":
@@ -262,6 +265,7 @@ def behavioral_tag(domain: str) -> Column:
     )
 
 
+# Labels and thresholds.
 def confidence_tier(combined: str = "combined_similarity", shared: str = "n_shared") -> Column:
     c, n = F.col(combined), F.col(shared)
     return (

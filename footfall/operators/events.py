@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalar import age_days, decay, tokens
-from footfall.operators.scale import attach
+from footfall.operators.scale import attach, spread_join
 
 
 def explode_checkins(checkins: DataFrame, date_col: str = "date") -> DataFrame:
@@ -91,13 +91,13 @@ def graph_stats(edge: DataFrame) -> DataFrame:
 
 
 def restrict_to_venues(inter: DataFrame, venues: DataFrame) -> DataFrame:
-    return inter.join(venues.select("business_id"), "business_id", "left_semi")
+    return spread_join(inter, venues.select("business_id").distinct(), ["business_id"], "left_semi")
 
 
 def overlap_users(train: DataFrame, test: DataFrame) -> DataFrame:
     """Users seen on both sides of a split."""
     return (
-        user_linked(train).select("user_id").distinct().join(user_linked(test).select("user_id"), "user_id", "left_semi")
+        user_linked(train).select("user_id").distinct().join(user_linked(test).select("user_id").distinct(), "user_id", "left_semi")
     )
 
 

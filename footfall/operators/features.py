@@ -369,11 +369,12 @@ def hotel_venue_features(reviews: DataFrame, businesses: DataFrame, as_of: Colum
 def user_home(reviews: DataFrame, businesses: DataFrame, column: str) -> DataFrame:
     """The most visited value of a venue attribute per user, first in order on ties."""
     per = (
-        reviews.where(F.col("user_id").isNotNull())
+        # Counted per venue first: a hot venue then brings one row per user.
+        pair_counts(reviews.where(F.col("user_id").isNotNull()))
         .join(businesses.select("business_id", column), "business_id")
         .where(F.col(column).isNotNull())
         .groupBy("user_id", column)
-        .agg(rows().alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     return per.groupBy("user_id").agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias("home"))
 

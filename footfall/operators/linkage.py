@@ -191,7 +191,7 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 def neighbors(edges: DataFrame, nodes: DataFrame, key: str = "user_id") -> DataFrame:
     """(u, w): friends of the given users."""
-    return both_ways(edges).join(nodes.select(F.col(key).alias("u")), "u", "left_semi")
+    return spread_join(both_ways(edges), nodes.select(F.col(key).alias("u")).distinct(), ["u"], "left_semi")
 
 
 def friend_counts(edges: DataFrame, nodes: DataFrame, key: str = "user_id") -> DataFrame:

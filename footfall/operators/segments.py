@@ -175,6 +175,7 @@ def pca(df: DataFrame, columns: Sequence[str], n: int = 2):
     return out.select(*df.columns, *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(n)]), list(model.explainedVariance)
 
 
+# Labels and thresholds.
 def name_coffee_clusters(clustered: DataFrame) -> DataFrame:
     """Describe each cluster by its mean revisit ratio, number of venues and gap between visits."""
     means = clustered.groupBy("cluster").agg(
@@ -190,6 +191,7 @@ def name_coffee_clusters(clustered: DataFrame) -> DataFrame:
     return clustered.join(F.broadcast(means.select("cluster", name.alias("segment"))), "cluster")
 
 
+# Labels and thresholds.
 def name_hotel_clusters(clustered: DataFrame) -> DataFrame:
     """Name the guest clusters by their means; a repeated name is told apart by its weekday share."""
     cols = ("hotel_frequency", "n_states_visited", "weekday_fraction", "hotel_city_diversity", "total_hotel_reviews")
@@ -221,6 +223,7 @@ def name_segments_by_peak(clustered: DataFrame, peaks: Sequence[tuple[str, str]]
 
 
 # Labels of the peaks by column, in order of precedence.
+# Labels and thresholds.
 RESTAURANT_PEAKS = (
     ("venue_entropy", "Explorer"),
     ("revisit_ratio", "Loyalist"),
