@@ -271,19 +271,18 @@ def _classifier(columns: Sequence[str], label: str):
 
 
 def cross_validated_accuracy(df: DataFrame, columns: Sequence[str], label: str, key: str, folds: int = 5) -> DataFrame:
-    """Accuracy of a balanced multinomial model per fold, with chance = 1 / classes. Folds come from a key hash."""
-    from footfall.operators.scale import portable_hash
+    """Accuracy of a balanced multinomial model per fold, with chance = 1 / classes. Folds deal out each class in turn, in hash order;
+    class weights come from the training folds alone."""
+    from footfall.operators.scale import number_rows, portable_hash
     from footfall.session import settle
 
-    data = settle(
-        _balanced(df.select(key, label, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(), label).withColumn(
-            "_fold", F.pmod(portable_hash(F.lit("fold"), F.col(key).cast("string")), F.lit(folds)).cast("int")
-        )
-    )
+    clean = df.select(key, label, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    order = [portable_hash(F.lit("fold"), F.col(key).cast("string")), F.col(key)]
+    data = settle(number_rows(clean, order, [label], "_n").withColumn("_fold", F.pmod(F.col("_n") - 1, F.lit(folds)).cast("int")).drop("_n"))
     classes = data.select(label).distinct().count()
     out = []
     for i in range(folds):
-        model = _classifier(columns, label).fit(data.where(F.col("_fold") != i))
+        model = _classifier(columns, label).fit(_balanced(data.where(F.col("_fold") != i), label))
         scored = model.transform(data.where(F.col("_fold") == i))
         acc = scored.agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
         out.append((i, None if acc is None else float(acc), 1.0 / classes))
