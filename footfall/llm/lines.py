@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.shared import content_keys, settled
+from footfall.llm.urls import BITS_PER_URL, BROADCAST_BYTES, ROW_BYTES, WORDS, blocked_bloom, mark_listed
 
 RUN_WORDS = 50
 SALT = 31
@@ -52,7 +53,8 @@ def repeated_runs(keyed: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     windows = settled(line_windows(keyed, run_words))
     place = F.struct("doc", "at")
     # Positions by fingerprint: those of a single position can't repeat.
-    shared = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("fingerprint")
+    at = F.xxhash64("doc", "at")
+    shared = windows.groupBy("fingerprint").agg(F.min(at).alias("a"), F.max(at).alias("b")).where(F.col("a") != F.col("b")).select("fingerprint")
     some = windows.join(shared, "fingerprint", "left_semi")
     first = some.groupBy("c1", "c2").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     later = some.join(first, ["c1", "c2"]).where(place != F.col("source"))
@@ -66,6 +68,19 @@ def repeated_runs(keyed: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return runs.agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.min_by("source", "at").alias("source"), F.min("source_line").alias("source_line")).drop("run")
 
 
+def with_runs(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with ``__runs`` of their key, null without. A blocked Bloom filter of the keys with runs lets the texts of other
+    documents stay where they are; once it were too large to broadcast, all texts go through the join."""
+    blocks = max(1, -(-gone.count() * BITS_PER_URL // (64 * WORDS)))
+    if blocks * ROW_BYTES > BROADCAST_BYTES:
+        return docs.join(gone, ["__k1", "__k2"], "left")
+    bloom = F.broadcast(blocked_bloom(gone.select(F.col("__k1").alias("key")), blocks))
+    marked = mark_listed(docs, bloom, F.col("__k1"), blocks, "__maybe")
+    some = marked.where("__maybe").drop("__maybe").join(gone, ["__k1", "__k2"], "left")
+    none = marked.where("not __maybe").drop("__maybe").withColumn("__runs", F.lit(None).cast(gone.schema["__runs"].dataType))
+    return some.unionByName(none)
+
+
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, leave_copies: float | None = None) -> DataFrame:
     """``docs`` with later repeated runs taken out of ``text``: all its columns, and n_lines, n_removed, words, words_removed.
 
@@ -76,10 +91,10 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, leave_copies: float
     """
     docs = docs.drop("n_lines", "n_removed", "words", "words_removed")
     runs = settled(repeated_runs(_keyed(docs), run_words))
-    gone = runs.groupBy(F.col("doc.k1").alias("__k1"), F.col("doc.k2").alias("__k2")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs"))
+    gone = settled(runs.groupBy(F.col("doc.k1").alias("__k1"), F.col("doc.k2").alias("__k2")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs")))
     text = F.col("text").cast("string")
     keys = content_keys(SALT)
-    rows = docs.withColumns({"__k1": keys["k1"], "__k2": keys["k2"]}).join(gone, ["__k1", "__k2"], "left")
+    rows = with_runs(docs.withColumns({"__k1": keys["k1"], "__k2": keys["k2"]}), gone)
     kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("__runs", lambda r: (r["first_line"] <= i) & (i <= r["last_line"])))
     rows = rows.withColumn("__new", F.when(F.col("__runs").isNull(), text).otherwise(F.array_join(kept, "\n")))
     words = lambda c: F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")

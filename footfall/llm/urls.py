@@ -72,6 +72,14 @@ def maybe_listed(rows: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
     return rows.withColumn("block", _block(F.col("key"), blocks)).join(held, "block").where(hit).select(rows.columns)
 
 
+def mark_listed(rows: DataFrame, bloom: DataFrame, key: Column, blocks: int, name: str) -> DataFrame:
+    """``rows`` with a column that is false only where the filter rules ``key`` out."""
+    hit = reduce(lambda a, b: a & b, [F.col(f"__w{i}").bitwiseAND(_bit(key, i)) != 0 for i in range(WORDS)])
+    held = bloom.select(F.col("block").alias("__block"), *[F.col(f"w{i}").alias(f"__w{i}") for i in range(WORDS)])
+    met = rows.withColumn("__block", _block(key, blocks)).join(held, "__block", "left")
+    return met.withColumn(name, F.coalesce(hit, F.lit(False))).select(*rows.columns, name)
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every row of ``pages`` (page_id, url); ``listed`` has the column ``url``.
 
