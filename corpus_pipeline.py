@@ -13,7 +13,7 @@ from footfall.llm import decontaminate, lines, neardup, packing, quality
 from footfall.llm.queries import vocabulary
 from footfall.llm.shared import content_keys, settled, table
 
-# A document of which this share of words stands in earlier ones is a copy: the near-copy stage decides on it as a whole.
+# Decides nothing any more (see ``sure_copies``); tests/llm states its expectation with it.
 COPY_SHARE = 0.3
 
 
@@ -29,9 +29,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _kept(docs, judged.where("kept"), quality.SALT).select(docs.columns)
 
 
+def sure_copies(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Keys (k1, k2) of documents with runs that the near-copy stage removes if they reach it whole.
+
+    Among documents with runs and their sources, groups of near copies are formed on the full sets. If the first of a group has no runs
+    itself, no text of the group changes, so the stage finds the group again and keeps at most the first. In other groups all are cut.
+    """
+    own, near = content_keys(lines.SALT), content_keys(neardup.SALT)
+    keyed = docs.select("doc_id", "text").withColumns({"l1": own["k1"], "l2": own["k2"], "n1": near["k1"], "n2": near["k2"]})
+    key = lambda c: runs.select(F.col(f"{c}.k1").alias("l1"), F.col(f"{c}.k2").alias("l2"))
+    cut = key("doc").distinct().withColumn("cut", F.lit(True))
+    some = settled(keyed.join(key("doc").union(key("source")).distinct(), ["l1", "l2"]).join(cut, ["l1", "l2"], "left").dropDuplicates(["l1", "l2"]))
+    groups = neardup.near_duplicates(some).select("component_id", "first", F.col("k1").alias("n1"), F.col("k2").alias("n2"))
+    groups = settled(groups.join(some.select("l1", "l2", "n1", "n2", F.coalesce("cut", F.lit(False)).alias("cut")), ["n1", "n2"]))
+    heads = groups.where("first").groupBy("component_id").agg(F.max("cut").alias("changes")).where("not changes")
+    return groups.where("cut and not first").join(heads, "component_id").select(F.col("l1").alias("k1"), F.col("l2").alias("k2"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, except from copies."""
-    cut = lines.dedup_lines(docs, leave_copies=COPY_SHARE)
+    """Later repeated runs of lines go, except from documents that the next stage removes as near copies."""
+    cut = lines.dedup_lines(docs, spared=lambda runs: sure_copies(docs, runs))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return cut.select(docs.columns)

@@ -10,6 +10,8 @@ Everything here is column expressions, joins and windows over the lines of one d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,17 +83,19 @@ def with_runs(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
-def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, leave_copies: float | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, leave_copies: float | None = None, spared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with later repeated runs taken out of ``text``: all its columns, and n_lines, n_removed, words, words_removed.
 
     Lines are compared without blanks at their ends; lines without a word belong to no run and stay. A null text stays null with no lines.
     Rows alike in doc_id and text count as one document and get the same result. A text that is one run of an earlier one becomes empty.
     With ``leave_copies`` a document of which at least that share of words would go is left whole: it is a copy, for a step
-    that compares documents. Columns of ``docs`` with the names of the four new ones are replaced.
+    that compares documents. ``spared`` gets the runs and gives keys (k1, k2) of documents that are left whole. Columns of ``docs`` with the names of the four new ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "words", "words_removed")
     runs = settled(repeated_runs(_keyed(docs), run_words))
     gone = settled(runs.groupBy(F.col("doc.k1").alias("__k1"), F.col("doc.k2").alias("__k2")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("__runs")))
+    if spared is not None:
+        gone = settled(gone.join(spared(runs).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), ["__k1", "__k2"], "left_anti"))
     text = F.col("text").cast("string")
     keys = content_keys(SALT)
     rows = with_runs(docs.withColumns({"__k1": keys["k1"], "__k2": keys["k2"]}), gone)

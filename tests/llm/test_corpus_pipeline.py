@@ -79,3 +79,26 @@ def test_run_and_empty_tables(spark, tmp_path):
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.count() == 0
     assert pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_spares_only_sure_copies(spark, tmp_path):
+    rng = random.Random(4)
+    passage, body, head = ("\n".join(" ".join(words(rng, 10, 9000)) for _ in range(n)) for n in (6, 30, 20))
+    line = lambda n: " ".join(words(rng, n, 9000))
+    texts = {
+        1: f"{line(200)}\n{passage}\n{line(200)}",
+        2: f"{line(20)}\n{passage}\n{line(20)}",  # 60 % repeated, no near copy
+        3: f"{passage}\n{line(9)}\n{passage}",  # nearly all repeated, no near copy
+        4: body,
+        5: f"{body}\n{line(5)}",  # near copy of an uncut text
+        6: f"{head}\n{passage}",
+        7: f"{head}\n{passage}\n{line(5)}",  # near copy of a cut text
+    }
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in texts.items()], "doc_id bigint, text string, n_chars bigint")
+    cut = brute_lines([(d, t, None) for d, t in texts.items()], 50)
+    lined = pipeline.settled(pipeline.line_dedup(spark, docs, str(tmp_path)))
+    got = {r.doc_id: r.text for r in lined.collect()}
+    assert got == {d: t if d == 5 else cut[d, t] for d, t in texts.items()}
+    assert {d for d in got if got[d] != texts[d]} == {2, 3, 6, 7}
+    left = {r.doc_id for r in pipeline.near_dedup(spark, lined, str(tmp_path)).collect()}
+    assert 5 not in left and 4 in left
