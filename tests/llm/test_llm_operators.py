@@ -447,6 +447,11 @@ def test_chain_scores_against_all_predecessors(seed):
     assert max(map(value, found)) == pytest.approx(max(score))
 
 
+def test_a_long_run_out_of_reach_hides_no_near_predecessor():
+    starts = [0, 560, 575, 590]
+    assert sorted(chains.best_chains(starts, starts, [500, 6, 6, 6])) == [[0], [1, 2, 3]]
+
+
 def test_fuzzy_passages(spark, corpus):
     rng = random.Random(11)
     passage = words(rng, 90, 5000)
