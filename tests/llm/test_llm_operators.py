@@ -480,3 +480,17 @@ def test_fuzzy_passages(spark, corpus):
     for r in (r for r in got if r["doc_id"] == 111):
         assert r["source_doc_id"] < 111
     assert chains.fuzzy_passages(frame(spark, [])).count() == 0
+
+
+def test_passages_repeated_within_a_document(spark):
+    fresh = iter(range(10_000))
+    line = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    passage = line(120)
+    text = " ".join([*line(90), *passage, *line(90), *passage, *line(90), *passage, *line(90)])
+    got = collected(chains.fuzzy_passages(frame(spark, [(5, text, "en"), (6, " ".join(line(300)), "en"), (5, " ".join(line(90)), "en")])))
+    rows = {(r["doc_id"], r["start"], r["words"], r["source_doc_id"], r["source_start"]) for r in got}
+    assert {(5, 300, 120, 5, 90), (5, 510, 120, 5, 90)} <= rows
+    # Seeds over the ends of the first copy can differ, so parts of a later copy may also meet the second one; nothing else is found.
+    assert all(d == s == 5 and at % 210 - 90 == rat % 210 - 90 >= 0 and at % 210 + n <= 210 and rat < at for d, at, n, s, rat in rows)
+    same = collected(chains.fuzzy_passages(frame(spark, [(5, text, "en"), (5, text, "en"), (None, text, "en")])))
+    assert len(same) == len(got)
