@@ -494,3 +494,29 @@ def test_passages_repeated_within_a_document(spark):
     assert all(d == s == 5 and at % 210 - 90 == rat % 210 - 90 >= 0 and at % 210 + n <= 210 and rat < at for d, at, n, s, rat in rows)
     same = collected(chains.fuzzy_passages(frame(spark, [(5, text, "en"), (5, text, "en"), (None, text, "en")])))
     assert len(same) == len(got)
+
+
+def test_passages_at_the_floor_keep_a_seed():
+    rng, kept = random.Random(1), 0
+    for _ in range(400):
+        a, b = (np.array([rng.getrandbits(64) for _ in range(140)], np.uint64) for _ in range(2))
+        b[50:90] = a[50:90]
+        for j in rng.sample(range(50, 90), 8):
+            b[j] = rng.getrandbits(64)
+        kept += bool(set(chains.minimizers(a)[0]) & set(chains.minimizers(b)[0]))
+    assert kept >= 0.95 * 400
+
+
+def test_one_seed_is_enough(spark):
+    fresh = iter(range(100_000))
+    line = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        passage = line(48)
+        copy = list(passage)
+        for j in (4, 9, 14, 19, 28, 33, 38, 43):  # equal stretches of 4 words and one of 8
+            copy[j] = line(1)[0]
+        rows += [(2 * i, " ".join([*line(60), *passage, *line(60)]), "en"), (2 * i + 1, " ".join([*line(60), *copy, *line(60)]), "en")]
+    got = collected(chains.fuzzy_passages(frame(spark, rows)))
+    assert all((r["start"], r["words"], r["source_doc_id"], r["differing"]) == (60, 48, r["doc_id"] - 1, 8) for r in got)
+    assert len(got) >= 40
