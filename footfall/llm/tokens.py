@@ -1,7 +1,7 @@
 """Ids of whole texts from the tokenizers library, remembering the ids of pieces that come again.
 
 Both kinds of vocabulary cut a text at blanks before any merge, so a text's ids are those of its blank-separated pieces
-one after the other. Most pieces of a corpus repeat; each is encoded once per worker and then looked up as bytes.
+one after the other, unless an added token stands in it. Most pieces of a corpus repeat; each is encoded once per worker and then looked up as bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ ENCODE_AT_ONCE = 2_000
 _UNSAFE = re.compile(r"\s \s|\s $")
 _BEFORE_BLANK = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 # A word and the ASCII marks after it, which both kinds of vocabulary cut apart.
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)$")
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)\Z")
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -42,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Strings of added tokens have ids of their own, as in the library; texts with one are left to it whole.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.spaces = spaces
         self.bytes = _ByteLevel()
@@ -94,6 +95,9 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces between blanks; None if the text can't be cut there."""
+        low = text.lower()
+        if any(x in low for x in self.added):
+            return None
         if self.spaces == "dropped":
             return text.replace("\n", " ").split(" ")
         if any(x in text for x in _BEFORE_BLANK) and _UNSAFE.search(text):

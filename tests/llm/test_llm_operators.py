@@ -56,15 +56,37 @@ def collected(df):
     return [r.asDict() for r in df.collect()]
 
 
+PLAIN = {}
+
+
+def plain_ids(path, text, end_id):
+    """Ids by the library as it is, freshly loaded."""
+    from tokenizers import Tokenizer
+
+    if path not in PLAIN:
+        PLAIN[path] = Tokenizer.from_file(path)
+    return np.array([*PLAIN[path].encode(text or "", add_special_tokens=False).ids, end_id], "<u4")
+
+
 def test_encoder_equals_the_library(corpus):
     for path, spaces in ((WORD_BPE, "dropped"), (BYTE_BPE, "kept")):
         encoder = Encoder(path, spaces)
         texts = [t for _, t, _ in corpus] + ["foo\tbar \n baz", "don't CAN'T 'tis", "end ", " start", "日本 語。", "Σας İI ǆ e\u0301x", "a\x1cb"]
-        want = [np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 9], "<u4").tobytes() for t in texts]
+        want = [plain_ids(path, t, 9).tobytes() for t in texts]
         assert encoder.ids(texts, 9) == want
         assert encoder.ids(texts, 9) == want
 
 
+@pytest.mark.parametrize("path, spaces", [(WORD_BPE, "dropped"), (BYTE_BPE, "kept")])
+def test_encoder_equals_the_library_on_random_texts(path, spaces):
+    rng = random.Random(11)
+    some = ["a", "Word", "ß", "é", "e\u0301", "\u0345", "İ", "Σ", "ǆ", "日本", "x1", "½", "_", ".", "!?", "'s", "'", " ", " ", " ", "  ", "\n", "\n", "\n\n", "\t", "\r", "\x0b", "\x85", "\xa0", "\u3000", "\u2028", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "😀"]
+    texts = ["".join(rng.choices(some, k=rng.randrange(1, 9))) for _ in range(20_000)] + ["a\n", "h\n ß", "a.\n", "\n", "a\n\n", " \n"]
+    encoder = Encoder(path, spaces)
+    got = encoder.ids(texts, 9)
+    assert [t for t, g in zip(texts, got) if g != plain_ids(path, t, 9).tobytes()] == []
+
+
 @pytest.mark.parametrize("high", [1, 2, 300, 50_000, 2**31, 2**64 - 1])
 @pytest.mark.parametrize("n", [0, 1, 239, 1024, 1025, 7000])
 def test_simple8b_round_trip(n, high):
@@ -81,8 +103,7 @@ def test_token_files(spark, corpus):
     files = simple8b.write_token_files(frame(spark, corpus), WORD_BPE, 1, file_ids=5000)
     got = collected(simple8b.read_token_files(files))
     assert files.count() > 3 and len(got) == len(corpus)
-    tokenizer = Encoder(WORD_BPE, "dropped").tokenizer
-    ids = lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+    ids = lambda t: plain_ids(WORD_BPE, t, 1)
     want = Counter((d, len(ids(t)), zlib.crc32(ids(t))) for d, t, _ in corpus)
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     got.sort(key=lambda r: r["start"])
@@ -105,10 +126,9 @@ def test_best_fit_closes_the_fullest_and_picks_the_tightest():
 
 def test_packing(spark, corpus):
     got = collected(packing.pack_documents(frame(spark, corpus), BYTE_BPE, 2, 256))
-    tokenizer = Encoder(BYTE_BPE, "kept").tokenizer
     want = Counter()
     for d, t, _ in corpus:
-        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = plain_ids(BYTE_BPE, t, 2)
         first = (len(ids) - 1) % 256 + 1
         for k, (a, b) in enumerate(zip([0, *range(first, len(ids), 256)], [*range(first, len(ids) + 1, 256)])):
             want[d, k, a, b - a, zlib.crc32(ids[a:b])] += 1
