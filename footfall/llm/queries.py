@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chains, chat, decontaminate, lines, neardup, packing, quality, simple8b, urls, warc
+from footfall.llm import chains, chat, decontaminate, lines, neardup, packing, quality, repair, simple8b, urls, warc
 from footfall.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,10 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS co
 def op2_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Fuzzy passages of every document that an earlier document has."""
     return chains.fuzzy_passages(table(spark, folder, "documents"))
+
+
+@query
+def op12_block_table_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage every conversation and repair its structure with the cheapest edits."""
+    conversations = table(spark, folder, "conversations")
+    return repair.digests(repair.repair(repair.damage(conversations)), conversations)
