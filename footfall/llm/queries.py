@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chains, chat, decontaminate, lines, neardup, packing, quality, repair, simple8b, urls, warc
+from footfall.llm import chains, chat, decontaminate, lexical, lines, neardup, packing, quality, repair, simple8b, urls, warc
 from footfall.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,22 @@ def op12_block_table_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Damage every conversation and repair its structure with the cheapest edits."""
     conversations = table(spark, folder, "conversations")
     return repair.digests(repair.repair(repair.damage(conversations)), conversations)
+
+
+@query
+def op13_bag_dedup_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_bag_dedup_search"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+a AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(a.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, a GROUP BY term),
+q AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(ts) AS term FROM b) GROUP BY i, term),
+m AS (SELECT r, doc_id, 75 + (25 * len(ts) * a.n) // a.l AS m FROM d, a),
+s AS (SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN b USING (i) WHERE rank <= 20"""
