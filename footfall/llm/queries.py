@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chains, chat, decontaminate, lexical, lines, neardup, packing, quality, repair, simple8b, urls, warc
+from footfall.llm import chains, chat, decontaminate, lexical, lines, maxscore, neardup, packing, quality, repair, simple8b, urls, warc
 from footfall.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,17 @@ m AS (SELECT r, doc_id, 75 + (25 * len(ts) * a.n) // a.l AS m FROM d, a),
 s AS (SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r),
 k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (r) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN b USING (i) WHERE rank <= 20"""
+
+
+@query
+def op11_maxscore_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors of largest inner product for every fiftieth vector."""
+    return maxscore.top_k(maxscore.whole_vectors(table(spark, folder, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_maxscore_top_k"] = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.r <> d.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5"""
