@@ -43,7 +43,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of added tokens have ids of their own, as in the library; texts with one are left to it whole.
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Those the library looks for in the normalised text are looked for in lower case.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.normalized]
         self.model = self.tokenizer.model
         self.spaces = spaces
         self.bytes = _ByteLevel()
@@ -95,8 +98,10 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces between blanks; None if the text can't be cut there."""
-        low = text.lower()
-        if any(x in low for x in self.added):
+        for x in self.added:
+            if x in text:
+                return None
+        if self.folded and any(x in text.lower() for x in self.folded):
             return None
         if self.spaces == "dropped":
             return text.replace("\n", " ").split(" ")
