@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalar import clip, or_default, ratio, tokens
-from footfall.operators.scale import attach, quantiles, scalar, scalar_quantiles
+from footfall.operators.scale import attach, lookup_join, quantiles, scalar, scalar_quantiles
 from footfall.session import settle
 
 # Category words that put a venue into a domain.
@@ -319,25 +319,31 @@ def filter_city(df: DataFrame, city: str, col: str = "city") -> DataFrame:
     return df.where((name == want.lower()) | (~exact & F.contains(name, F.lit(want.lower()))))
 
 
-def city_pool(df: DataFrame, requests: DataFrame, min_n: int = 12) -> DataFrame:
-    """Per request (request_id, city, state): its city's rows if at least ``min_n``, else its state's, else all.
+def pool_members(df: DataFrame) -> DataFrame:
+    """Rows (level, pool, business_id): every row of ``df`` is in the pool of its city, of its state and in the one of all."""
+    pools = F.array(
+        F.struct(F.lit("city").alias("level"), F.col("city").alias("pool")),
+        F.struct(F.lit("state").alias("level"), F.col("state").alias("pool")),
+        F.struct(F.lit("all").alias("level"), F.lit("all").alias("pool")),
+    )
+    return df.select(F.explode(pools).alias("p"), "business_id").select("p.level", "p.pool", "business_id").where(F.col("pool").isNotNull())
 
-    The level is chosen from counts per city and state, so rows are joined once, at the chosen level only.
+
+def city_pool(df: DataFrame, requests: DataFrame, min_n: int = 12) -> DataFrame:
+    """Per request (request_id, city, state) the pool it draws from: its city's if that has ``min_n`` rows, else its state's, else all; with
+    the pool's size. Its rows are those of :func:`pool_members` with that level and pool; they aren't listed per request.
     """
-    by_city = df.groupBy("city").agg(F.count(F.lit(1)).alias("n_city"))
-    by_state = df.groupBy("state").agg(F.count(F.lit(1)).alias("n_state"))
-    # Counts per city and state are bounded by the number of places; the choice is made per request.
-    chosen = requests.join(by_city, "city", "left").join(by_state, "state", "left").select(
-        "request_id", "city", "state",
-        F.when(F.col("n_city") >= min_n, F.lit("city")).when(F.col("n_state") >= min_n, F.lit("state")).otherwise(F.lit("all")).alias("level"),
+    # At most one row per city and state.
+    sizes = pool_members(df).groupBy("level", "pool").agg(F.count(F.lit(1)).alias("n"))
+    size = lambda level, key: sizes.where(F.col("level") == level).select(F.col("pool").alias(key), F.col("n").alias(f"n_{level}"))
+    total = F.coalesce(scalar(df.agg(F.count(F.lit(1)).alias("n"))), F.lit(0))
+    met = lookup_join(lookup_join(requests, size("city", "city"), ["city"], "left"), size("state", "state"), ["state"], "left")
+    by_city, by_state = F.col("n_city") >= min_n, F.col("n_state") >= min_n
+    pick = lambda city, state, rest: F.when(by_city, city).when(by_state, state).otherwise(rest)
+    return met.select(
+        "request_id", pick(F.lit("city"), F.lit("state"), F.lit("all")).alias("level"),
+        pick(F.col("city"), F.col("state"), F.lit("all")).alias("pool"), pick(F.col("n_city"), F.col("n_state"), total).alias("n_pool"),
     )
-    out = None
-    for level, on in (("city", "city"), ("state", "state")):
-        part = chosen.where(F.col("level") == level).select("request_id", "level", on).join(df, on).select("request_id", "level", "business_id")
-        out = part if out is None else out.unionByName(part)
-    rest = chosen.where(F.col("level") == "all").agg(F.collect_list("request_id").alias("r"))
-    everyone = df.select(F.explode(scalar(rest)).alias("request_id"), F.lit("all").alias("level"), "business_id")
-    return out.unionByName(everyone)
 
 
 def canonical_case(df: DataFrame, col: str) -> DataFrame:

@@ -14,13 +14,14 @@ from footfall.functions.scalar import (
     context_score,
     critic_penalty,
     distance_decay,
-    haversine_km,
+    haversine_m,
     ratio,
     ride_cost_factor,
 )
 from footfall.operators.clean import NIGHTLIFE_WORDS, minmax
 from footfall.operators.geo import radius_join
-from footfall.operators.scale import attach, portable_hash, scalar, top_k
+from footfall.operators.pyramid import Pyramid, members
+from footfall.operators.scale import attach, portable_hash, scalar, spread_join, top_k
 from footfall.session import settle
 
 # Prior weights of the three objectives and the share given to the entropy weights.
@@ -248,22 +249,48 @@ def rank_mode(df: DataFrame, mode: str, segment_scores: DataFrame | None = None,
 def serve(venues: DataFrame, requests: DataFrame, score: str = "score") -> DataFrame:
     """Top k per request among its city's venues within the radius; the nearest k of the city when none is near.
 
-    ``requests``: request_id, city, ref_lat, ref_lon, radius_km, k.
+    ``requests``: request_id, city, ref_lat, ref_lon, radius_km, k. Equal requests are answered once. Of cells wholly within the radius only
+    their best venues are seen, of the city's others none; the nearest ones are found from cell to cell (:mod:`pyramid`).
     """
-    km = haversine_km("ref_lat", "ref_lon", "latitude", "longitude")
-    met = requests.join(venues, "city").withColumn("distance_km", km)
-    near = met.where(F.col("distance_km") <= F.col("radius_km"))
+    pos = ("latitude", "longitude")
+    asked = requests.select(
+        "request_id", "city", F.col("ref_lat").alias("q_lat"), F.col("ref_lon").alias("q_lon"), (F.col("radius_km") * 1000.0).alias("radius_m"), "k"
+    )
+    same = ["city", "q_lat", "q_lon", "radius_m", "k"]
+    # A question is named by what it asks; the hash only deals rows, the columns travel with it.
+    queries = settle(asked.select(*same).distinct().withColumn("q", F.struct(*same)))
+    most = queries.agg(F.max("k")).first()[0]
+    held = venues.select("city", *pos, "business_id", F.col(score).alias("_score"))
+    if most is None:
+        most = 0
+    by_score, by_id = [F.desc_nulls_last("_score"), F.asc("business_id")], [F.asc("business_id")]
+    tree = Pyramid(held, ["city"], pos)
+    keep = ["business_id", "_score"]
+    found = settle(tree.within(queries))
+    on = ["city", "level", "cell"]
+    inside = tree.meet_best(found.where("inside").select("q", "q_lat", "q_lon", "k", *on), tree.best(held, pos, by_score, most, keep), most)
+    inside = inside.withColumn("dist_m", haversine_m("q_lat", "q_lon", "lat", "lon"))
+    rim = tree.at_rim(found.where("not inside")).where(F.col("dist_m") <= F.col("radius_m"))
+    rim = members(tree, rim.select("q", "k", "city", "lat", "lon", "dist_m"), held, pos, by_score, most, keep)
+    columns = ["q", "k", "business_id", "_score", "dist_m"]
+    near = settle(_first(inside.select(columns).unionByName(rim.select(columns)), by_score))
+    lonely = queries.join(near.select("q").distinct(), "q", "left_anti")
+    far = tree.at_rim(tree.around(lonely))
+    # Places by distance, as many as can hold k venues; then their venues.
+    far = _first(far.select("q", "k", "city", "lat", "lon", "dist_m"), [F.asc("dist_m"), F.asc("lat"), F.asc("lon")], ties=True).drop("place")
+    far = _first(members(tree, far, held, pos, by_id, most, keep).select(columns), [F.asc("dist_m"), *by_id])
+    answers = near.withColumn("fallback", F.lit(False)).unionByName(far.withColumn("fallback", F.lit(True)))
+    met = spread_join(asked.withColumn("q", F.struct(*same)).select("request_id", "q"), answers.drop("k"), ["q"])
+    return met.select("request_id", "business_id", (F.col("dist_m") / 1000.0).alias("distance_km"), F.col("_score").alias(score), "place", "fallback")
+
+
+def _first(rows: DataFrame, order: Sequence[Column], ties: bool = False) -> DataFrame:
+    """The first ``k`` rows of each question; with ``ties`` all that are level with the k-th."""
     from pyspark.sql import Window
 
-    def first(df: DataFrame, order: Column) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("request_id").orderBy(order, F.col("business_id")))
-        return df.withColumn("place", place.cast("bigint")).where(F.col("place") <= F.col("k"))
-
-    inside = first(near, F.col(score).desc())
-    lonely = requests.select("request_id").join(near.select("request_id"), "request_id", "left_anti")
-    fallback = first(met.join(lonely, "request_id", "left_semi"), F.col("distance_km").asc())
-    both = inside.withColumn("fallback", F.lit(False)).unionByName(fallback.withColumn("fallback", F.lit(True)))
-    return both.select("request_id", "business_id", "distance_km", score, "place", "fallback")
+    by = Window.partitionBy("q").orderBy(*order)
+    place = (F.rank() if ties else F.row_number()).over(by)
+    return rows.withColumn("place", place.cast("bigint")).where(F.col("place") <= F.col("k"))
 
 
 # The measure each kind of visitor looks for.
@@ -283,15 +310,20 @@ ARCHETYPE_COLUMN = {
 
 
 def city_top(venues: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:
-    """Per request (request_id, city, archetype): the city's best venues by the measure of the archetype (stars by default)."""
-    value = F.col("stars").cast("double")
+    """Per request (request_id, city, archetype): the city's best venues by the measure of the archetype (stars by default).
+
+    Ranks per (city, measure) are made once; a request picks up the first ``n`` of its list.
+    """
+    measures = sorted({c for c in [*ARCHETYPE_COLUMN.values(), "stars"] if c in venues.columns})
+    pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("signal")) for c in measures])
+    every = venues.select("city", "business_id", F.explode(pairs).alias("m")).select("city", "business_id", "m.measure", "m.signal")
+    lists = top_k(every, n, [F.col("signal").desc(), F.col("business_id")], ["city", "measure"], "place")
+    wanted = F.lit("stars")
     for label, column in ARCHETYPE_COLUMN.items():
         if column in venues.columns:
-            value = F.when(F.col("archetype") == label, F.col(column).cast("double")).otherwise(value)
-    met = requests.join(venues, "city").withColumn("signal", F.coalesce(value, F.lit(0.0)))
-    return top_k(met, n, [F.col("signal").desc(), F.col("business_id")], ["request_id"], "place").select(
-        "request_id", "business_id", "signal", "place"
-    )
+            wanted = F.when(F.col("archetype") == label, F.lit(column)).otherwise(wanted)
+    met = spread_join(requests.select("request_id", "city", wanted.alias("measure")), lists, ["city", "measure"])
+    return met.select("request_id", "business_id", "signal", "place")
 
 
 def place_overview(venues: DataFrame) -> DataFrame:
