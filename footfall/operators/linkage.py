@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from footfall.functions.scalar import proximity_exp, proximity_linear, ratio, shift_minutes
 from footfall.operators.clean import confidence_tier
 from footfall.operators.geo import radius_join
-from footfall.operators.scale import best_row, lookup_join, scalar, spread_join
+from footfall.operators.scale import best_row, lookup_join, number_rows, scalar, spread_join
 from footfall.operators.text import cosine_pairs, fit_idf, term_counts, transform_tfidf
 from footfall.session import settle
 
@@ -113,11 +113,52 @@ def candidate_user_pairs(a: DataFrame, b: DataFrame, min_shared: int = 2) -> Dat
     return shared_places(a, b, min_shared).select("a_user", "b_user", "n_shared").distinct()
 
 
-def temporal_overlap(shared: DataFrame, a: DataFrame, b: DataFrame, hours: float = 72.0) -> DataFrame:
-    """Share of common places where some visit of one user lies within ``hours`` of a visit of the other.
+# Weights of common places and of common times in the similarity of two users.
+PLACE_WEIGHT, TIME_WEIGHT = 0.6, 0.4
+
+
+def place_sets(visits: DataFrame, weights: DataFrame) -> DataFrame:
+    """(user_id, place_id, pos, size): the distinct places of each user, rarest first. Order and size are found without one big task per user."""
+    places = visits.where(F.col("user_id").isNotNull() & F.col("place_id").isNotNull()).select("user_id", "place_id").distinct()
+    weighed = lookup_join(places, weights, ["place_id"])
+    placed = number_rows(weighed, [F.col("weight").asc(), F.col("place_id").asc()], ["user_id"], "pos")
+    sizes = places.groupBy("user_id").agg(rows().alias("size"))
+    return settle(lookup_join(placed, sizes, ["user_id"]).select("user_id", "place_id", "pos", "size"))
+
+
+def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    weights = settle(a.where(F.col("user_id").isNotNull()).select("place_id").unionByName(b.where(F.col("user_id").isNotNull()).select("place_id")).groupBy("place_id").agg(rows().alias("weight")))
+    return place_sets(a, weights), place_sets(b, weights)
+
+
+def alike_by_places(sa: DataFrame, sb: DataFrame, jaccard: float, min_shared: int) -> DataFrame:
+    """(a_user, b_user): every pair that can have this Jaccard index of its :func:`place_sets` and ``min_shared`` common places.
+
+    A set of n places needs ceil(jaccard n) in common, ``min_shared`` at least, so only its first n - need + 1 places meet, without the most
+    visited ones. Sizes must fit. Places beyond the prefix that ends first are at most need - 1 more, so the matches counted in
+    the prefixes must already make up the rest of what two sets of these sizes need.
+    """
+    shared = F.lit(min_shared)
+
+    def head(s: DataFrame, u: str) -> DataFrame:
+        need = F.greatest(F.ceil(F.lit(jaccard) * F.col("size") - 1e-9), shared)
+        return s.where(F.col("pos") <= F.col("size") - need + 1).select(
+            F.col("user_id").alias(f"{u}_user"), "place_id", F.col("size").alias(f"{u}_size"), need.alias(f"{u}_need")
+        )
+
+    met = spread_join(head(sa, "a"), head(sb, "b"), ["place_id"], both=True)
+    fits = (F.col("a_size") >= jaccard * F.col("b_size") - 1e-9) & (F.col("b_size") >= jaccard * F.col("a_size") - 1e-9)
+    counted = met.where(fits).groupBy("a_user", "b_user", "a_size", "b_size", "a_need", "b_need").agg(rows().alias("n"))
+    needed = F.greatest(F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("a_size") + F.col("b_size")) - 1e-9), shared)
+    return counted.where(F.col("n") + F.greatest("a_need", "b_need") - 1 >= needed).select("a_user", "b_user")
+
+
+def meetings(a: DataFrame, b: DataFrame, hours: float = 72.0) -> DataFrame:
+    """(a_user, b_user, place_id): places where some visit of one user lies within ``hours`` of a visit of the other.
 
     Visits are reduced to the first and last of each window-long bucket: visits in one bucket are always close, and
-    neighbouring buckets are close exactly when the last of one and the first of the other are.
+    neighbouring buckets are close exactly when the last of one and the first of the other are. Users meet by (place, bucket),
+    so a place of a third of all users pairs those of the same days only.
     """
     span = F.lit(int(hours * 3_600_000_000))
 
@@ -127,44 +168,51 @@ def temporal_overlap(shared: DataFrame, a: DataFrame, b: DataFrame, hours: float
             F.col("user_id").alias(user), "place_id", F.floor(t / span).alias("bucket")
         ).agg(F.min(t).alias(f"{user}_lo"), F.max(t).alias(f"{user}_hi"))
 
-    ab, bb = buckets(a, "a_user"), buckets(b, "b_user")
-    around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    looks = shared.select("a_user", "b_user", "place_id").join(ab, ["a_user", "place_id"]).withColumn("shift", around)
+    looks = buckets(a, "a_user").withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
     looks = looks.withColumn("bucket", F.col("bucket") + F.col("shift"))
-    met = looks.join(bb, ["b_user", "place_id", "bucket"])
+    met = spread_join(looks, buckets(b, "b_user"), ["place_id", "bucket"], both=True)
     near = (
         F.when(F.col("shift") == 0, F.lit(True))
         .when(F.col("shift") == 1, F.col("b_user_lo") - F.col("a_user_hi") <= span)
         .otherwise(F.col("a_user_lo") - F.col("b_user_hi") <= span)
     )
-    hits = met.where(near).select("a_user", "b_user", "place_id").distinct()
-    n_hits = hits.groupBy("a_user", "b_user").agg(rows().alias("_hits"))
-    pairs = shared.select("a_user", "b_user", "n_shared").distinct()
-    return pairs.join(n_hits, ["a_user", "b_user"], "left").select(
-        "a_user", "b_user", "n_shared", ratio(F.coalesce("_hits", F.lit(0)), "n_shared").alias("temporal_score")
-    )
+    return met.where(near).select("a_user", "b_user", "place_id").distinct()
 
 
-def score_user_pairs(a: DataFrame, b: DataFrame, min_shared: int = 2, hours: float = 72.0, decimals: int = 9) -> DataFrame:
-    """Jaccard of places, temporal overlap, their blend 0.6 / 0.4 and the confidence tier of every candidate pair."""
-    shared = settle(shared_places(a, b, min_shared))
-    timed = temporal_overlap(shared, a, b, hours)
-    sizes = [
-        x.where(F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias(u)).agg(F.count_distinct("place_id").alias(n))
-        for x, u, n in ((a, "a_user", "n_a"), (b, "b_user", "n_b"))
-    ]
-    out = timed.join(sizes[0], "a_user").join(sizes[1], "b_user")
-    jac = ratio("n_shared", F.col("n_a") + F.col("n_b") - F.col("n_shared"))
-    out = out.withColumn("jaccard", jac).withColumn(
-        "combined_similarity", F.round(0.6 * F.col("jaccard") + 0.4 * F.col("temporal_score"), decimals)
-    )
-    return out.withColumn("confidence_tier", confidence_tier())
+def count_shared(pairs: DataFrame, sa: DataFrame, sb: DataFrame) -> DataFrame:
+    """``pairs`` (a_user, b_user and more) with n_shared, n_a and n_b; pairs without a common place are left out."""
+    ours = spread_join(sa.select(F.col("user_id").alias("a_user"), "place_id", F.col("size").alias("n_a")), pairs, ["a_user"], both=True)
+    both = spread_join(ours, sb.select(F.col("user_id").alias("b_user"), "place_id", F.col("size").alias("n_b")), ["b_user", "place_id"])
+    return both.groupBy(*pairs.columns, "n_a", "n_b").agg(rows().alias("n_shared"))
+
+
+def linkable_pairs(a: DataFrame, b: DataFrame, min_shared: int = 2, hours: float = 72.0, min_combined: float = 0.15) -> DataFrame:
+    """Every pair of users with ``min_shared`` common places that can reach the combined similarity: by its places alone, or because it
+    met somewhere. a_user, b_user, n_shared, n_a, n_b, n_met. No other pair is built."""
+    sa, sb = _sides(a, b)
+    met = settle(meetings(a, b, hours).groupBy("a_user", "b_user").agg(rows().alias("n_met")))
+    alike = alike_by_places(sa, sb, min_combined / PLACE_WEIGHT, min_shared)
+    pairs = settle(alike.unionByName(met.select("a_user", "b_user")).distinct().join(met, ["a_user", "b_user"], "left").na.fill(0, ["n_met"]))
+    found = count_shared(pairs, sa, sb).where(F.col("n_shared") >= min_shared)
+    enough = PLACE_WEIGHT * ratio("n_shared", F.col("n_a") + F.col("n_b") - F.col("n_shared")) >= min_combined - 1e-9
+    return found.where((F.col("n_met") > 0) | enough)
+
+
+def score_user_pairs(a: DataFrame, b: DataFrame, min_shared: int = 2, hours: float = 72.0, min_combined: float = 0.15, decimals: int = 9) -> DataFrame:
+    """Jaccard of places, temporal overlap, their blend 0.6 / 0.4 and the confidence tier of every pair whose blend reaches ``min_combined``."""
+    found = linkable_pairs(a, b, min_shared, hours, min_combined)
+    out = found.withColumns({
+        "temporal_score": ratio("n_met", "n_shared"),
+        "jaccard": ratio("n_shared", F.col("n_a") + F.col("n_b") - F.col("n_shared")),
+    })
+    out = out.withColumn("combined_similarity", F.round(PLACE_WEIGHT * F.col("jaccard") + TIME_WEIGHT * F.col("temporal_score"), decimals))
+    out = out.where(F.col("combined_similarity") >= min_combined).withColumn("confidence_tier", confidence_tier())
+    return out.select("a_user", "b_user", "n_shared", "temporal_score", "n_a", "n_b", "jaccard", "combined_similarity", "confidence_tier")
 
 
 def link_users(a: DataFrame, b: DataFrame, min_shared: int = 2, hours: float = 72.0, min_combined: float = 0.15) -> DataFrame:
     """One-to-one user links above the threshold, best score first."""
-    scored = score_user_pairs(a, b, min_shared, hours)
-    good = scored.where((F.col("combined_similarity") >= min_combined) & (F.col("confidence_tier") != "noise"))
+    good = score_user_pairs(a, b, min_shared, hours, min_combined).where(F.col("confidence_tier") != "noise")
     return one_to_one(good, "a_user", "b_user", "combined_similarity")
 
 

@@ -139,10 +139,44 @@ def test_shared_places_and_time_window(spark):
     b = [("m", "x", t + timedelta(hours=71)), ("m", "y", t + timedelta(hours=73)), ("m", "z", t + timedelta(hours=72)), ("n", "x", t)]
     schema = "user_id string, place_id string, ts timestamp"
     fa, fb = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
-    shared = linkage.shared_places(fa, fb, 2)
-    got = linkage.temporal_overlap(shared, fa, fb, 72).collect()
-    assert [(r["a_user"], r["b_user"], r["n_shared"]) for r in got] == [("u", "m", 3)]
-    assert got[0]["temporal_score"] == pytest.approx(2 / 3)
+    assert {tuple(r) for r in linkage.candidate_user_pairs(fa, fb, 2).collect()} == {("u", "m", 3)}
+    got = linkage.linkable_pairs(fa, fb, 2, 72).collect()
+    assert [(r["a_user"], r["b_user"], r["n_shared"], r["n_met"]) for r in got] == [("u", "m", 3, 2)]
+
+
+def test_user_links_with_a_place_of_a_third_of_the_users(spark):
+    """Prefixes and meetings lose no pair, and a place that very many visit pairs none of them by itself."""
+    rng, t = np.random.default_rng(8), datetime(2020, 1, 1)
+    rows_a, rows_b = [], []
+    for side, out in ((0, rows_a), (1, rows_b)):
+        for u in range(240):
+            places = set(rng.choice(300, rng.integers(1, 14), replace=False).tolist())
+            if u % 12 == 0:
+                places = set(np.random.default_rng(u).choice(300, 9, replace=False).tolist()[: 9 - 2 * side])
+            out += [(u, p, t + timedelta(hours=int(rng.integers(0, 40_000)))) for p in places]
+            if u % 3 == 0:
+                out += [(u, 999, t + timedelta(hours=int(rng.integers(0, 40_000)))) for _ in range(2)]
+    fa, fb = (spark.createDataFrame(x, "user_id int, place_id int, ts timestamp") for x in (rows_a, rows_b))
+    want = {}
+    sets = [{u: {p for v, p, _ in x if v == u} for u in range(240)} for x in (rows_a, rows_b)]
+    times = [{}, {}]
+    for x, held in zip((rows_a, rows_b), times):
+        for u, p, ts in x:
+            held.setdefault((u, p), []).append(ts)
+    for u in range(240):
+        for w in range(240):
+            both = sets[0][u] & sets[1][w]
+            if len(both) < 2:
+                continue
+            hits = sum(any(abs(a - b) <= timedelta(hours=72) for a in times[0][u, p] for b in times[1][w, p]) for p in both)
+            if hits or 4 * len(both) >= len(sets[0][u] | sets[1][w]):
+                want[u, w] = (len(both), hits)
+    got = {(r["a_user"], r["b_user"]): (r["n_shared"], r["n_met"]) for r in linkage.linkable_pairs(fa, fb, 2, 72).collect()}
+    assert got == want and len(want) > 10
+    found = {tuple(r) for r in linkage.alike_by_places(*linkage._sides(fa, fb), 0.25, 2).collect()}
+    # Those that meet at the crowded place only aren't paired.
+    assert all((sets[0][u] & sets[1][w]) - {999} for u, w in found)
+    assert len(found) < 0.5 * sum(bool(sets[0][u] & sets[1][w]) for u in range(240) for w in range(240))
 
 
 def test_friend_paths(spark):
