@@ -561,37 +561,52 @@ def _(v):
     return evl.strongest_weakest(per.withColumn("mean", F.round("mean", 9)))
 
 
-POISSON = " + ".join(
-    f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END"
-    for c in [sum(__import__("math").exp(-1) / __import__("math").factorial(j) for j in range(k + 1)) for k in range(11)]
+def _poly_sql(coefficients, x: str) -> str:
+    out = repr(coefficients[0]) + "e0"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}e0)"
+    return out
+
+
+MIDDLE = f"{_poly_sql(st.NORMAL_A, '((u - 0.5e0) * (u - 0.5e0))')} * (u - 0.5e0) / {_poly_sql([*st.NORMAL_B, 1.0], '((u - 0.5e0) * (u - 0.5e0))')}"
+TAIL = f"{_poly_sql(st.NORMAL_C, 't')} / {_poly_sql([*st.NORMAL_D, 1.0], 't')}"
+QUANTILE = f"CASE WHEN u < {st.NORMAL_TAIL}e0 THEN {TAIL} WHEN u > 1 - {st.NORMAL_TAIL}e0 THEN -({TAIL}) ELSE {MIDDLE} END"
+# Cumulative probabilities of the Poisson distribution for small means, added up in order.
+view(
+    "poisson_steps",
+    f"""SELECT c, list(total ORDER BY k) AS steps FROM (SELECT c, k, sum(exp(-c + k * ln(c) - lgamma(k + 1))) OVER (PARTITION BY c ORDER BY k ROWS UNBOUNDED PRECEDING) AS total
+ FROM (SELECT CAST(unnest(range(1, {st.SMALL_COUNT})) AS DOUBLE) AS c), (SELECT CAST(unnest(range(0, 200)) AS DOUBLE) AS k)) GROUP BY c""",
 )
 
 
-def boot_sql(src: str, by: str, value: str, key: str, n: int) -> str:
+def boot_sql(src: str, by: str, value: str, n: int) -> str:
     b = f"{by}, " if by else ""
-    return f"""SELECT {b}b AS replicate, sum(w * v) / sum(w) AS mean FROM (SELECT {b}b, v, {POISSON} AS w FROM (SELECT {b}b, CAST({value} AS DOUBLE) AS v,
- CAST('0x' || substr(md5('42:' || CAST(b AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u
- FROM {src} CROSS JOIN (SELECT unnest(range({n})) AS b))) GROUP BY {b}b"""
+    return f"""SELECT {b}b AS replicate, sum(w * k) / sum(w) / 1e9 AS mean FROM (SELECT {b}b, k, CASE WHEN c < {st.SMALL_COUNT} THEN len(list_filter(steps, lambda s: s <= u)) ELSE CAST(greatest(floor(c + sqrt(c) * z + (z * z - 1) / 6 + 0.5e0), 0) AS BIGINT) END AS w
+ FROM (SELECT *, {QUANTILE} AS z FROM (SELECT *, sqrt(-2 * ln(least(u, 1 - u))) AS t FROM (SELECT h.*, p.steps, b, (CAST('0x' || substr(md5('42:' || CAST(b AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0 AS u
+ FROM (SELECT {b}CAST(round(CAST({value} AS DOUBLE) * 1e9) AS BIGINT) AS k, count(*) AS c FROM {src} WHERE {value} IS NOT NULL GROUP BY ALL) h LEFT JOIN poisson_steps p ON h.c = p.c CROSS JOIN (SELECT unnest(range({n})) AS b))))) GROUP BY {b}b"""
+
+
+RESAMPLES = 1000
 
 
 @query(
     "bootstrap_intervals", "E11",
     f"""SELECT m.method, m.mean, m.n, c.ci_lo, c.ci_hi FROM (SELECT method, avg(ndcg_10) AS mean, count(*) AS n FROM user_scores GROUP BY 1) m
-JOIN (SELECT method, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM ({boot_sql('user_scores', 'method', 'ndcg_10', 'user_id', 100)}) GROUP BY method) c ON m.method = c.method""",
+JOIN (SELECT method, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM ({boot_sql('user_scores', 'method', 'ndcg_10', RESAMPLES)}) GROUP BY method) c ON m.method = c.method""",
     rnd="mean ci_lo ci_hi",
 )
 def _(v):
-    return st.bootstrap_ci(user_scores(v), "ndcg_10", "user_id", ["method"], replicates=100)
+    return st.bootstrap_ci(user_scores(v), "ndcg_10", ["method"], RESAMPLES)
 
 
 @query(
     "stratified_bootstrap_interval", "E12",
-    f"""WITH r AS (SELECT b AS replicate, avg(m) AS mean FROM (SELECT domain, replicate AS b, mean AS m FROM ({boot_sql('ballots', 'domain', 'ndcg', 'persona_id', 20)})) GROUP BY b)
+    f"""WITH r AS (SELECT b AS replicate, avg(m) AS mean FROM (SELECT domain, replicate AS b, mean AS m FROM ({boot_sql('ballots', 'domain', 'ndcg', RESAMPLES)})) GROUP BY b)
 SELECT (SELECT avg(m) FROM (SELECT avg(ndcg) AS m FROM ballots GROUP BY domain)) AS mean, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM r""",
     rnd="mean ci_lo ci_hi",
 )
 def _(v):
-    return st.bootstrap_ci_stratified(v.ballots, "ndcg", "persona_id", "domain", replicates=20)
+    return st.bootstrap_ci_stratified(v.ballots, "ndcg", "domain", RESAMPLES)
 
 
 WINNER = """SELECT metric, max(CASE WHEN place = 1 THEN method END) AS winner, max(CASE WHEN place = 1 THEN value END) AS winner_value,
@@ -639,10 +654,21 @@ def _(v):
     return evl.ablation_deltas(method_means(v), "popularity", ["ndcg_10", "hit_10"])
 
 
+@query(
+    "method_comparison", "E26",
+    f"""SELECT m.*, c.ci_lo, c.ci_hi, m.ndcg_10 - (SELECT ndcg_10 FROM method_means WHERE method = 'popularity') AS delta FROM method_means m
+JOIN (SELECT method, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM ({boot_sql('user_scores', 'method', 'ndcg_10', RESAMPLES)}) GROUP BY method) c ON m.method = c.method""",
+    rnd=" ".join(METRICS) + " ci_lo ci_hi delta",
+)
+def _(v):
+    """The method table without the p-values, which SQL can't state."""
+    return evl.method_table(user_scores(v), "popularity", RESAMPLES).drop("p_vs_best", "delta_pct")
+
+
 @query("method_table", "E13 E26")
 def _(v):
     """Metrics, interval, p against the best and difference to the popularity order for every method."""
-    return evl.method_table(user_scores(v), "popularity", replicates=50)
+    return evl.method_table(user_scores(v), "popularity", RESAMPLES)
 
 
 @query(

@@ -206,10 +206,22 @@ def _(v):
     return rec.mean_weights(rec.score_candidates(tagged(v), popular(v), keep=5))
 
 
-@query("diverse_recommendations", "R7 U7")
+LIKE = f"""0.7 * (len(list_intersect(x.kinds, pick.kinds)) / CAST(greatest(len(list_distinct(list_concat(x.kinds, pick.kinds))), 1) AS DOUBLE)) + 0.3 * greatest(0.0, 1 - {hav('x.lat', 'x.lon', 'pick.lat', 'pick.lon', '6371.0')} / 5.0)"""
+
+
+@query(
+    "diverse_recommendations", "R7 U7",
+    f"""WITH RECURSIVE c AS (SELECT user_id, list(struct_pack(id := s.business_id, score := score, kinds := string_split(coalesce(cuisine_categories, ''), ', '), lat := latitude, lon := longitude) ORDER BY rank) AS items
+ FROM scored_candidates s JOIN popular_venues v ON s.business_id = v.business_id WHERE rank <= 100 GROUP BY user_id),
+r AS (SELECT user_id, items, CAST([] AS BIGINT[]) AS chosen, list_transform(items, lambda x: CAST(0 AS DOUBLE)) AS likes FROM c
+ UNION ALL SELECT user_id, items, list_append(chosen, nxt), list_transform(items, lambda x, i: greatest(likes[i], {LIKE})) FROM
+ (SELECT *, items[nxt] AS pick FROM (SELECT *, list_position(gain, list_max(gain)) AS nxt FROM (SELECT *, list_transform(items, lambda x, i: CASE WHEN NOT list_contains(chosen, i) THEN round(CASE WHEN len(chosen) = 0 THEN x.score ELSE 0.7 * x.score - (1 - 0.7) * likes[i] END, 9) END) AS gain
+  FROM r WHERE len(chosen) < least(20, len(items))))))
+SELECT user_id, items[chosen[n]].id AS business_id, CAST(n AS BIGINT) AS rank FROM (SELECT user_id, items, chosen, unnest(range(1, len(chosen) + 1)) AS n FROM r WHERE len(chosen) = least(20, len(items)))""",
+)
 def _(v):
     """Twenty recommendations per user, re-ranked for diversity."""
-    return rec.diversify(rec.score_candidates(tagged(v), popular(v)))
+    return rec.diversify(rec.score_candidates(tagged(v), popular(v))).select("user_id", "business_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("category_jaccard", "U7",

@@ -253,7 +253,7 @@ def method_table(per_user: DataFrame, reference: str, replicates: int = 1000, me
     """
     means = mean_metrics(per_user, ["method"], ks)
     best = means.agg(F.min_by("method", F.struct(-F.col(metric), F.col("method"))).alias("best"))
-    ci = bootstrap_ci(per_user, metric, "user_id", ["method"], replicates).select("method", "ci_lo", "ci_hi")
+    ci = bootstrap_ci(per_user, metric, ["method"], replicates).select("method", "ci_lo", "ci_hi")
     top = per_user.where(F.col("method") == scalar(best)).select("user_id", F.col(metric).alias("_top"))
     paired = per_user.select("method", "user_id", metric).join(top, "user_id")
     p = wilcoxon(paired, "_top", metric, ["method"]).select("method", F.col("p").alias("p_vs_best"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from footfall.functions.scalar import (
     context_score,
     critic_penalty,
     distance_decay,
+    haversine_km,
     haversine_m,
     ratio,
     ride_cost_factor,
@@ -129,44 +129,54 @@ def score_candidates(users: DataFrame, venues: DataFrame, radius_km: float = CAN
     return weighted_top(blend_weights(entropy_weights(objectives(users, venues, radius_km))), keep)
 
 
-def mmr_order(pdf: pd.DataFrame, k: int, lam: float) -> list[int]:
-    """Greedy order of a user's few candidates (best score first), trading score against likeness to what is
-    already chosen; the likeness of each candidate to the chosen set is kept as a running maximum."""
-    import numpy as np
-
-    n = len(pdf)
-    score = pdf["score"].to_numpy(dtype=float)
-    lat, lon = np.radians(pdf["latitude"].to_numpy(dtype=float)), np.radians(pdf["longitude"].to_numpy(dtype=float))
-    kinds = [set((c or "").split(", ")) for c in pdf["categories"]]
-    place = {t: i for i, t in enumerate(sorted(set().union(*kinds)))}
-    has = np.zeros((n, len(place)))
-    for i, ks in enumerate(kinds):
-        has[i, [place[t] for t in ks]] = 1.0
-    size = has.sum(axis=1)
-    like, waiting, order = np.zeros(n), np.ones(n, dtype=bool), []
-    while len(order) < min(k, n):
-        gain = score if not order else lam * score - (1 - lam) * like
-        pick = int(np.argmax(np.where(waiting, gain, -np.inf)))
-        order.append(pick)
-        waiting[pick] = False
-        common = has @ has[pick]
-        half = np.sin((lat - lat[pick]) / 2) ** 2 + np.cos(lat) * np.cos(lat[pick]) * np.sin((lon - lon[pick]) / 2) ** 2
-        km = 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(half, 0, 1)))
-        sim = 0.7 * common / np.maximum(size + size[pick] - common, 1) + 0.3 * np.maximum(0.0, 1 - km / 5.0)
-        like = np.maximum(like, sim)
-    return order
-
-
-def diversify(df: DataFrame, k: int = 20, lam: float = 0.7) -> DataFrame:
-    """Re-rank each user's kept candidates (a bounded handful, from :func:`weighted_top`) for diversity."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", ignore_index=True)
-        out = pdf.iloc[mmr_order(pdf, k, lam)].reset_index(drop=True)
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return df.groupBy("user_id").applyInPandas(run, df.schema)
+# Shares of common categories and of nearness in the likeness of two venues, and where nearness ends.
+CATEGORY_SHARE, NEAR_SHARE, NEAR_KM = 0.7, 0.3, 5.0
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two venues (kinds, latitude, longitude): Jaccard of categories and nearness."""
+    common = F.size(F.array_intersect(a["kinds"], b["kinds"])) / F.greatest(F.size(F.array_union(a["kinds"], b["kinds"])), F.lit(1))
+    km = haversine_km(a["latitude"], a["longitude"], b["latitude"], b["longitude"])
+    return CATEGORY_SHARE * common + NEAR_SHARE * F.greatest(F.lit(0.0), 1 - km / NEAR_KM)
+
+
+def diversify(df: DataFrame, k: int = 20, lam: float = 0.7, decimals: int = 9) -> DataFrame:
+    """Re-rank each user's kept candidates (a bounded handful, from :func:`weighted_top`) for diversity.
+
+    The greedy choice is a fold over the user's list: of those left, the one with the best balance of score and likeness to what is chosen
+    comes next, the better ranked one on ties; each one's likeness to the chosen set is kept as a running maximum.
+    """
+    kinds = F.split(F.coalesce("categories", F.lit("")), ", ").alias("kinds")
+    item = F.struct("rank", *[c for c in df.columns if c not in ("user_id", "rank")], kinds)
+    # At most the kept candidates of a user, a number fixed by the caller. The fold takes far longer than its rows let expect, so
+    # it isn't left to be put into few tasks by size.
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    lists = dealt.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = F.col("items")
+    start = F.struct(F.array().cast("array<int>").alias("chosen"), F.transform(items, lambda x: F.lit(0.0)).alias("like"))
+
+    def choose(state: Column, _: Column) -> Column:
+        first = F.size(state["chosen"]) == 0
+        gain = F.transform(items, lambda x, i: F.when(
+            ~F.array_contains(state["chosen"], i),
+            F.round(F.when(first, x["score"]).otherwise(lam * x["score"] - (1 - lam) * F.get(state["like"], i)), decimals),
+        ))
+        return F.struct(state["chosen"].alias("chosen"), state["like"].alias("like"), (F.array_position(gain, F.array_max(gain)) - 1).cast("int").alias("pick"))
+
+    def follow(state: Column, step: Column) -> Column:
+        picked = choose(state, step)
+        # The pick is computed once per step: a one-element array binds it.
+        bound = F.transform(F.array(picked), lambda p: F.struct(
+            F.array_append(p["chosen"], p["pick"]).alias("chosen"),
+            F.zip_with(items, p["like"], lambda x, old: F.greatest(old, likeness(x, F.get(items, p["pick"])))).alias("like"),
+        ))
+        return F.get(bound, F.lit(0))
+
+    steps = F.sequence(F.lit(1), F.least(F.lit(k), F.size(items)))
+    chosen = F.aggregate(steps, start, follow, lambda s: s["chosen"])
+    placed = lists.select("user_id", "items", F.posexplode(chosen).alias("_place", "_i")).select("user_id", F.get(items, F.col("_i")).alias("_x"), "_place")
+    columns = {c: F.col(f"_x.{c}") for c in df.columns if c not in ("user_id", "rank")} | {"user_id": F.col("user_id"), "rank": (F.col("_place") + 1).cast(df.schema["rank"].dataType)}
+    return placed.select(*[columns[c].alias(c) for c in df.columns])
 
 
 def mean_weights(recommended: DataFrame, columns: Sequence[str] = OBJECTIVES) -> DataFrame:
