@@ -75,29 +75,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumns(content_keys(SALT)).select("doc_id", "k1", "k2", words_of(F.col("text").cast("string")).alias("words"))
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Occurrences of item windows in documents: k1, k2, start, len, joined; each once."""
+def find_windows(docs: DataFrame, windows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as doc_id, k1, k2, n_words; and the occurrences of item windows: k1, k2, start, len, joined, each once.
+
+    Texts are cut into words once: the pass that looks for fingerprints of whole windows gives a row for each document too. Only beyond the
+    size that is broadcast these rows are read apart, as they have no fingerprint to be joined by.
+    """
     probes = settled(windows.select("kind", "fingerprint", "offset", "len").distinct())
     small = probes.count() * ROW_BYTES <= BROADCAST_BYTES
-    kinds = [r.kind for r in probes.select("kind").distinct().collect()]  # at most GRAM + 1 of them
-    if not kinds:
-        return docs.select("k1", "k2", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("joined")).where(F.lit(False))
+    kinds = {r.kind for r in probes.select("kind").distinct().collect()} | {window}  # at most GRAM + 1 of them
     found = []
-    for kind in kinds:
+    for kind in sorted(kinds, reverse=True):
         over = window - gram + 1 if kind == window else 1
         grams = given(F.transform("words", lambda x: F.xxhash64(x)), lambda h: gram_hashes(h, min(kind, gram)))  # noqa: B023
-        marks = docs.select("k1", "k2", "words", given(grams, lambda g: window_minima(g, over)).alias("marks"))  # noqa: B023
+        marks = F.transform(given(grams, lambda g: window_minima(g, over)), lambda f, i: F.struct(i.alias("at"), f.alias("fingerprint")))  # noqa: B023
+        # The document itself comes before its marks.
+        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("fingerprint")))
+        marks = docs.select("doc_id", "k1", "k2", "words", F.explode(F.concat(own, marks) if kind == window else marks).alias("m"))
+        marks = marks.select("doc_id", "k1", "k2", "words", "m.at", "m.fingerprint")
         mine = probes.where(F.col("kind") == kind).drop("kind")
         if small:
-            rows = marks.select("k1", "k2", "words", F.posexplode("marks").alias("at", "fingerprint")).join(F.broadcast(mine), "fingerprint")
+            rows = marks.join(F.broadcast(mine), "fingerprint", "left")
         else:
-            at = marks.select("k1", "k2", F.posexplode("marks").alias("at", "fingerprint")).join(mine, "fingerprint")
-            rows = at.join(docs.select("k1", "k2", "words").dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+            # Texts don't travel with every mark: rows that meet a fingerprint fetch the words again.
+            met = marks.where("at >= 0").drop("words").join(mine, "fingerprint")
+            rows = met.join(docs.select("k1", "k2", "words").dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+            if kind == window:
+                rows = rows.unionByName(marks.where("at < 0").drop("fingerprint"), allowMissingColumns=True)
         start = F.col("at") - F.col("offset")
-        rows = rows.where((start >= 0) & (start + F.col("len") <= F.size("words")))
-        found.append(rows.select("k1", "k2", start.alias("start"), "len", F.array_join(F.slice("words", start + 1, F.col("len")), " ").alias("joined")))
-    candidates = reduce(DataFrame.unionByName, found)
-    return candidates.join(windows.select("len", "joined").distinct(), ["len", "joined"]).distinct()
+        here = (start >= 0) & (start + F.col("len") <= F.size("words"))
+        rows = rows.where((F.col("at") < 0) | here)
+        found.append(rows.select("doc_id", "k1", "k2", F.size("words").cast("bigint").alias("n_words"), start.alias("start"), "len", F.array_join(F.slice("words", start + 1, F.col("len")), " ").alias("joined")))
+    seen = settled(reduce(DataFrame.unionByName, found))
+    hits = seen.where("start is not null").select("k1", "k2", "start", "len", "joined")
+    hits = hits.join(windows.select("len", "joined").distinct(), ["len", "joined"]).distinct()
+    return seen.where("start is null").select("doc_id", "k1", "k2", "n_words"), hits
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -110,7 +122,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     windows = settled(item_windows(items, window, gram))
     keyed = _keyed(docs)
-    hits = settled(find_windows(keyed, windows, window, gram))
+    counted, hits = find_windows(keyed, windows, window, gram)
+    hits = settled(hits)
     # Words under the union of a document's windows: each adds what reaches beyond all before it.
     before = Window.partitionBy("k1", "k2").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     stop = F.col("start") + F.col("len")
@@ -121,7 +134,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     listed = hits.select("k1", "k2", "len", "joined").distinct().join(named, ["len", "joined"]).select("k1", "k2", "item_id").distinct()
     listed = listed.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     result = n_hit.join(listed, ["k1", "k2"], "left")
-    out = keyed.select("doc_id", "k1", "k2", F.size("words").cast("bigint").alias("n_words")).join(result, ["k1", "k2"], "left")
+    out = counted.join(result, ["k1", "k2"], "left")
     hit, items_ = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"),
