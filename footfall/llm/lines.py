@@ -83,13 +83,12 @@ def with_runs(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
-def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, leave_copies: float | None = None, spared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, spared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with later repeated runs taken out of ``text``: all its columns, and n_lines, n_removed, words, words_removed.
 
     Lines are compared without blanks at their ends; lines without a word belong to no run and stay. A null text stays null with no lines.
     Rows alike in doc_id and text count as one document and get the same result. A text that is one run of an earlier one becomes empty.
-    With ``leave_copies`` a document of which at least that share of words would go is left whole: it is a copy, for a step
-    that compares documents. ``spared`` gets the runs and gives keys (k1, k2) of documents that are left whole. Columns of ``docs`` with the names of the four new ones are replaced.
+    ``spared`` gets the runs and gives keys (k1, k2) of documents that are left whole. Columns of ``docs`` with the names of the four new ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "words", "words_removed")
     runs = settled(repeated_runs(_keyed(docs), run_words))
@@ -103,9 +102,6 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, leave_copies: float
     rows = rows.withColumn("__new", F.when(F.col("__runs").isNull(), text).otherwise(F.array_join(kept, "\n")))
     words = lambda c: F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")
     lines = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0)).cast("bigint")
-    if leave_copies is not None:
-        whole = words(text) - words(F.col("__new")) >= leave_copies * words(text)
-        rows = rows.withColumn("__runs", F.when(~whole, F.col("__runs"))).withColumn("__new", F.when(F.col("__runs").isNull(), text).otherwise(F.col("__new")))
     changed = F.col("__runs").isNotNull()
     rows = rows.withColumns({"n_lines": lines(text), "words": words(text), "n_removed": F.when(changed, lines(text) - lines(F.col("__new"))).otherwise(F.lit(0).cast("bigint")), "words_removed": F.when(changed, words(text) - words(F.col("__new"))).otherwise(F.lit(0).cast("bigint"))})
     return rows.withColumn("text", F.col("__new")).drop("__k1", "__k2", "__runs", "__new")

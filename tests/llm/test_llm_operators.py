@@ -186,7 +186,7 @@ def test_line_dedup(spark, corpus):
         assert any(r["n_removed"] for r in got)
         expected = Counter((d, want.get((d, t))) for d, t, _ in rows)
         assert Counter((r["doc_id"], r["text"]) for r in got) == expected
-    left = collected(lines.dedup_lines(frame(spark, rows), run_words=12, leave_copies=0.0))
+    left = collected(lines.dedup_lines(frame(spark, rows), run_words=12, spared=lambda runs: runs.select("doc.k1", "doc.k2").distinct()))
     assert Counter((r["doc_id"], r["text"]) for r in left) == Counter((d, t) for d, t, _ in rows)
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
