@@ -6,44 +6,72 @@ Every stage takes (spark, docs, sf_dir). All but the last give the columns of ``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import decontaminate, lines, neardup, packing, quality
 from footfall.llm.queries import vocabulary
-from footfall.llm.shared import content_keys, settled, table
+from footfall.llm.decontaminate import given, gram_hashes
+from footfall.llm.shared import ascii_lower, content_keys, settled, table
+from footfall.llm.urls import BITS_PER_URL, BROADCAST_BYTES, ROW_BYTES, WORDS, blocked_bloom, mark_listed
+from footfall.operators.scale import spread_join
 
-# Decides nothing any more (see ``sure_copies``); tests/llm states its expectation with it.
-COPY_SHARE = 0.3
+# Near copies by the measure of the near-copy stage.
+SHINGLE, PERCENT = 5, 80
 
 
-def _kept(docs: DataFrame, keys: DataFrame, salt: int, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose content key is (not) among ``keys`` (k1, k2)."""
-    named = {f"__{k}": c for k, c in content_keys(salt).items()}
-    return docs.withColumns(named).join(keys.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), ["__k1", "__k2"], how)
+def _without(docs: DataFrame, keys: DataFrame, salt: int) -> DataFrame:
+    """``docs`` without rows whose content key is among ``keys`` (k1, k2), with the key as __k1 and __k2.
+
+    A blocked Bloom filter of the keys lets the texts of other rows stay where they are; only rows it can't rule out meet the keys.
+    """
+    keys = settled(keys.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct())
+    named = docs.withColumns({f"__{k}": c for k, c in content_keys(salt).items()})
+    some, others = _marked(named, keys)
+    return some.join(keys, ["__k1", "__k2"], "left_anti").unionByName(others)
+
+
+def _marked(named: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of the keys, and rows that have none. Once the filter were too large to broadcast, all may have one."""
+    blocks = max(1, -(-keys.count() * BITS_PER_URL // (64 * WORDS)))
+    if blocks * ROW_BYTES > BROADCAST_BYTES:
+        return named, named.where(F.lit(False))
+    bloom = F.broadcast(blocked_bloom(keys.select(F.col("__k1").alias("key")), blocks))
+    marked = mark_listed(named, bloom, F.col("__k1"), blocks, "__maybe")
+    return marked.where("__maybe").drop("__maybe"), marked.where("not __maybe").drop("__maybe")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or a risk-controlled cutoff of their language go."""
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, judged.where("kept"), quality.SALT).select(docs.columns)
+    return _without(docs, judged.where("not kept"), quality.SALT).select(docs.columns)
+
+
+def shingles(text: Column) -> Column:
+    """Hashes of the distinct shingles of a text."""
+    words = F.filter(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.array_distinct(given(hashes, lambda h: gram_hashes(h, SHINGLE)))
 
 
 def sure_copies(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Keys (k1, k2) of documents with runs that the near-copy stage removes if they reach it whole.
 
-    Among documents with runs and their sources, groups of near copies are formed on the full sets. If the first of a group has no runs
-    itself, no text of the group changes, so the stage finds the group again and keeps at most the first. In other groups all are cut.
+    Such a document is a near copy of the source of one of its runs, and that source, an earlier document, has no runs itself, so no
+    text of the two changes and the stage links them. Only pairs that the runs name are compared, by their whole shingle sets.
     """
-    own, near = content_keys(lines.SALT), content_keys(neardup.SALT)
-    keyed = docs.select("doc_id", "text").withColumns({"l1": own["k1"], "l2": own["k2"], "n1": near["k1"], "n2": near["k2"]})
-    key = lambda c: runs.select(F.col(f"{c}.k1").alias("l1"), F.col(f"{c}.k2").alias("l2"))
-    cut = key("doc").distinct().withColumn("cut", F.lit(True))
-    some = settled(keyed.join(key("doc").union(key("source")).distinct(), ["l1", "l2"]).join(cut, ["l1", "l2"], "left").dropDuplicates(["l1", "l2"]))
-    groups = neardup.near_duplicates(some).select("component_id", "first", F.col("k1").alias("n1"), F.col("k2").alias("n2"))
-    groups = settled(groups.join(some.select("l1", "l2", "n1", "n2", F.coalesce("cut", F.lit(False)).alias("cut")), ["n1", "n2"]))
-    heads = groups.where("first").groupBy("component_id").agg(F.max("cut").alias("changes")).where("not changes")
-    return groups.where("cut and not first").join(heads, "component_id").select(F.col("l1").alias("k1"), F.col("l2").alias("k2"))
+    key = lambda c, a, b: [F.col(f"{c}.k1").alias(a), F.col(f"{c}.k2").alias(b)]
+    cut = runs.select(*key("doc", "s1", "s2")).distinct()
+    pairs = runs.select(*key("doc", "k1", "k2"), *key("source", "s1", "s2")).distinct().join(cut, ["s1", "s2"], "left_anti")
+    pairs = settled(pairs)
+    wanted = settled(pairs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).union(pairs.select("s1", "s2")).distinct())
+    some, _ = _marked(docs.select("text", "doc_id").withColumns({f"__{k}": c for k, c in content_keys(lines.SALT).items()}), wanted)
+    some = some.join(wanted, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    sets = settled(some.select("__k1", "__k2", shingles(F.col("text").cast("string")).alias("held")))
+    side = lambda a, b, name: sets.select(F.col("__k1").alias(a), F.col("__k2").alias(b), F.col("held").alias(name))
+    met = spread_join(spread_join(pairs, side("s1", "s2", "theirs"), ["s1", "s2"]), side("k1", "k2", "ours"), ["k1", "k2"])
+    common = F.size(F.array_intersect("ours", "theirs"))
+    return met.where(100 * common >= PERCENT * (F.size("ours") + F.size("theirs") - common)).select("k1", "k2").distinct()
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +84,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    groups = neardup.near_duplicates(docs)
-    return _kept(docs, groups.where("first"), neardup.SALT).dropDuplicates(["__k1", "__k2"]).select(docs.columns)
+    groups = settled(neardup.near_duplicates(docs, SHINGLE, PERCENT))
+    left = _without(docs, groups.where("not first"), neardup.SALT)
+    # Rows alike in id and text: one stays.
+    again = groups.where("first").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    some, others = _marked(left, settled(again.drop("n")))
+    return some.dropDuplicates(["__k1", "__k2"]).unionByName(others).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more stands in benchmark items go."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.where("contaminated"), decontaminate.SALT, "left_anti").select(docs.columns)
+    return _without(docs, found.where("contaminated"), decontaminate.SALT).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
