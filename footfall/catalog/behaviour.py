@@ -337,6 +337,16 @@ def _(v):
     return ft.calendar_profile(v.reviews)
 
 
+@query(
+    "season_profile", "A37",
+    """SELECT (SELECT avg(CASE WHEN isodow(ts) < 6 THEN 1.0 ELSE 0.0 END) FROM reviews) AS weekday_share, (SELECT stddev_samp(n) / avg(n) FROM (SELECT count(*) AS n FROM reviews GROUP BY month(ts))) AS month_cv,
+ avg(cv) AS venue_cv_mean, count(*) FILTER (cv < 0.3) AS steady_venues FROM (SELECT stddev_samp(n) / avg(n) AS cv FROM (SELECT business_id, count(*) AS n FROM reviews GROUP BY business_id, year(ts)) GROUP BY business_id HAVING count(*) > 1)""",
+    rnd="weekday_share month_cv venue_cv_mean",
+)
+def _(v):
+    return ft.season_profile(v.reviews)
+
+
 @query(
     "events_per_month", "A45", "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n FROM interactions GROUP BY 1"
 )

@@ -269,16 +269,62 @@ def _(v):
     return st.correlation_grid(v.ballots, "persona_id", ["ndcg", "stars_ndcg"], ["revisit_score", "model_revisit_signal"]).drop("p")
 
 
+@query(
+    "notable_correlations", "E14",
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, rho, n FROM ({SPEARMAN.format(src=f'SELECT {a} AS x, {b} AS y FROM ballots')})" for a in ("ndcg", "stars_ndcg") for b in ("revisit_score", "model_revisit_signal", "ndcg")
+    ) + ") WHERE n > 50 AND abs(rho) > 0.05",
+    rnd="rho",
+)
+def _(v):
+    """Correlations of enough pairs that are large enough to speak of."""
+    grid = st.correlation_grid(v.ballots, "persona_id", ["ndcg", "stars_ndcg"], ["revisit_score", "model_revisit_signal", "ndcg"])
+    return st.notable_correlations(grid).drop("p")
+
+
+# The words expected of each part type for its name, its brand and its own label.
+ANSWER_WORDS = {
+    "ECONOMY": (("red", "blue"), ("1",), ("o",)), "STANDARD": (("ring",), ("2", "3"), ("x",)), "MEDIUM": (("small", "bolt"), ("4",), ("m",)),
+    "PROMO": (("widget",), ("5", "6"), ("p",)), "LARGE": (("large", "red"), ("7",), ("z",)),
+}
+
+
+def _named_sql() -> str:
+    def one(words, column):
+        return "CAST(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + " AS INT)"
+
+    cases = " ".join(f"WHEN '{k}' THEN " + " + ".join(one(w, c) for w, c in zip(per, ("p_name", "p_brand", "p_type"))) for k, per in ANSWER_WORDS.items())
+    return f"SELECT p_type, CASE WHEN CASE p_type {cases} ELSE 0 END >= 2 THEN 1 ELSE 0 END AS authentic FROM part"
+
+
+view("marked_answers", _named_sql())
+
+
+def part_answers(v):
+    return v.raw("part").select("p_type", "p_name", "p_brand", F.col("p_type").alias("answer")), ANSWER_WORDS, "p_type", ["p_name", "p_brand", "answer"]
+
+
 @query(
     "answer_authenticity", "E34 F18",
-    """WITH a AS (SELECT p_type, CAST(p_name LIKE '%red%' OR p_name LIKE '%blue%' AS INT) + CAST(lower(p_brand) LIKE '%1%' AS INT) + CAST(lower(p_type) LIKE '%o%' AS INT) AS h FROM part WHERE p_type = 'ECONOMY'
- UNION ALL SELECT p_type, 0 FROM part WHERE p_type <> 'ECONOMY')
-SELECT p_type, avg(CASE WHEN h >= 2 THEN 1.0 ELSE 0.0 END) AS share, CAST(sum(CASE WHEN h >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_authentic, count(*) AS n FROM a GROUP BY 1""", rnd="share",
+    "SELECT p_type, avg(authentic) AS share, CAST(sum(authentic) AS BIGINT) AS n_authentic, count(*) AS n FROM marked_answers GROUP BY 1", rnd="share",
+)
+def _(v):
+    return evl.authenticity(*part_answers(v))
+
+
+# Fixed value: what chi-squared with five degrees of freedom exceeds with a chance of 5 %; the six part types have as many.
+CHI2_5 = 11.070497693516351
+
+
+@query(
+    "manipulation_verdict", "E34 E20",
+    f"""WITH c AS (SELECT p_type, authentic, count(*) AS o FROM marked_answers GROUP BY 1, 2), m AS (SELECT *, CAST(o AS DOUBLE) * o / (sum(o) OVER (PARTITION BY p_type) * CAST(sum(o) OVER (PARTITION BY authentic) AS DOUBLE)) AS s FROM c),
+ x AS (SELECT CAST(sum(o) AS DOUBLE) * (sum(s) - 1) AS chi2, (count(DISTINCT p_type) - 1) * (count(DISTINCT authentic) - 1) AS dof FROM m) SELECT chi2, dof, dof = 5 AND chi2 > {CHI2_5} AS told_apart FROM x""",
+    rnd="chi2", digits=5,
 )
 def _(v):
-    words = {"ECONOMY": (("red", "blue"), ("1",), ("o",))}
-    answers = v.raw("part").select("p_type", "p_name", "p_brand", F.col("p_type").alias("answer"))
-    return evl.authenticity(answers, words, "p_type", ["p_name", "p_brand", "answer"])
+    """Whether the part types differ in how often the expected words are named."""
+    return evl.manipulation_verdict(*part_answers(v)).drop("p")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from footfall.functions.scalar import ratio
 from footfall.operators.events import overlap_users
 from footfall.operators.scale import attach, lookup_join, scalar, top_k
-from footfall.operators.stats import bootstrap_ci, rows, spearman, wilcoxon
+from footfall.operators.stats import bootstrap_ci, chi_squared, rows, spearman, wilcoxon
 
 KS = (5, 10, 20)
 
@@ -223,10 +223,10 @@ def metrics_by_sets(ballots: DataFrame, sets: Sequence[Sequence[str]], measures:
     return out.withColumn("level", level).drop("_g")
 
 
-def authenticity(
+def mark_authentic(
     answers: DataFrame, signals: dict[str, Sequence[Sequence[str]]], segment: str, columns: Sequence[str], need: int = 2
 ) -> DataFrame:
-    """Share per segment of rows whose answers name, for at least ``need`` questions, one of the words expected from
+    """Add ``authentic`` (0/1): the answers name, for at least ``need`` questions, one of the words expected from
     the segment there (``signals``: segment -> one word list per question). Unknown segments have no words."""
 
     def named(i, column):
@@ -237,12 +237,31 @@ def authenticity(
         return F.exists(words, lambda w: F.contains(said, w)).cast("int")
 
     hits = sum((named(i, c) for i, c in enumerate(columns)), F.lit(0))
-    marked = answers.withColumn("authentic", (hits >= need).cast("int"))
+    return answers.withColumn("authentic", (hits >= need).cast("int"))
+
+
+def authenticity(
+    answers: DataFrame, signals: dict[str, Sequence[Sequence[str]]], segment: str, columns: Sequence[str], need: int = 2
+) -> DataFrame:
+    """Share per segment of authentic rows (see :func:`mark_authentic`)."""
+    marked = mark_authentic(answers, signals, segment, columns, need)
     return marked.groupBy(segment).agg(
         F.avg("authentic").alias("share"), F.sum("authentic").alias("n_authentic"), rows().alias("n")
     )
 
 
+def manipulation_verdict(
+    answers: DataFrame, signals: dict[str, Sequence[Sequence[str]]], segment: str, columns: Sequence[str], need: int = 2, level: float = 0.05
+) -> DataFrame:
+    """One row: chi-squared of authenticity against segments, dof, p, and ``told_apart``: the segments' shares differ at ``level``.
+
+    With one segment, or when all or no rows are authentic, there is nothing to test: chi2 is null and the verdict false.
+    """
+    marked = mark_authentic(answers, signals, segment, columns, need)
+    tested = chi_squared(marked, segment, "authentic")
+    return tested.withColumn("told_apart", F.coalesce((F.col("dof") > 0) & (F.col("p") < level), F.lit(False)))
+
+
 # ---------------------------------------------------------------- method tables
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.scalar import age_days, decay, ratio, seconds_between
-from footfall.operators.scale import top_k
+from footfall.operators.scale import attach, top_k
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -427,3 +427,14 @@ def calendar_profile(reviews: DataFrame) -> DataFrame:
         F.struct(F.lit("month").alias("part"), F.month("ts").alias("slot")),
     )
     return reviews.select(F.explode(both).alias("x")).groupBy("x.part", "x.slot").agg(rows().alias("n"))
+
+
+def season_profile(reviews: DataFrame) -> DataFrame:
+    """One row: share on weekdays, variation of the months (sample deviation over mean of the months that occur), and mean and number
+    below 0.3 of the venues' variation from year to year. Venues of one year have none."""
+    days = reviews.agg(ratio(F.count_if(F.weekday("ts") < 5), rows()).alias("weekday_share"))
+    months = reviews.groupBy(F.month("ts").alias("month")).agg(rows().alias("n")).agg(ratio(F.stddev_samp("n"), F.avg("n")).alias("month_cv"))
+    yearly = reviews.groupBy("business_id", F.year("ts").alias("year")).agg(rows().alias("n"))
+    venues = yearly.groupBy("business_id").agg(ratio(F.stddev_samp("n"), F.avg("n")).alias("cv")).where(F.col("cv").isNotNull())
+    steady = venues.agg(F.avg("cv").alias("venue_cv_mean"), F.count_if(F.col("cv") < 0.3).alias("steady_venues"))
+    return attach(attach(days, months, []), steady, [])

@@ -95,6 +95,11 @@ def correlation_grid(df: DataFrame, key: str, xs: Sequence[str], ys: Sequence[st
     return spearman(long, "vx", "vy", by=["x", "y"], p_value=True)
 
 
+def notable_correlations(grid: DataFrame, least_n: int = 50, least: float = 0.05) -> DataFrame:
+    """Rows of a :func:`correlation_grid` with more than ``least_n`` pairs and a correlation beyond ``least``."""
+    return grid.where((F.col("n") > least_n) & (F.abs("rho") > least))
+
+
 def pearson_grid(df: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
     """Pearson r of every x with every y from a single aggregation over the rows where both are known."""
     aggs = []
