@@ -381,7 +381,11 @@ def grams_sql(table: str, key: str, sizes: str) -> str:
 
 
 view("name_list", "SELECT DISTINCT p_name AS name FROM part")
-view("name_asked", "SELECT p_partkey AS query_id, lower(substr(p_name, 1, 2) || substr(p_name, 4, 100)) AS query FROM part")
+view(
+    "name_asked",
+    """SELECT query_id, CASE WHEN query = 'smll ring' THEN 'red widget' ELSE query END AS query FROM (SELECT p_partkey AS query_id,
+ CASE WHEN p_partkey % 10 = 3 THEN lower(substr(p_name, 2, 2)) ELSE lower(substr(p_name, 1, 2) || substr(p_name, 4, 100)) END AS query FROM part)""",
+)
 view("query_list", "SELECT DISTINCT query FROM name_asked")
 view("list_counts", f"SELECT name, term, count(*) AS tf FROM ({grams_sql('name_list', 'name', '(2), (3), (4)')}) GROUP BY 1, 2")
 view("list_idf", "SELECT term, ln((1.0 + (SELECT count(*) FROM name_list)) / (1 + count(*))) + 1 AS idf FROM list_counts GROUP BY term")
@@ -392,14 +396,13 @@ view("asked_weights", "SELECT query, term, tf * idf / sqrt(sum(tf * idf * tf * i
 
 @query("name_search", "V5 F15 F16",
     f"""WITH near AS (SELECT query, name, sum(a.weight * b.weight) + 0.25 AS score FROM asked_weights a JOIN list_weights b USING (term) GROUP BY 1, 2 HAVING sum(a.weight * b.weight) > 0.03),
-lettered AS (SELECT DISTINCT query, name FROM ({grams_sql('query_list', 'query', '(3)')}) JOIN ({grams_sql('name_list', 'name', '(3)')}) USING (term)),
-told AS (SELECT query, name, CASE WHEN query = lower(name) THEN 2.0 WHEN contains(lower(name), query) THEN 1.2 ELSE 1 - levenshtein(query, lower(name)) / CAST(GREATEST(length(query), length(name)) AS DOUBLE) END AS score FROM lettered),
+told AS (SELECT query, name, CASE WHEN query = lower(name) THEN 2.0 WHEN contains(lower(name), query) THEN 1.2 ELSE 1 - levenshtein(query, lower(name)) / CAST(GREATEST(length(query), length(name)) AS DOUBLE) END AS score FROM query_list CROSS JOIN name_list),
 best AS (SELECT query, name, round(max(score), 9) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM told WHERE score >= 0.45) GROUP BY 1, 2),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS place FROM best)
 SELECT query_id, name, score, place FROM name_asked JOIN placed USING (query) WHERE place <= 5""", rnd="score")
 def _(v):
-    """Part names with a letter missing, searched among all part names."""
+    """Part names with a letter missing or two letters of them only, searched among all part names; one text is an alias."""
     p = v.raw("part")
     names = p.select(F.col("p_name").alias("name")).distinct()
-    asked = p.select(F.col("p_partkey").alias("query_id"), F.expr("concat(substring(p_name, 1, 2), substring(p_name, 4, 100))").alias("query"))
-    return tx.search(asked, names, {"NYC": "New York"}, 5)
+    asked = p.select(F.col("p_partkey").alias("query_id"), F.expr("CASE WHEN p_partkey % 10 = 3 THEN substring(p_name, 2, 2) ELSE concat(substring(p_name, 1, 2), substring(p_name, 4, 100)) END").alias("query"))
+    return tx.search(asked, names, {"Smll ring": "red widget"}, 5)

@@ -248,3 +248,37 @@ def test_minmax_flat(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     assert [r[0] for r in clean.minmax(df, "x").collect()] == [0.0, 0.0]
     assert [r[0] for r in clean.minmax(df, "x", on_flat="ones").collect()] == [1.0, 1.0]
+
+
+def test_name_scores_lose_no_pair(spark):
+    from footfall.operators import text
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdé "), rng.integers(1, 9)))
+    names = sorted({word() for _ in range(150)} | {"goats", "abc", "Old Town", ""})
+    asked = sorted({word() for _ in range(60)} | {"at", "axc", "d t", "OLD TOWN", ""})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = following(row, i, x, b)
+        return row[-1]
+
+    def following(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    want = {}
+    for q in asked:
+        for n in names:
+            a, b = q.lower(), n.lower()
+            if not a or not b:
+                continue
+            score = 2.0 if a == b else 1.2 if a in b else 1 - distance(a, b) / max(len(a), len(b))
+            if score >= 0.45:
+                want[q, n] = round(score, 9)
+    got = text.name_scores(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert {(r["query"], r["name"]): round(r["score"], 9) for r in got.collect()} == want
+    assert want["at", "goats"] == 1.2 and ("axc", "abc") in want
