@@ -282,3 +282,25 @@ def test_name_scores_lose_no_pair(spark):
     got = text.name_scores(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(n,) for n in names], "name string"))
     assert {(r["query"], r["name"]): round(r["score"], 9) for r in got.collect()} == want
     assert want["at", "goats"] == 1.2 and ("axc", "abc") in want
+
+
+def test_csv_both_ways_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", datetime(2020, 1, 2)), (2, None, datetime(2021, 3, 4)), (3, 'say "x"', None)], "k int, t string, ts timestamp")
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    schema = "k int, t string, ts timestamp"
+    back = readers.read_csv(spark, str(tmp_path / "csv"), schema, escape='"', quote='"')
+    assert {r["k"]: r["ts"] for r in back.collect()} == {1: datetime(2020, 1, 2), 2: datetime(2021, 3, 4), 3: None}
+    assert {r["k"]: r["t"] for r in back.collect()}[1] == "a,b"
+    assert readers.read_csv(spark, str(tmp_path / "csv"), schema, ["ts", "k"]).columns == ["ts", "k"]
+    (tmp_path / "bad.csv").write_text("k,t,ts\n1,x,2020-01-02\nnone,y,2020-01-02\n3,z,2020-01-03\n")
+    assert sorted(r["k"] for r in readers.read_csv(spark, str(tmp_path / "bad.csv"), schema).collect()) == [1, 3]
+    name = f"kept_{tmp_path.name.replace('-', '_')}"
+    try:
+        sinks.save_table(df, name, ["k"], 3)
+        assert spark.table(name).count() == 3
+        assert any(r["col_name"] == "Num Buckets" and r["data_type"] == "3" for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect())
+        sinks.save_table(df.where("k < 3"), name)
+        assert spark.table(name).count() == 2
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    assert clean.select_available(df, ["ts", "nothing", "k"]).columns == ["ts", "k"]
