@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.shared import content_keys, settled
+from footfall.llm.urls import BITS_PER_URL, BROADCAST_BYTES, ROW_BYTES, WORDS, blocked_bloom, maybe_listed
 
 SHINGLE = 5
 PERCENT = 80
-ROWS = 5
+ROWS = 7
 SALT = 43
 # Chance that two documents at the threshold share no bucket.
 MISSED = 1e-7
@@ -298,14 +299,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     signed = settled(signatures(keyed, shingle, percent))
     samples = bands_for(percent) * ROWS
     most = most_differing_bits(percent, samples)
-    reps = signed.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min(F.struct("k1", "k2", "bands", "sketch")).alias("r"))
-    reps = settled(reps.select("node", "r.*"))
-    keys = reps.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    buckets = settled(keys.join(shared, "key"))
-    involved = buckets.select("node").distinct().join(reps.select("node", "k1", "k2"), "node")
-    sets = settled(full_sets(keyed, involved, shingle))
-    sketches = settled(reps.select("node", "sketch").join(sets.select("node", "n", "parity"), "node"))
+    whole = signed.where(F.col("n_shingles") > 0)
+    keys = whole.select("node", F.explode("bands").alias("key"))
+    # A key of one node pairs nobody: hashes of nodes tell, so that the nodes travel for shared keys alone.
+    short = F.xxhash64("node")
+    shared = keys.groupBy("key").agg(F.min(short).alias("a"), F.max(short).alias("b")).where(F.col("a") != F.col("b")).select("key")
+    shared = settled(shared)
+    blocks = max(1, -(-shared.count() * BITS_PER_URL // (64 * WORDS)))
+    some = keys
+    if blocks * ROW_BYTES <= BROADCAST_BYTES:
+        some = maybe_listed(keys, blocked_bloom(shared, blocks), blocks)
+    members = settled(some.join(shared, "key", "left_semi").distinct())
+    leads = members.groupBy("key").agg(F.min("node").alias("lead"))
+    buckets = members.join(leads, "key")
+    reps = whole.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("r"), F.first("sketch").alias("sketch"))
+    involved = settled(members.select("node").distinct().join(reps, "node").select("node", "r.k1", "r.k2", "sketch"))
+    sets = settled(full_sets(keyed, involved.drop("sketch"), shingle))
+    sketches = settled(involved.select("node", "sketch").join(sets.select("node", "n", "parity"), "node"))
 
     def weighed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
@@ -317,8 +327,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tested, edges, partners = stars, settled(confirm(stars, sets, percent)), FIRST_PARTNERS
     comp = components(edges)
     while True:
-        members = buckets.select("key", "node").join(comp, "node", "left").join(sketches, "node").select("key", "node", F.coalesce("comp", "node").alias("comp"), "sketch", "n", "parity")
-        found = settled(other_components(members, most, percent, partners))
+        placed = members.join(comp, "node", "left").join(sketches, "node").select("key", "node", F.coalesce("comp", "node").alias("comp"), "sketch", "n", "parity")
+        found = settled(other_components(placed, most, percent, partners))
         fresh = settled(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
         cut = not found.where("cut").isEmpty()
         if fresh.isEmpty():
