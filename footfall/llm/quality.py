@@ -1,21 +1,23 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects documents whose feature exceeds a cutoff. A labelled holdout decides how far a cutoff may go in a stratum: going from
-lenient to strict, it is accepted while an exact binomial test says that at most a stated share of wanted documents is
-rejected. Testing in that order needs no correction over the cutoffs of a rule; over rules and strata the level is divided
-(Bonferroni), so with probability 1 - ``error`` no accepted cutoff breaks its limit. A rule or stratum with too few
-labels gets no cutoff and rejects nothing. Of the accepted cutoffs the one that separates best is used, the most lenient of equals.
+Each rule rejects documents whose feature exceeds a cutoff. Half of a stratum's labels lay out one path of cutoffs for all rules together,
+from lenient to strict; the other half, the holdout, decides how far to go on it: a step is accepted while an exact binomial
+test says that all rules together reject at most a stated share of wanted documents. Testing in that order needs no
+correction over the steps; over strata the level is divided (Bonferroni), so with probability 1 - ``error`` no accepted step
+breaks the limit anywhere. With four strata some 86 wanted holdout labels are enough; a stratum with fewer gets no cutoff and rejects
+nothing. Of the accepted steps the one that separates best is used, the most lenient of equals.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.shared import content_keys, settled
+from footfall.llm.shared import ascii_lower, content_keys, settled
 
 SALT = 41
 # Fixed values of the base rules.
@@ -35,6 +37,9 @@ RULES: dict[str, list[float]] = {"symbol_share": SHARES, "upper_share": SHARES,
 # The word list is learnt from at most so many labelled documents and holds at most so many word starts of this length.
 LEARN_FROM = 50_000
 LIST_SIZE = 400
+# The path of cutoffs starts so many cutoffs before the first ones, and a rule takes part if it finds so many unwanted learning documents.
+BACK_OFF = 8
+LEAST_GAIN = 3
 START = 4
 LEAST_FOUND = 5
 LEAST_RATIO = 25.0
@@ -70,10 +75,16 @@ def text_features(text: str | None, marked: frozenset[bytes], tables) -> tuple:
     blank = int(counts[[32, 9, 10, 11, 12, 13]].sum())
     upper, letter = tables
     symbols = int(counts[[ord(c) for c in SYMBOLS]].sum())
-    n_marked = len(marked.intersection([w[:START] for w in data.lower().split()])) if marked else 0
+    n_marked = len(marked.intersection([word_start(w) for w in data.lower().split()])) if marked else 0
     return n, len(codes) - blank, symbols, dups, repeat_words(words), lines, int(counts[:-1][upper].sum()), int(counts[:-1][letter].sum()), n_marked
 
 
+def word_start(word: bytes) -> bytes:
+    """The first ``START`` characters."""
+    start = word[:START]
+    return start if start.isascii() else word[: 4 * START].decode("utf-8", "ignore")[:START].encode()
+
+
 def repeat_words(words: Sequence[bytes], window: int = REPEAT_WINDOW) -> int:
     """Words in windows of ``window`` words that stand in the text twice or more, the first included."""
     import numpy as np
@@ -139,13 +150,12 @@ def learn_marked(docs: DataFrame, labels: DataFrame, learn_from: int = LEARN_FRO
         return []
     # At most learn_from rows of two columns.
     held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    starts = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.substring(w, 1, START)))
+    starts = F.array_distinct(F.transform(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: F.substring(w, 1, START)))
     words = held.select("toxic", F.explode(starts).alias("start")).where(F.char_length("start") == START)
     found = words.groupBy("start").agg(F.sum(F.col("toxic").cast("int")).alias("bad"), F.count(F.lit(1)).alias("all"))
     ratio = (F.col("bad") / n["toxic"]) / ((F.col("all") - F.col("bad") + 1) / (n["all"] - n["toxic"]))
     best = found.where((F.col("bad") >= LEAST_FOUND) & (ratio >= LEAST_RATIO)).orderBy(F.desc("bad"), "start").limit(LIST_SIZE)
-    # ASCII only: the texts are lower-cased byte by byte where these are looked up.
-    return [r.start for r in best.collect() if r.start.isascii()]
+    return [r.start for r in best.collect()]
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -173,29 +183,73 @@ def rule_values():
     return {"symbol_share": share("n_symbols", "word_chars"), "upper_share": share("n_upper", "n_letters"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "n_marked": F.col("n_marked").cast("double")}
 
 
+def cutoff_path(rejected: dict[str, list[tuple[int, int]]], most: int) -> list[tuple[int, ...]]:
+    """Steps from lenient to strict, each the places of all rules' cutoffs (-1: none).
+
+    ``rejected`` has per rule and cutoff, lenient first, the (wanted, unwanted) learning documents beyond it. At step v a rule
+    takes the strictest cutoff beyond which at most v wanted ones lie, or the most lenient that finds as many unwanted ones. Steps
+    before v = 0 back off from its cutoffs, steps after it go on to v = ``most``.
+    """
+
+    def place(cuts, v):
+        found = max((u for w, u in cuts if w <= v), default=0)
+        return -1 if found < LEAST_GAIN else next(i for i, (_, u) in enumerate(cuts) if u == found)
+
+    counts = sorted({0} | {w for cuts in rejected.values() for w, _ in cuts if w <= most})
+    steps = [tuple(place(cuts, v) for cuts in rejected.values()) for v in counts]
+    steps = [tuple(max(-1, p - back) for p in steps[0]) for back in range(BACK_OFF, 0, -1)] + steps
+    return [step for step in dict.fromkeys(steps) if max(step) >= 0]
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, limit: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
-    """One row per stratum and rule with an accepted cutoff: stratum, rule, cutoff. Labels of the holdout are counted by level first,
-    so a test sees a few dozen numbers per stratum and rule."""
-    values = rule_values()
-    base = measured.where(~_base_failed()).dropDuplicates(["doc_id"]).join(labels.where(~F.col("learn")), "doc_id")
-    levels = [F.struct(F.lit(rule).alias("rule"), F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda a, c: a + (values[rule] > c).cast("int")).alias("level")) for rule, cuts in RULES.items()]  # noqa: B023
-    counted = base.select("stratum", "wanted", F.explode(F.array(*levels)).alias("l")).groupBy("stratum", "l.rule", "l.level").agg(
-        F.sum(F.col("wanted").cast("int")).alias("wanted"), F.sum((~F.col("wanted")).cast("int")).alias("unwanted"))
-    counted = settled(counted)
-    tests = max(1, counted.select("stratum").distinct().count()) * len(RULES)
+    """One row per stratum with an accepted step: stratum and cut_<rule>, null for a rule without cutoff.
 
-    def choose(key, frame):
-        import pyarrow as pa
+    Of a labelled doc_id with several texts, the one with the smallest key among those that pass the base rules counts. Labels are counted
+    by level first, so the path and the test of a stratum see at most some two hundred rows.
+    """
+    import pyarrow as pa
+
+    values, rules = rule_values(), list(RULES)
+    held = measured.where(~_base_failed()).join(labels.select("doc_id", "wanted", "learn"), "doc_id")
+    one = held.groupBy("doc_id", "wanted", "learn").agg(F.min(F.struct("k1", "k2", "stratum", *[v.alias(r) for r, v in values.items()])).alias("r"))
+    base = settled(one.select("wanted", "learn", "r.stratum", *[F.col(f"r.{r}").alias(r) for r in rules]))
+    sums = [F.sum(F.col("wanted").cast("int")).alias("wanted"), F.sum((~F.col("wanted")).cast("int")).alias("unwanted")]
+    level = lambda rule: F.aggregate(F.array(*[F.lit(c) for c in RULES[rule]]), F.lit(0), lambda a, c: a + (F.col(rule) > c).cast("int"))
+    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in rules])
+    learnt = base.where("learn").select("stratum", "wanted", F.explode(levels).alias("l")).groupBy("stratum", "l.rule", "l.level").agg(*sums)
+
+    def lay_out(key, frame):
+        rows = frame.to_pylist()
+        rejected = {}
+        for rule, cuts in RULES.items():
+            mine = [r for r in rows if r["rule"] == rule]
+            # Cutoffs fall, so a document of level v is beyond the v last ones.
+            rejected[rule] = [tuple(sum(r[c] for r in mine if r["level"] >= len(cuts) - i) for c in ("wanted", "unwanted")) for i in range(len(cuts))]
+        n = sum(r["wanted"] for r in rows if r["rule"] == rules[0])
+        steps = cutoff_path(rejected, math.floor(limit * n))
+        columns = {"stratum": pa.array([key[0].as_py()] * len(steps), pa.string()), "step": pa.array(range(len(steps)), pa.int32())}
+        for i, rule in enumerate(rules):
+            columns[f"cut_{rule}"] = pa.array([RULES[rule][s[i]] if s[i] >= 0 else None for s in steps], pa.float64())
+        return pa.table(columns)
+
+    names = [f"cut_{r}" for r in rules]
+    paths = settled(learnt.groupBy("stratum").applyInArrow(lay_out, "stratum string, step int, " + ", ".join(f"{n} double" for n in names)))
+    by_stratum = paths.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("step", *names))).alias("path"))
+    beyond = lambda s: reduce(lambda a, b: a | b, [F.coalesce(F.col(r) > s[f"cut_{r}"], F.lit(False)) for r in rules])
+    # A document that a step rejects is rejected by all later ones.
+    passed = base.where("not learn").join(by_stratum, "stratum").select("stratum", "wanted", F.size("path").alias("steps"), F.size(F.filter("path", lambda s: ~beyond(s))).alias("first"))
+    counted = settled(passed.groupBy("stratum", "steps", "first").agg(*sums))
+    strata = max(1, counted.select("stratum").distinct().count())
 
-        stratum, rule = (k.as_py() for k in key)
-        cuts, rows = RULES[rule], frame.select(["level", "wanted", "unwanted"]).to_pylist()
-        # Cutoffs fall, so a document of level v is rejected by the v last ones.
-        rejects = [tuple(sum(r[c] for r in rows if r["level"] >= len(cuts) - i) for c in ("wanted", "unwanted")) for i in range(len(cuts))]
-        place = accepted(rejects, sum(r["wanted"] for r in rows), sum(r["unwanted"] for r in rows), limit / len(RULES), error / tests)
-        found = [] if place is None else [(stratum, rule, cuts[place])]
-        return pa.table({n: pa.array([f[i] for f in found], t) for i, (n, t) in enumerate((("stratum", pa.string()), ("rule", pa.string()), ("cutoff", pa.float64())))})
+    def choose(key, frame):
+        rows = frame.to_pylist()
+        rejects = [tuple(sum(r[c] for r in rows if r["first"] <= i) for c in ("wanted", "unwanted")) for i in range(rows[0]["steps"])]
+        place = accepted(rejects, sum(r["wanted"] for r in rows), sum(r["unwanted"] for r in rows), limit, error / strata)
+        found = [] if place is None else [place]
+        return pa.table({"stratum": pa.array([key[0].as_py()] * len(found), pa.string()), "step": pa.array(found, pa.int32())})
 
-    return settled(counted.groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule string, cutoff double"))
+    chosen = counted.groupBy("stratum").applyInArrow(choose, "stratum string, step int")
+    return settled(paths.join(chosen, ["stratum", "step"]).drop("step"))
 
 
 def _base_failed():
@@ -212,11 +266,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
     known = settled(wanted_labels(labels))
     measured = settled(features(docs, stratum, learn_marked(docs, known)))
     cutoffs = choose_cutoffs(measured, known, limit, error)
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
     exceeded = F.lit(False)
     for rule, value in rule_values().items():
         exceeded = exceeded | F.coalesce(value > F.col(f"cut_{rule}"), F.lit(False))
     # One row per stratum: broadcast while that is a small table, else a join that splits large strata.
-    wide = F.broadcast(wide) if cutoffs.count() <= 10_000 else wide
+    wide = F.broadcast(cutoffs) if cutoffs.count() <= 10_000 else cutoffs
     out = measured.join(wide, "stratum", "left").withColumn("base_failed", _base_failed())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~exceeded).alias("kept"), "k1", "k2")
