@@ -3,7 +3,8 @@
 A window starts at any line and takes as many lines as hold ``run_words`` words. The smallest line hash in it is its fingerprint, so
 a run of that many words that stands in two places has a fingerprint in common there. Windows with a fingerprint that
 occurs at several positions meet the first window of the same lines; windows that follow each other in both places join into
-one run, which is how a match grows both ways. Later runs are deleted, the first stays. No two later ones are compared.
+one run, and a run grows both ways over neighbouring lines that are equal in text and source. Later runs are deleted, the first
+stays. No two later ones are compared.
 
 Everything here is column expressions, joins and windows over the lines of one document.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm.shared import content_keys, settled
 from footfall.llm.urls import BITS_PER_URL, BROADCAST_BYTES, ROW_BYTES, WORDS, blocked_bloom, mark_listed
+from footfall.operators.scale import spread_join
 
 RUN_WORDS = 50
 SALT = 31
@@ -48,9 +50,9 @@ def line_windows(keyed: DataFrame, run_words: int) -> DataFrame:
 
 
 def repeated_runs(keyed: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Runs of lines that stand earlier too: doc, first_line, last_line (from 0), source, source_line (among lines with a word).
+    """Runs of lines that stand earlier too: doc, first_line, last_line (from 0), source, source_line (among lines with a word, from 1).
 
-    Earlier is a smaller doc_id (a missing one is the largest) or an earlier line of the same document.
+    A run is a chain of windows with one shift to one source, grown as :func:`grown` says. Earlier is a smaller doc_id (a missing one is the largest) or an earlier line of the same document.
     """
     windows = settled(line_windows(keyed, run_words))
     place = F.struct("doc", "at")
@@ -67,20 +69,53 @@ def repeated_runs(keyed: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     follows = (F.lag("source").over(by) == F.col("source")) & (F.lag(shift).over(by) == shift) & (F.lag("last_at").over(by) + 1 >= F.col("at"))
     marked = later.withColumn("fresh", F.when(follows, 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("fresh").over(by)).groupBy("doc", "run")
-    return runs.agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.min_by("source", "at").alias("source"), F.min("source_line").alias("source_line")).drop("run")
+    joined = runs.agg(F.min("at").alias("first_at"), F.max("last_at").alias("last_at"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.min_by("source", "at").alias("source"), F.min("source_line").alias("source_line"))
+    return grown(keyed, settled(joined.drop("run")), run_words)
+
+
+def grown(keyed: DataFrame, runs: DataFrame, run_words: int) -> DataFrame:
+    """``runs`` grown both ways to the first line that differs from the source's, by at most ``run_words`` - 1 lines each way: a longer
+    equal stretch has windows of its own. Only the lines next to a run travel, and only texts that a run names are read again."""
+    most = run_words - 1
+    keys = lambda c, a, b: [F.col(f"{c}.k1").alias(a), F.col(f"{c}.k2").alias(b)]
+    named = settled(runs.select(*keys("doc", "__k1", "__k2")).union(runs.select(*keys("source", "__k1", "__k2"))).distinct())
+    some, _ = parted(keyed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "text"), named)
+    bare = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.btrim(x, F.lit(BLANK)).alias("bare"), i.alias("line")))
+    held = F.transform(F.filter(bare, lambda x: x["bare"] != ""), lambda x: F.struct(F.xxhash64(x["bare"]).alias("h"), x["line"].alias("line")))
+    held = settled(some.join(named, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select("__k1", "__k2", held.alias("held")))
+    side = lambda a, b: held.select(F.col("__k1").alias(a), F.col("__k2").alias(b), "held")
+    after = lambda at: F.slice("held", F.col(at) + 1, most)
+    ahead = lambda at: F.reverse(F.slice("held", F.greatest(F.lit(1), F.col(at) - most), F.least(F.lit(most), F.col(at) - 1)))
+    runs = runs.select("*", *keys("doc", "__k1", "__k2"), *keys("source", "__s1", "__s2"), (F.col("source_line") + F.col("last_at") - F.col("first_at")).alias("source_last"))
+    met = spread_join(runs, side("__s1", "__s2"), ["__s1", "__s2"]).withColumns({"__next": after("source_last"), "__prev": ahead("source_line")}).drop("held")
+    met = spread_join(met, side("__k1", "__k2"), ["__k1", "__k2"]).withColumns({"next": after("last_at"), "prev": ahead("first_at")}).drop("held")
+
+    def equal(ours: str, theirs: str):
+        """How many lines are equal before the first that isn't."""
+        same = F.transform(ours, lambda x, i: F.coalesce(x["h"] == F.get(F.col(theirs), i)["h"], F.lit(False)))
+        return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
+
+    met = met.withColumns({"up": equal("next", "__next"), "down": equal("prev", "__prev")})
+    reach = lambda c, n, line: F.coalesce(F.get(F.col(c), F.col(n) - 1)["line"], F.col(line)).alias(line)
+    return met.select("doc", reach("prev", "down", "first_line"), reach("next", "up", "last_line"), "source", (F.col("source_line") - F.col("down")).alias("source_line"))
+
+
+def parted(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have one of ``keys`` (__k1, __k2), and those that have none, told apart by a blocked Bloom filter without a shuffle.
+    Once the filter were too large to broadcast, all may have one."""
+    blocks = max(1, -(-keys.count() * BITS_PER_URL // (64 * WORDS)))
+    if blocks * ROW_BYTES > BROADCAST_BYTES:
+        return rows, rows.where(F.lit(False))
+    bloom = F.broadcast(blocked_bloom(keys.select(F.col("__k1").alias("key")), blocks))
+    marked = mark_listed(rows, bloom, F.col("__k1"), blocks, "__maybe")
+    return marked.where("__maybe").drop("__maybe"), marked.where("not __maybe").drop("__maybe")
 
 
 def with_runs(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` with ``__runs`` of their key, null without. A blocked Bloom filter of the keys with runs lets the texts of other
-    documents stay where they are; once it were too large to broadcast, all texts go through the join."""
-    blocks = max(1, -(-gone.count() * BITS_PER_URL // (64 * WORDS)))
-    if blocks * ROW_BYTES > BROADCAST_BYTES:
-        return docs.join(gone, ["__k1", "__k2"], "left")
-    bloom = F.broadcast(blocked_bloom(gone.select(F.col("__k1").alias("key")), blocks))
-    marked = mark_listed(docs, bloom, F.col("__k1"), blocks, "__maybe")
-    some = marked.where("__maybe").drop("__maybe").join(gone, ["__k1", "__k2"], "left")
-    none = marked.where("not __maybe").drop("__maybe").withColumn("__runs", F.lit(None).cast(gone.schema["__runs"].dataType))
-    return some.unionByName(none)
+    """``docs`` with ``__runs`` of their key, null without; texts of documents without runs stay where they are."""
+    some, none = parted(docs, gone)
+    none = none.withColumn("__runs", F.lit(None).cast(gone.schema["__runs"].dataType))
+    return some.join(gone, ["__k1", "__k2"], "left").unionByName(none)
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, spared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -115,8 +115,14 @@ l AS (SELECT doc_id, text, line, trim(body, ' ' || chr(9) || chr(13) || chr(11)
 c AS (SELECT *, row_number() OVER w AS pos, CAST(sum(words) OVER w - words AS BIGINT) AS ahead, CAST(sum(words) OVER (PARTITION BY doc_id, text) AS BIGINT) AS total
  FROM l WINDOW w AS (PARTITION BY doc_id, text ORDER BY line ROWS UNBOUNDED PRECEDING)),
 h AS (SELECT *, list(bare) OVER r AS held, max(line) OVER r AS last FROM c WINDOW r AS (PARTITION BY doc_id, text ORDER BY ahead RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-o AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id NULLS LAST, text, pos) AS nth FROM h WHERE ahead + 50 <= total),
-g AS (SELECT DISTINCT doc_id, text, unnest(range(line, last + 1)) AS line FROM o WHERE nth > 1),
+o AS (SELECT doc_id, text, pos, pos + len(held) - 1 AS upto, row_number() OVER s AS nth, first_value(doc_id) OVER s AS from_id, first_value(text) OVER s AS from_text, first_value(pos) OVER s AS from_pos
+ FROM h WHERE ahead + 50 <= total WINDOW s AS (PARTITION BY held ORDER BY doc_id NULLS LAST, text, pos)),
+q AS (SELECT doc_id, text, list(bare ORDER BY pos) AS bares, list(line ORDER BY pos) AS ls FROM c GROUP BY doc_id, text),
+e AS (SELECT o.*, a.ls,
+ coalesce(list_position(list_transform(range(1, 50), lambda i: coalesce(a.bares[o.upto + i] <> b.bares[o.from_pos + o.upto - o.pos + i], true)), true), 50) - 1 AS up,
+ coalesce(list_position(list_transform(range(1, 50), lambda i: CASE WHEN o.pos <= i OR o.from_pos <= i THEN true ELSE a.bares[o.pos - i] <> b.bares[o.from_pos - i] END), true), 50) - 1 AS down
+ FROM o JOIN q a ON o.doc_id IS NOT DISTINCT FROM a.doc_id AND o.text = a.text JOIN q b ON o.from_id IS NOT DISTINCT FROM b.doc_id AND o.from_text = b.text WHERE nth > 1),
+g AS (SELECT DISTINCT doc_id, text, unnest(range(ls[pos - down], ls[upto + up] + 1)) AS line FROM e),
 k AS (SELECT x.doc_id, x.text, string_agg(x.body, chr(10) ORDER BY x.line) FILTER (g.line IS NULL) AS kept, any_value(g.line) AS cut,
  count(*) FILTER (trim(x.body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '') AS n_lines,
  count(*) FILTER (g.line IS NOT NULL AND trim(x.body, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '') AS n_removed,

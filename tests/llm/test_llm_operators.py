@@ -159,6 +159,7 @@ def brute_lines(rows, least):
     seen, out = {}, {}
     for d, t in docs:
         body = t.split("\n")
+        held = [bare(x) for x in body if bare(x)]
         at = [i for i, x in enumerate(body) if bare(x)]
         gone = set()
         for s in range(len(at)):
@@ -168,8 +169,14 @@ def brute_lines(rows, least):
             if n >= least:
                 key = tuple(bare(body[i]) for i in at[s:e])
                 if key in seen:
-                    gone.update(range(at[s], at[e - 1] + 1))
-                seen.setdefault(key, (d, s))
+                    source, first = seen[key]
+                    up = down = 0
+                    while up < least - 1 and held[e + up : e + up + 1] == source[first + e - s + up : first + e - s + up + 1] != []:
+                        up += 1
+                    while down < least - 1 and min(s, first) > down and held[s - down - 1] == source[first - down - 1]:
+                        down += 1
+                    gone.update(range(at[s - down], at[e - 1 + up] + 1))
+                seen.setdefault(key, (held, s))
         out[d, t] = "\n".join(x for i, x in enumerate(body) if i not in gone)
     return out
 
@@ -191,6 +198,16 @@ def test_line_dedup(spark, corpus):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_runs_grow_to_the_first_other_line(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(words(rng, n, 9000))
+    run = "\n".join([line(61), line(8), "", *[line(8) for _ in range(4)]])
+    docs = frame(spark, [(1, f"{line(9)}\n{run}\n{line(70)}", "en"), (2, f"{line(30)}\n{run}\nend", "en"), (3, run, "en"), (4, f"{run}\n \n{run}\nlast", "en")])
+    got = {r["doc_id"]: r["text"] for r in collected(lines.dedup_lines(docs))}
+    texts = {r["doc_id"]: r["text"] for r in collected(docs)}
+    assert got == {1: texts[1], 2: texts[2].replace(run + "\n", ""), 3: "", 4: " \nlast"}
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame([(p, u, h, "k", "x") for p, u, h in rows], "page_id bigint, url string, html string, key string, digest string")
 
@@ -425,6 +442,40 @@ def test_binomial_tests_limit_false_rejection():
     assert broken <= 300 * 0.05 + 12
 
 
+def test_one_path_of_cutoffs_for_all_rules():
+    cuts = {"a": [(0, 0), (0, 4), (0, 9), (0, 9), (1, 12), (7, 20)], "b": [(0, 1), (0, 2), (3, 2)]}
+    path = quality.cutoff_path(cuts, 2)
+    assert path == [(0, -1), (1, -1), (2, -1), (4, -1)]
+    assert quality.cutoff_path({"a": []}, 2) == []
+
+
+def test_small_strata_get_cutoffs(spark):
+    """Of several hundred labels in each of four languages, toxic words in any script are found and wanted documents stay."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    marks = {"en": "nastyword", "de": "größtübel", "ru": "гадость", "rare": "vileness"}
+    for lang, n in (("en", 900), ("de", 420), ("ru", 420), ("rare", 60)):
+        for _ in range(n):
+            i = len(rows)
+            ws = words(rng, 40, 3000)
+            if i % 9 == 0:
+                ws[rng.randrange(40)] = marks[lang]
+            rows.append((i, " ".join(ws), lang))
+            labels.append((i, 1, int(i % 9 == 0)))
+    # Two texts of a labelled doc_id: the choice doesn't hang on the order of rows.
+    rows += [(5, " ".join(words(rng, 40, 3000)), "en")]
+    tags = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = collected(quality.judge(frame(spark, rows), tags))
+    again = collected(quality.judge(frame(spark, rows[::-1]).repartition(3), tags))
+    verdicts = lambda got: Counter((r["doc_id"], r["n_words"], r["kept"]) for r in got)
+    assert verdicts(got) == verdicts(again)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    lang = {d: x for d, _, x in rows}
+    for d in kept:
+        # Too few labels of the rare language: it rejects nothing.
+        assert kept[d] == (d % 9 != 0 or lang[d] == "rare")
+
+
 def test_quality_learns_cutoffs(spark):
     rng = random.Random(1)
     rows, labels = [], []
