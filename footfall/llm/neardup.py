@@ -223,16 +223,16 @@ def _differing(a: str, b: str, bits: int):
     return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(bits // 64)])
 
 
-def other_components(members: DataFrame, most: int, percent: int, partners: int) -> DataFrame:
+def other_components(members: DataFrame, sketches: DataFrame, most: int, percent: int, partners: int) -> DataFrame:
     """Pairs (a, b) of bucket members in different components that their sketches don't rule out: for each member outside
     its bucket's largest component the ``partners`` likeliest in each other component; ``cut`` says that there were more.
 
-    ``members`` has key, node, comp, sketch, n, parity. Probes and targets meet in blocks of ``BLOCK``.
+    ``members`` has key, node, comp; ``sketches`` has node, sketch, n, parity, which only travel for buckets of several components. Probes and targets meet in blocks of ``BLOCK``.
     """
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most"))
     open_ = largest.where(F.col("comps") > 1).select("key", "largest", F.ceil(F.col("all") / BLOCK).alias("targets"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("probes"))
-    rows = members.join(open_, "key")
+    rows = settled(members.join(open_, "key")).join(sketches, "node")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     probes = rows.where(F.col("comp") != F.col("largest")).select("key", place("probes").alias("i"), F.explode(F.sequence(F.lit(0), F.col("targets") - 1)).alias("j"), F.lit(0).alias("role"), "node", "comp", "sketch", "n", "parity")
     targets = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("i"), place("targets").alias("j"), F.lit(1).alias("role"), "node", "comp", "sketch", "n", "parity")
@@ -327,8 +327,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tested, edges, partners = stars, settled(confirm(stars, sets, percent)), FIRST_PARTNERS
     comp = components(edges)
     while True:
-        placed = members.join(comp, "node", "left").join(sketches, "node").select("key", "node", F.coalesce("comp", "node").alias("comp"), "sketch", "n", "parity")
-        found = settled(other_components(placed, most, percent, partners))
+        placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        found = settled(other_components(placed, sketches, most, percent, partners))
         fresh = settled(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
         cut = not found.where("cut").isEmpty()
         if fresh.isEmpty():
