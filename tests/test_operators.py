@@ -179,6 +179,35 @@ def test_user_links_with_a_place_of_a_third_of_the_users(spark):
     assert len(found) < 0.5 * sum(bool(sets[0][u] & sets[1][w]) for u in range(240) for w in range(240))
 
 
+def test_user_pairs_through_lists_equal_brute_force(spark, monkeypatch):
+    """Every pair counts, also one that never met in time or shares little; crowded places, users with many places and busy places lose none."""
+    rng, t = np.random.default_rng(5), datetime(2020, 1, 1)
+    sides = []
+    for side in range(2):
+        held = [(u, int(p), t + timedelta(hours=int(h))) for u in range(60) for p, h in zip(rng.choice(90, 9), rng.integers(0, 4_000, 9))]
+        held += [(u, 900 + k, t + timedelta(hours=int(rng.integers(0, 4_000)))) for u in range(0, 60, 3) for k in range(2)]
+        sides.append(held + [(77, p, t + timedelta(hours=p)) for p in range(0, 90, 1 + side)])
+    fa, fb = (spark.createDataFrame(x, "user_id int, place_id int, ts timestamp") for x in sides)
+    sets = [{u: {p for v, p, _ in x if v == u} for u in {v for v, _, _ in x}} for x in sides]
+    want = {}
+    for u, x in sets[0].items():
+        for w, y in sets[1].items():
+            if len(x & y) >= 2:
+                times = [{p: [s for v, q, s in side if (v, q) == (who, p)] for p in x & y} for side, who in ((sides[0], u), (sides[1], w))]
+                hits = sum(any(abs(m - n) <= timedelta(hours=72) for m in times[0][p] for n in times[1][p]) for p in x & y)
+                want[u, w] = (len(x & y), hits / len(x & y), len(x), len(y))
+    # None crowded, then the common ones, then all.
+    for crowd, many, busy in ((1_000, 50_000, 50_000), (15, 20, 15), (2, 3, 1)):
+        monkeypatch.setattr(linkage, "CROWD", crowd)
+        monkeypatch.setattr(linkage, "MANY_PLACES", many)
+        monkeypatch.setattr(linkage, "MIN_CHUNK", busy)
+        assert {(r[0], r[1]): r[2] for r in linkage.candidate_user_pairs(fa, fb, 2).collect()} == {k: x[0] for k, x in want.items()}
+        got = linkage.score_user_pairs(fa, fb).collect()
+        assert {(r["a_user"], r["b_user"]): (r["n_shared"], r["temporal_score"], r["n_a"], r["n_b"]) for r in got} == want and len(got) == len(want)
+        assert {(r[0], r[1]): r[3] for r in linkage.temporal_overlap(fa, fb).collect()} == {k: x[1] for k, x in want.items()}
+    assert any(x[1] == 0 for x in want.values()) and any(x[1] > 0 for x in want.values())
+
+
 def test_friend_paths(spark):
     raw = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 4)], "a int, b int")
     edges = linkage.undirected(raw)
