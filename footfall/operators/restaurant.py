@@ -114,7 +114,8 @@ def busyness(events: DataFrame, ts: Column, cells: str = "observed", key: str =
     grid = hour_cells(events, ts, key)
     share = F.bround("busyness", 0) if cells == "observed" else F.col("busyness")
     grid = grid.withColumn("share", share)
-    mean = F.avg("share") if cells == "observed" else F.sum("share") / 168
+    # Counts instead of shares: a sum of shares differs in its last bit by their order, which moves ties of the rounding.
+    mean = F.avg("share") if cells == "observed" else F.sum("n") * 100 / (F.max("n") * 168)
     first = F.struct(-F.col("share"), F.col("dow"), F.col("hour"))
     out = grid.groupBy(key).agg(
         F.max("share").alias("peak_busyness"), F.round(mean, 1).alias("avg_busyness"), F.min_by("hour", first).alias("peak_hour")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import scalar as sc
 from footfall.functions import tails
-from footfall.operators import cf, clean, evaluate, events, features, geo, graph, linkage, recommend, scale, stats
+from footfall.operators import cf, clean, evaluate, events, features, geo, graph, linkage, recommend, restaurant, scale, stats
 from footfall.sources import readers, schemas, sinks
 
 
@@ -333,3 +333,12 @@ def test_csv_both_ways_and_tables(spark, tmp_path):
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     assert clean.select_available(df, ["ts", "nothing", "k"]).columns == ["ts", "k"]
+
+
+def test_mean_busyness_is_rounded_from_counts(spark):
+    """Weeks whose mean over 168 hours is 0.75, 1.25 and 0.75: half up, where a sum of shares misses them by its last bit."""
+    week, events = datetime(2020, 1, 6), []
+    for key, top, each, hours in ((1, 300, 1, 78), (2, 350, 11, 35), (3, 900, 3, 78)):
+        events += [(key, week)] * top + [(key, week + timedelta(hours=1 + i)) for i in range(hours)] * each
+    got = rows(restaurant.busyness(spark.createDataFrame(events, "business_id int, ts timestamp"), F.col("ts"), "all"))
+    assert {k: r["avg_busyness"] for k, r in got.items()} == {1: 0.8, 2: 1.3, 3: 0.8}
