@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import scalar as sc
 from footfall.functions import tails
-from footfall.operators import cf, clean, evaluate, events, features, geo, graph, linkage, recommend, restaurant, scale, stats
+from footfall.operators import cf, clean, evaluate, events, features, geo, graph, linkage, recommend, restaurant, scale, stats, text
 from footfall.sources import readers, schemas, sinks
 
 
@@ -342,3 +342,12 @@ def test_mean_busyness_is_rounded_from_counts(spark):
         events += [(key, week)] * top + [(key, week + timedelta(hours=1 + i)) for i in range(hours)] * each
     got = rows(restaurant.busyness(spark.createDataFrame(events, "business_id int, ts timestamp"), F.col("ts"), "all"))
     assert {k: r["avg_busyness"] for k, r in got.items()} == {1: 0.8, 2: 1.3, 3: 0.8}
+
+
+def test_cosine_of_repeated_pairs(spark):
+    """Two points with one text near a venue have the same likeness to it as one."""
+    pairs = spark.createDataFrame([(1, "t", 10), (1, "t", 11)], "a int, b string, poi int")
+    vec_a = spark.createDataFrame([(1, "x", 0.6), (1, "y", 0.8)], "a int, term string, weight double")
+    vec_b = spark.createDataFrame([("t", "x", 1.0)], "b string, term string, weight double")
+    got = text.cosine_pairs(pairs, vec_a, vec_b, "a", "b").collect()
+    assert sorted((r["poi"], r["similarity"]) for r in got) == [(10, 0.6), (11, 0.6)]
