@@ -135,10 +135,10 @@ view(
     """WITH r AS (SELECT *, coalesce(repeat_user_rate, 0) AS rr, coalesce(rating_mean, 0) AS st FROM rated_venues),
 e AS (SELECT business_id, list_concat(list_filter([
  CASE WHEN rr > 0.10 THEN 'Many people come back repeatedly (' || format('{:.0f}', rr * 100) || '% return rate)' END,
- CASE WHEN stability_cv < 0.5 THEN 'Visit activity is steady over time' END,
- CASE WHEN gini_user_contribution < 0.7 THEN 'Loyalty is broad across many users (not dominated by super-users)' END,
+ CASE WHEN round(stability_cv, 12) < 0.5 THEN 'Visit activity is steady over time' END,
+ CASE WHEN round(gini_user_contribution, 12) < 0.7 THEN 'Loyalty is broad across many users (not dominated by super-users)' END,
  CASE WHEN st >= 4.0 AND rr > 0.10 THEN 'Highly rated AND consistently chosen by regulars' WHEN st < 4.0 AND rr > 0.15 THEN 'Not the highest rated, but consistently chosen by regulars' END,
- CASE WHEN seasonal_variance < 50 THEN 'Popular year-round, not just seasonal' END,
+ CASE WHEN round(seasonal_variance, 12) < 50 THEN 'Popular year-round, not just seasonal' END,
  CASE WHEN top_user_share < 0.05 THEN 'No single user dominates visits (healthy diverse patronage)' END,
  CASE WHEN st >= 4.5 AND NOT (rr > 0.10) THEN 'Excellent customer ratings (' || format('{:.1f}', st) || '★)' END], lambda x: x IS NOT NULL), ['', '', '', '', '']) AS x FROM r)
 SELECT business_id, x[1] AS explain_1, x[2] AS explain_2, x[3] AS explain_3, x[4] AS explain_4, x[5] AS explain_5 FROM e""",

@@ -193,17 +193,19 @@ def venue_explanations(df: DataFrame, slots: int = 5) -> DataFrame:
     """Up to five plain-language reasons per venue, padded with empty text."""
     repeat = F.coalesce("repeat_user_rate", F.lit(0.0))
     stars = F.coalesce("rating_mean", F.lit(0.0))
+    # Without the last bits, so that a measure that is level with its threshold isn't below it by the order of a sum.
+    firm = lambda c: F.round(c, 12)
     regulars = (stars >= 4.0) & (repeat > 0.10)
     # The texts and their thresholds, in order of precedence.
     rules = [
         (repeat > 0.10, F.concat(F.lit("Many people come back repeatedly ("), F.format_string("%.0f", F.bround(repeat * 100, 0)), F.lit("% return rate)"))),
-        (F.col("stability_cv") < 0.5, F.lit("Visit activity is steady over time")),
-        (F.coalesce("gini_user_contribution", F.lit(0.0)) < 0.7, F.lit("Loyalty is broad across many users (not dominated by super-users)")),
+        (firm("stability_cv") < 0.5, F.lit("Visit activity is steady over time")),
+        (firm(F.coalesce("gini_user_contribution", F.lit(0.0))) < 0.7, F.lit("Loyalty is broad across many users (not dominated by super-users)")),
         (regulars, F.lit("Highly rated AND consistently chosen by regulars")),
         ((stars < 4.0) & (repeat > 0.15), F.lit("Not the highest rated, but consistently chosen by regulars")),
-        (F.col("seasonal_variance") < 50, F.lit("Popular year-round, not just seasonal")),
+        (firm("seasonal_variance") < 50, F.lit("Popular year-round, not just seasonal")),
         (F.coalesce("top_user_share", F.lit(0.0)) < 0.05, F.lit("No single user dominates visits (healthy diverse patronage)")),
-        ((stars >= 4.5) & ~regulars, F.concat(F.lit("Excellent customer ratings ("), F.format_string("%.1f", stars), F.lit("★)"))),
+        ((stars >= 4.5) & ~regulars, F.concat(F.lit("Excellent customer ratings ("), F.format_number(stars, 1), F.lit("★)"))),
     ]
     said = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), t) for c, t in rules]), lambda x: x.isNotNull())
     padded = F.concat(said, F.array_repeat(F.lit(""), slots))

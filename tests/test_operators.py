@@ -351,3 +351,12 @@ def test_cosine_of_repeated_pairs(spark):
     vec_b = spark.createDataFrame([("t", "x", 1.0)], "b string, term string, weight double")
     got = text.cosine_pairs(pairs, vec_a, vec_b, "a", "b").collect()
     assert sorted((r["poi"], r["similarity"]) for r in got) == [(10, 0.6), (11, 0.6)]
+
+
+def test_explanations_at_their_thresholds(spark):
+    """A measure level with its threshold but for its last bit isn't below it; ratings are rounded from their exact value."""
+    cols = "business_id int, repeat_user_rate double, stability_cv double, gini_user_contribution double, rating_mean double, seasonal_variance double, top_user_share double"
+    below = (1, 0.0, np.nextafter(0.5, 0).item(), np.nextafter(0.7, 0).item(), 4.55, np.nextafter(50.0, 0).item(), 0.5)
+    level = (2, 0.0, 0.5, 0.7, 4.85, 50.0, 0.5)
+    got = rows(clean.venue_explanations(spark.createDataFrame([below, level], cols)))
+    assert got[1]["explain_1"] == "Excellent customer ratings (4.5★)" and got[2]["explain_1"] == "Excellent customer ratings (4.8★)"
