@@ -208,15 +208,15 @@ def _(v):
     "city_pool", "P24",
     """WITH c AS (SELECT city, count(*) AS n FROM businesses GROUP BY 1), s AS (SELECT state, count(*) AS n FROM businesses GROUP BY 1),
 r AS (SELECT n_nationkey AS request_id, n_name AS city, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey),
-l AS (SELECT r.*, c.n AS n_city, s.n AS n_state, CASE WHEN c.n >= 5 THEN 'city' WHEN s.n >= 5 THEN 'state' ELSE 'all' END AS level FROM r LEFT JOIN c ON r.city = c.city LEFT JOIN s ON r.state = s.state)
-SELECT request_id, level, CASE level WHEN 'city' THEN city WHEN 'state' THEN state ELSE 'all' END AS pool, CASE level WHEN 'city' THEN n_city WHEN 'state' THEN n_state ELSE (SELECT count(*) FROM businesses) END AS n_pool FROM l""",
+l AS (SELECT r.*, CASE WHEN c.n >= 5 THEN 'city' WHEN s.n >= 5 THEN 'state' ELSE 'all' END AS level FROM r LEFT JOIN c ON r.city = c.city LEFT JOIN s ON r.state = s.state)
+SELECT l.request_id, l.level, b.business_id FROM l JOIN businesses b ON (l.level = 'city' AND l.city = b.city) OR (l.level = 'state' AND l.state = b.state) OR l.level = 'all'""",
 )
 def _(v):
-    """Pool of each nation's request: its city, its state or everything."""
+    """Venues of each nation's request: those of its city, its state or all."""
     requests = v.raw("nation").join(v.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("request_id"), F.col("n_name").alias("city"), F.col("r_name").alias("state")
     )
-    return cl.city_pool(v.businesses, requests, 5)
+    return cl.pool_rows(v.businesses, requests, 5)
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalar import clip, or_default, ratio, tokens
-from footfall.operators.scale import attach, lookup_join, quantiles, scalar, scalar_quantiles
+from footfall.operators.scale import attach, lookup_join, quantiles, scalar, scalar_quantiles, spread_join
 from footfall.session import settle
 
 # Category words that put a venue into a domain.
@@ -348,6 +348,12 @@ def city_pool(df: DataFrame, requests: DataFrame, min_n: int = 12) -> DataFrame:
     )
 
 
+def pool_rows(df: DataFrame, requests: DataFrame, min_n: int = 12) -> DataFrame:
+    """Rows (request_id, level, business_id): every row of the pool that :func:`city_pool` gives a request."""
+    pools = city_pool(df, requests, min_n).select("request_id", "level", "pool")
+    return spread_join(pools, pool_members(df), ["level", "pool"], both=True).select("request_id", "level", "business_id")
+
+
 def canonical_case(df: DataFrame, col: str) -> DataFrame:
     """Most frequent spelling per lower-cased name (first in order on ties)."""
     spelled = df.where(F.col(col).isNotNull()).groupBy(F.trim(col).alias("name")).agg(F.count(F.lit(1)).alias("n"))

@@ -360,3 +360,10 @@ def test_explanations_at_their_thresholds(spark):
     level = (2, 0.0, 0.5, 0.7, 4.85, 50.0, 0.5)
     got = rows(clean.venue_explanations(spark.createDataFrame([below, level], cols)))
     assert got[1]["explain_1"] == "Excellent customer ratings (4.5★)" and got[2]["explain_1"] == "Excellent customer ratings (4.8★)"
+
+
+def test_pool_rows_lists_every_venue(spark):
+    df = spark.createDataFrame([(i, "x" if i < 3 else "y", "s" if i < 5 else "u") for i in range(8)], "business_id int, city string, state string")
+    asked = spark.createDataFrame([(1, "x", "s"), (2, "none", "s"), (3, None, None)], "request_id int, city string, state string")
+    got = {tuple(r) for r in clean.pool_rows(df, asked, 3).collect()}
+    assert got == {(1, "city", i) for i in range(3)} | {(2, "state", i) for i in range(5)} | {(3, "all", i) for i in range(8)}
