@@ -51,15 +51,17 @@ def looking(points: DataFrame, metres: float, pos: tuple[str, str]) -> DataFrame
     return looks.withColumn("_cell", F.explode(around)).drop("_s")
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float, left_pos=("lat", "lon"), right_pos=("lat", "lon")) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, metres: float, left_pos=("lat", "lon"), right_pos=("lat", "lon"), small: bool = False) -> DataFrame:
     """All (left, right) pairs at most ``metres`` apart, with ``dist_m``. Column names of the sides must differ
     apart from the positions, which are dropped on the right.
 
     Each right point lies in one cell; each left point looks into the cells around it. Crowded cells are split by :func:`spread_join`.
+    A right side that the caller counted as ``small`` goes to every task instead, and the left rows stay where they are.
     """
     rest = [F.col(c) for c in right.columns if c not in right_pos]
     cells = in_cells(right, metres, right_pos).select("_band", "_cell", F.col(right_pos[0]).alias("_rlat"), F.col(right_pos[1]).alias("_rlon"), *rest)
-    met = spread_join(looking(left, metres, left_pos), cells, ["_band", "_cell"], both=True)
+    looks = looking(left, metres, left_pos)
+    met = looks.join(F.broadcast(cells), ["_band", "_cell"]) if small else spread_join(looks, cells, ["_band", "_cell"], both=True)
     dist = haversine_m(F.col(left_pos[0]), F.col(left_pos[1]), F.col("_rlat"), F.col("_rlon"))
     return met.withColumn("dist_m", dist).where(F.col("dist_m") <= metres).drop("_band", "_cell", "_rlat", "_rlon")
 
@@ -95,6 +97,13 @@ class Surroundings:
         return found.groupBy("q").agg(F.min("dist_m").alias("nearest_m"))
 
 
+def count_looks(left: DataFrame, right: DataFrame, metres: float, left_pos=("lat", "lon"), right_pos=("lat", "lon")) -> int:
+    """Pairs that :func:`radius_join` compares."""
+    looks = looking(left.select(*left_pos), metres, left_pos).groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("n"))
+    held = in_cells(right.select(*right_pos), metres, right_pos).groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("k"))
+    return looks.join(held, ["_band", "_cell"]).agg(F.sum(F.col("n") * F.col("k"))).first()[0] or 0
+
+
 def nearest_join(left: DataFrame, right: DataFrame, metres: float, left_key: str, right_key: str, left_pos=("lat", "lon"), right_pos=("lat", "lon")) -> DataFrame:
     """The nearest right point within ``metres`` per left point, smallest key on ties."""
     near = radius_join(left.select(left_key, *left_pos), right.select(right_key, *right_pos), metres, left_pos, right_pos)

@@ -19,9 +19,9 @@ from footfall.functions.scalar import (
     ride_cost_factor,
 )
 from footfall.operators.clean import NIGHTLIFE_WORDS, minmax
-from footfall.operators.geo import radius_join
+from footfall.operators.geo import count_looks, radius_join
 from footfall.operators.pyramid import Pyramid, members
-from footfall.operators.scale import attach, portable_hash, scalar, spread_join, top_k
+from footfall.operators.scale import attach, portable_hash, scalar, small_enough, spread_join, top_k
 from footfall.session import settle
 
 # Prior weights of the three objectives and the share given to the entropy weights.
@@ -52,6 +52,8 @@ def mobility(dist: Column, range_km: Column, parking: Column, transit: Column, s
 
 # How far from the middle of a user's places candidates may lie. A stated feature of the model: nothing is cut by number.
 CANDIDATE_KM = 10.0
+# Up to so many venues go to every task, and a task compares so many pairs of users and venues.
+SMALL_VENUES, TASK_PAIRS = 500_000, 4_000_000
 
 
 def candidate_venues(venues: DataFrame) -> DataFrame:
@@ -68,15 +70,22 @@ def candidate_venues(venues: DataFrame) -> DataFrame:
     )
 
 
-def objectives(users: DataFrame, venues: DataFrame, radius_km: float = CANDIDATE_KM) -> DataFrame:
+def objectives(users: DataFrame, venues: DataFrame, radius_km: float = CANDIDATE_KM, keep: Sequence[str] = ()) -> DataFrame:
     """One row per user and venue within ``radius_km`` of the user's middle with the three objectives. Users meet venues by
-    grid cell, so the rows follow the local density, not users times venues.
+    grid cell, so the rows follow the local density, not users times venues. Venues counted as few travel to the users, which are dealt by
+    user_id in tasks of bounded work, so that nothing per user shuffles the candidates. ``keep`` names further columns of users to pass on.
 
     ``users`` needs user_id, centroid_lat/lon, avg_visited_rating, spatial_range_km, parking_sensitivity, archetype,
     critic_tag.
     """
     cols = ["user_id", "centroid_lat", "centroid_lon", "avg_visited_rating", "critic_tag", "archetype", "parking_sensitivity", "spatial_range_km"]
-    met = radius_join(users.select(*cols), candidate_venues(venues), radius_km * 1000.0, ("centroid_lat", "centroid_lon"), ("latitude", "longitude"))
+    people, places = settle(users.select(*cols, *keep)), settle(candidate_venues(venues))
+    metres, at, pos = radius_km * 1000.0, ("centroid_lat", "centroid_lon"), ("latitude", "longitude")
+    small = small_enough(places, SMALL_VENUES)
+    if small:
+        tasks = -(-count_looks(people, places, metres, at, pos) // TASK_PAIRS)
+        people = people.repartition(max(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), "user_id")
+    met = radius_join(people, places, metres, at, pos, small)
     met = met.withColumn("dist_km", F.col("dist_m") / 1000.0)
     met = met.withColumn("base", base_utility(F.col("popularity"), F.col("repeat_user_rate")))
     reach = mobility(
@@ -87,7 +96,7 @@ def objectives(users: DataFrame, venues: DataFrame, radius_km: float = CANDIDATE
         "user_id", "business_id", F.col("venue_lat").alias("latitude"), F.col("venue_lon").alias("longitude"), F.col("cuisine_categories").alias("categories"), "avg_rating", "base",
         (F.col("base") * critic_penalty("critic_tag", "avg_visited_rating", "avg_rating")).alias("u_beh"),
         reach.alias("c_mob"),
-        context_score("peak_busyness", "avg_rating", "avg_visited_rating").alias("r_ctx"),
+        context_score("peak_busyness", "avg_rating", "avg_visited_rating").alias("r_ctx"), *keep,
     )
 
 
@@ -190,11 +199,16 @@ ABLATIONS = ("Full Model", "No Mobility (C_mob)", "No Context (R_ctx)", "No Crit
 
 def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Sequence[str] = ABLATIONS, radius_km: float = CANDIDATE_KM, ks: Sequence[int] = (5, 10, 20), weights: Sequence[float] = ABLATION_WEIGHTS, seed: int = 42) -> DataFrame:
     """NDCG and hits of each scoring variant against future visits, over users with a future venue among the
-    candidates. Objectives are computed once; each variant only re-orders them."""
+    candidates. Each user brings the future venues, so candidates are marked where they are made; each variant only re-orders them."""
+    from pyspark.sql import Window
+
     from footfall.operators.evaluate import mean_metrics, user_metrics
 
     wb, wm, wc = weights
-    scored = settle(objectives(users, venues, radius_km))
+    # A user's future venues are at most all venues.
+    future = test_pairs.select("user_id", "business_id").distinct().groupBy("user_id").agg(F.collect_list("business_id").alias("future"))
+    scored = objectives(users.join(future, "user_id"), venues, radius_km, keep=["future"])
+    rel = F.array_contains("future", F.col("business_id")).cast("int")
 
     def variant(kind):
         mob = F.lit(1.0) if kind == "No Mobility (C_mob)" else F.col("c_mob")
@@ -209,15 +223,11 @@ def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Se
         return F.round(fixed.get(kind, wb * beh + wm * mob + wc * ctx), 9)
 
     kinds_of = F.array(*[F.struct(F.lit(kind).alias("method"), variant(kind).alias("score")) for kind in kinds])
-    every = scored.select("user_id", "business_id", F.explode(kinds_of).alias("m")).select("user_id", "business_id", "m.method", "m.score")
+    every = scored.select("user_id", "business_id", rel.alias("rel"), kinds_of.alias("kinds"))
+    every = every.withColumn("n_relevant", F.sum("rel").over(Window.partitionBy("user_id"))).where("n_relevant > 0")
+    every = every.select("user_id", "business_id", "rel", "n_relevant", F.explode("kinds").alias("m")).select("user_id", "business_id", "rel", "n_relevant", "m.method", "m.score")
     lists = top_k(every, max(ks), [F.col("score").desc(), F.col("business_id")], ["user_id", "method"], "position")
-    future = test_pairs.join(scored.select("user_id", "business_id"), ["user_id", "business_id"], "left_semi")
-    relevant = future.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    marked = (
-        lists.join(relevant, "user_id")
-        .join(future.withColumn("rel", F.lit(1)), ["user_id", "business_id"], "left")
-        .select("method", "user_id", "position", F.coalesce("rel", F.lit(0)).alias("rel"), "n_relevant")
-    )
+    marked = lists.select("method", "user_id", "position", "rel", "n_relevant")
     return mean_metrics(user_metrics(marked, ["method"], ks, ideal="slice"), ["method"], ks)
 
 

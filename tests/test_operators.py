@@ -367,3 +367,17 @@ def test_pool_rows_lists_every_venue(spark):
     asked = spark.createDataFrame([(1, "x", "s"), (2, "none", "s"), (3, None, None)], "request_id int, city string, state string")
     got = {tuple(r) for r in clean.pool_rows(df, asked, 3).collect()}
     assert got == {(1, "city", i) for i in range(3)} | {(2, "state", i) for i in range(5)} | {(3, "all", i) for i in range(8)}
+
+
+def test_candidates_are_made_where_the_user_lies(spark, monkeypatch):
+    """Few venues travel to the users: candidates are weighted and ranked without being shuffled, and equal those met by cells."""
+    rng = np.random.default_rng(3)
+    users = [(i, 40 + float(x), -75 + float(y), 3.0, "Critic", "Explorer", 0.6, 4.0) for i, (x, y) in enumerate(rng.uniform(-0.2, 0.2, (30, 2)))]
+    venues = [(100 + i, 40 + float(x), -75 + float(y), 50 + i, 0.1, 3.5, 0.5, 0.5, 70.0, "Bars, Food") for i, (x, y) in enumerate(rng.uniform(-0.2, 0.2, (40, 2)))]
+    u = spark.createDataFrame(users, "user_id int, centroid_lat double, centroid_lon double, avg_visited_rating double, critic_tag string, archetype string, parking_sensitivity double, spatial_range_km double")
+    v = spark.createDataFrame(venues, "business_id int, latitude double, longitude double, popularity int, repeat_user_rate double, avg_rating double, parking_score double, transit_access_score double, peak_busyness double, cuisine_categories string")
+    best = recommend.score_candidates(u, v, keep=5)
+    got = {(r["user_id"], r["business_id"], r["rank"], r["score"]) for r in best.collect()}
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # initial and final plan show the dealt users
+    monkeypatch.setattr(recommend, "SMALL_VENUES", 0)
+    assert got == {(r["user_id"], r["business_id"], r["rank"], r["score"]) for r in recommend.score_candidates(u, v, keep=5).collect()} and len(got) > 50
