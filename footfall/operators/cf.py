@@ -6,12 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.scalar import ratio
 from footfall.operators.clean import minmax
-from footfall.operators.scale import attach, lookup_join, number_rows, portable_hash, scalar, small_enough, spread_join, top_k
+from footfall.operators.scale import hot_keys, lookup_join, number_rows, portable_hash, scalar, small_enough, spread_join, top_k
 from footfall.session import settle
 
 
@@ -22,27 +22,39 @@ def rows() -> Column:
 # ---------------------------------------------------------------- item similarity
 
 
-def co_weights(edges: DataFrame, weight: str = "weight") -> DataFrame:
-    """Sum over users of w_i x w_j for item pairs i < j. A user with many items is split over tasks, and products
-    are added up before they travel."""
-    left = edges.select("user_id", F.col("business_id").alias("i"), F.col(weight).alias("wi"))
-    right = edges.select("user_id", F.col("business_id").alias("j"), F.col(weight).alias("wj"))
-    met = spread_join(left, right, ["user_id"]).where(F.col("i") < F.col("j"))
-    return met.groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("s"))
+def baskets(edges: DataFrame, *columns: str) -> DataFrame:
+    """(user_id, items): the distinct items of a user in one row, so at most as many as there are items."""
+    items = F.collect_list(F.struct(F.col("business_id").alias("i"), *columns))
+    return edges.groupBy("user_id").agg(F.filter(items, lambda x: x["i"].isNotNull()).alias("items"))
 
 
 def item_cosines(edges: DataFrame) -> DataFrame:
-    """(i, j, similarity) in both directions for items with common users."""
+    """(i, j, similarity) in both directions for items with common users.
+
+    A user's items travel as one list to each of them, and pairs are made and added up where ``j`` lies, so that none is shuffled. The
+    lists of a hot ``j`` are cut by ``i`` into pieces that lie apart.
+    """
+    return item_vectors(edges).select(F.col("business_id").alias("j"), F.explode(F.arrays_zip("ids", "values")).alias("x")).select(
+        F.col("x.ids").alias("i"), "j", F.col("x.values").alias("similarity")
+    )
+
+
+def item_vectors(edges: DataFrame) -> DataFrame:
+    """(business_id, ids, values): the similarities of an item to the others, ids ascending; a hot item has several rows, each other item in one."""
     norms = edges.groupBy("business_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     norms = norms.withColumn("norm", F.when(F.col("norm") == 0, F.lit(1.0)).otherwise(F.col("norm")))
-    unit = lookup_join(edges, norms, ["business_id"]).select(
-        "user_id", "business_id", (F.col("weight") / F.col("norm")).alias("weight")
-    )
-    half = co_weights(unit)
-    both = F.array(
-        F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
-    )
-    return half.select(F.explode(both).alias("p"), F.col("s").alias("similarity")).select("p.i", "p.j", "similarity")
+    hot = F.broadcast(hot_keys(edges, ["business_id"]))
+    sent = baskets(edges, "weight").select("items", F.explode("items").alias("own")).select(F.col("own.i").alias("business_id"), F.col("own.weight").alias("w"), "items")
+    pieces = F.coalesce("pieces", F.lit(1))
+    sent = sent.join(hot, "business_id", "left").withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    part = F.filter("items", lambda x: (x["i"] != F.col("business_id")) & (F.pmod(F.xxhash64(x["i"]), F.col("pieces")) == F.col("piece")))
+    # Weights travel as they are, mostly small whole numbers; norms divide the sums.
+    dealt = sent.select("business_id", "piece", "w", part.alias("items")).repartition("business_id", "piece")
+    met = dealt.select("business_id", "piece", "w", F.explode("items").alias("x"))
+    sums = met.groupBy("business_id", "piece", F.col("x.i").alias("i")).agg(F.sum(F.col("w") * F.col("x.weight")).alias("s"))
+    scaled = lookup_join(lookup_join(sums, norms.select(F.col("business_id").alias("i"), F.col("norm").alias("norm_i")), ["i"]), norms, ["business_id"])
+    rows_ = scaled.groupBy("business_id", "piece").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("s") / (F.col("norm") * F.col("norm_i"))).alias("v")))).alias("x"))
+    return rows_.select("business_id", F.col("x.i").alias("ids"), F.col("x.v").alias("values"))
 
 
 def item_knn(edges: DataFrame, k: int = 30) -> DataFrame:
@@ -57,15 +69,61 @@ def item_knn(edges: DataFrame, k: int = 30) -> DataFrame:
 
 
 def item_knn_personal(edges: DataFrame, candidates: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
-    """(user, venue, score): summed similarity of a candidate to the user's venues, itself included with 1."""
-    sims = item_cosines(edges) if cosines is None else cosines
-    own = edges.select("user_id", F.col("business_id").alias("i"))
-    wanted = candidates.select("user_id", F.col("business_id").alias("j"))
-    met = spread_join(own, wanted, ["user_id"], both=True)
-    scored = met.join(sims, ["i", "j"], "left").withColumn(
-        "similarity", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
+    """(user, venue, score): summed similarity of a candidate to the user's venues, itself included with 1. Candidates are distinct pairs.
+
+    The user's venues travel as one list to each candidate, where its similarities lie in one vector; only lists and vectors are
+    shuffled, not their products. The users of a hot candidate are cut into pieces, each with a copy of the vector.
+    """
+    if cosines is None:
+        vectors = item_vectors(edges)
+    else:
+        vectors = cosines.groupBy(F.col("j").alias("business_id")).agg(F.sort_array(F.collect_list(F.struct("i", F.col("similarity").alias("v")))).alias("x"))
+        vectors = vectors.select("business_id", F.col("x.i").alias("ids"), F.col("x.v").alias("values"))
+    wanted = candidates.select("user_id", "business_id")
+    asked = spread_join(wanted, baskets(edges).select("user_id", F.col("items.i").alias("ids")), ["user_id"])
+    hot = F.broadcast(hot_keys(wanted, ["business_id"]))
+    pieces = F.coalesce("pieces", F.lit(1))
+    asked = asked.join(hot, "business_id", "left").select(
+        "business_id", F.pmod(F.xxhash64("user_id"), pieces).cast("int").alias("piece"), F.lit(1).alias("side"), "user_id", "ids", F.lit(None).cast("array<double>").alias("values")
     )
-    return scored.groupBy("user_id", F.col("j").alias("business_id")).agg(F.sum("similarity").alias("score"))
+    held = vectors.join(hot, "business_id", "left").select(
+        "business_id", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.lit(0).alias("side"), F.lit(None).cast(asked.schema["user_id"].dataType).alias("user_id"), "ids", "values"
+    )
+    met = held.unionByName(asked).repartition("business_id", "piece").sortWithinPartitions("business_id", "piece", "side")
+    def fit(batches):
+        """Scores of the rows of side 1, given the vector parts of side 0 before them; rows come by venue, piece and side."""
+        import numpy as np
+        import pyarrow as pa
+
+        at, ids, values = None, None, None
+        for batch in batches:
+            venue, piece, side, users, lists, sims = batch.columns
+            keys = list(zip(venue.to_pylist(), piece.to_pylist(), side.to_pylist()))
+            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]) if keys else ():
+                if keys[a][:2] != at:
+                    at, ids, values = keys[a][:2], np.array([]), np.array([])
+                flat = lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+                if keys[a][2] == 0:
+                    both = np.concatenate([values, sims.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)])
+                    flat = np.concatenate([ids, flat]) if len(ids) else flat
+                    order = np.argsort(flat, kind="stable")
+                    ids, values = flat[order], both[order]
+                    continue
+                found = np.zeros(len(flat))
+                if len(ids):
+                    place = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+                    found = np.where(ids[place] == flat, values[place], 0.0)
+                found[flat == at[0]] = 1.0
+                sizes = lists.slice(a, b - a).value_lengths().to_numpy()
+                scores = np.bincount(np.repeat(np.arange(b - a), sizes), weights=found, minlength=b - a)
+                out.append(pa.RecordBatch.from_arrays([users.slice(a, b - a), venue.slice(a, b - a), pa.array(scores)], names=["user_id", "business_id", "score"]))
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    types = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    return met.mapInArrow(fit, f"user_id {types['user_id']}, business_id {types['business_id']}, score double")
 
 
 # ---------------------------------------------------------------- factor models
@@ -169,6 +227,12 @@ def bpr_factors(
 # ---------------------------------------------------------------- blends
 
 
+def unit_of(col: str, per) -> Column:
+    """``col`` scaled to [0, 1] over a bounded window; a flat one keeps its distance from the minimum."""
+    v, lo, hi = F.col(col).cast("double"), F.min(col).over(per), F.max(col).over(per)
+    return F.when(F.col(col).isNotNull(), F.when(hi - lo > 1e-12, (v - lo) / (hi - lo)).otherwise(v - lo))
+
+
 def blend(a: DataFrame, b: DataFrame, lam: float) -> DataFrame:
     """lam x a + (1 - lam) x b per venue, both scaled to [0, 1] over all venues (missing = 0)."""
     both = a.select("business_id", F.col("score").alias("a")).join(b.select("business_id", F.col("score").alias("b")), "business_id", "outer")
@@ -189,9 +253,10 @@ def blend_parts(venue_scores: DataFrame, personal: DataFrame, candidates: DataFr
     joined = lookup_join(candidates.select("user_id", "business_id"), whole, ["business_id"], "left").join(
         personal.select("user_id", "business_id", F.col("score").alias("m")), ["user_id", "business_id"], "left"
     )
-    known = joined.groupBy("user_id").agg(F.count("m").alias("_k"))
-    filled = joined.join(known, "user_id").withColumn("m", F.when(F.col("_k") > 0, F.coalesce("m", F.lit(0.0))))
-    scaled = minmax(filled, "m", ["user_id"], "unit")
+    # A user's candidates are distinct venues, so the group is bounded; one shuffle serves all of its statistics.
+    per = Window.partitionBy("user_id")
+    filled = joined.withColumn("m", F.when(F.count("m").over(per) > 0, F.coalesce("m", F.lit(0.0))))
+    scaled = filled.withColumn("m", unit_of("m", per))
     return scaled.select("user_id", "business_id", F.coalesce("g", missing).alias("g"), F.coalesce("m", F.lit(0.5)).alias("m"))
 
 
@@ -202,7 +267,7 @@ def blend_personal(venue_scores: DataFrame, personal: DataFrame, candidates: Dat
 
 def blend_top(personal: DataFrame, venue_scores: DataFrame, k: int = 50, lam: float = 0.5) -> DataFrame:
     """The user's k best personal scores (scaled over all of the user's) blended with scaled venue scores."""
-    scaled = minmax(personal, "score", ["user_id"], "unit", "p")
+    scaled = personal.withColumn("p", unit_of("score", Window.partitionBy("user_id")))
     head = top_k(scaled, k, [F.col("score").desc(), F.col("business_id")], ["user_id"])
     whole = minmax(venue_scores.select("business_id", F.col("score").alias("g")), "g", (), "unit")
     return lookup_join(head, whole, ["business_id"], "left").select(
@@ -210,12 +275,35 @@ def blend_top(personal: DataFrame, venue_scores: DataFrame, k: int = 50, lam: fl
     )
 
 
+def weight_metrics(parts: DataFrame, train_pairs: DataFrame, test_pairs: DataFrame, lams: Sequence[float], decimals: int = 9) -> DataFrame:
+    """(lam, user_id, metrics): every user's list under every blend weight.
+
+    A user's distinct venues are one bounded row, ordered anew per weight as rows stream by: the grid is neither shuffled nor sorted as a table.
+    """
+    from footfall.operators.evaluate import KS, ideal_dcg
+
+    known = train_pairs.select("user_id", "business_id").join(parts.select("user_id", "business_id", "g", "m"), ["user_id", "business_id"], "left")
+    marked = known.join(test_pairs.withColumn("rel", F.lit(1)), ["user_id", "business_id"], "left")
+    items = F.collect_list(F.struct("business_id", "g", "m", F.coalesce("rel", F.lit(0)).alias("rel")))
+    lists = marked.groupBy("user_id").agg(items.alias("items")).where(F.size("items") >= 2).withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lams])))
+
+    def placed(x):
+        score = F.coalesce(F.round(F.col("lam") * x["g"] + (1 - F.col("lam")) * x["m"], decimals), F.lit(0.0))
+        return F.struct((-score).alias("down"), x["business_id"].alias("business_id"), x["rel"].alias("rel"))
+
+    head = F.slice(F.sort_array(F.transform("items", placed)), 1, max(KS))
+    gains = F.transform(head, lambda x, i: x["rel"] / F.log2(i + 2))
+    relevant = F.aggregate("items", F.lit(0), lambda acc, x: acc + x["rel"])
+    per_user = lists.select("lam", "user_id", gains.alias("gains"), relevant.alias("n_relevant"))
+    dcg = lambda k: F.aggregate(F.slice("gains", 1, k), F.lit(0.0), lambda acc, x: acc + x)
+    metrics = [c for k in KS for c in (ratio(dcg(k), ideal_dcg(F.col("n_relevant"), k), 0.0).alias(f"ndcg_{k}"), (dcg(k) > 0).cast("double").alias(f"hit_{k}"))]
+    return per_user.select("lam", "user_id", *metrics)
+
+
 def tune_blend(parts: DataFrame, train_pairs: DataFrame, test_pairs: DataFrame, lams: Sequence[float], metric: str = "ndcg_10", decimals: int = 9) -> DataFrame:
     """Metrics per blend weight, all weights in one job, with the best one marked (smallest weight on ties)."""
-    from footfall.operators.evaluate import mean_metrics, rerank, user_metrics
+    from footfall.operators.evaluate import mean_metrics
 
-    grid = parts.withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lams])))
-    scores = grid.select("lam", "user_id", "business_id", F.round(F.col("lam") * F.col("g") + (1 - F.col("lam")) * F.col("m"), decimals).alias("score"))
-    means = mean_metrics(user_metrics(rerank(train_pairs, test_pairs, scores, ["lam"]), ["lam"]), ["lam"])
+    means = settle(mean_metrics(weight_metrics(parts, train_pairs, test_pairs, lams, decimals), ["lam"]))
     best = means.agg(F.min_by("lam", F.struct(-F.round(metric, decimals), F.col("lam"))).alias("b"))
     return means.withColumn("is_best", F.col("lam") == scalar(best))

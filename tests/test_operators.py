@@ -381,3 +381,49 @@ def test_candidates_are_made_where_the_user_lies(spark, monkeypatch):
     assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # initial and final plan show the dealt users
     monkeypatch.setattr(recommend, "SMALL_VENUES", 0)
     assert got == {(r["user_id"], r["business_id"], r["rank"], r["score"]) for r in recommend.score_candidates(u, v, keep=5).collect()} and len(got) > 50
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("chunk", [None, 1])
+def test_personal_scores_travel_as_lists(spark, monkeypatch, chunk):
+    """Products of items are neither shuffled nor joined; hot items cut into pieces give the same scores."""
+    if chunk:
+        monkeypatch.setattr(cf, "hot_keys", lambda df, on: scale.hot_keys(df, on, chunk))
+    rng = np.random.default_rng(4)
+    w = {(int(u), int(i)): float(1 + (u + i) % 3) for u, i in zip(rng.integers(0, 40, 300), rng.integers(0, 25, 300))}
+    w[1000, 1000] = 2.0
+    edges = spark.createDataFrame([(u, i, x) for (u, i), x in w.items()], "user_id long, business_id long, weight double")
+    pairs = [p for p in w if p[0] % 2 == 0] + [(2, 999)]
+    m = np.zeros((1001, 1001))
+    for (u, i), x in w.items():
+        m[u, i] = x
+    unit = m / np.maximum(np.sqrt((m * m).sum(0)), 1e-300)
+    cos = unit.T @ unit
+    np.fill_diagonal(cos, 1.0)
+    out = cf.item_knn_personal(edges, spark.createDataFrame(pairs, "user_id long, business_id long"))
+    got = {(r[0], r[1]): r[2] for r in out.collect()}
+    assert set(got) == set(pairs)
+    for u, j in pairs:
+        assert got[u, j] == pytest.approx(cos[m[u] > 0, j].sum(), abs=1e-12)
+    assert "hashpartitioning(i#" not in plan_of(out) and "hashpartitioning(j#" not in plan_of(out)
+    sims = {(r["i"], r["j"]): r["similarity"] for r in cf.item_cosines(edges).collect()}
+    assert set(sims) == {(i, j) for i, j in zip(*cos.nonzero()) if i != j}
+    assert all(v == pytest.approx(cos[k], abs=1e-12) for k, v in sims.items())
+
+
+def test_blend_weights_are_not_shuffled(spark):
+    parts = spark.createDataFrame([(u, b, ((u * 7 + b * 3) % 10) / 10, ((u + b * 5) % 10) / 10) for u in range(30) for b in range(1 + u % 25)], "user_id int, business_id int, g double, m double")
+    train = parts.select("user_id", "business_id")
+    test = train.where("(user_id + business_id) % 4 = 0")
+    lams = [0.0, 0.3, 1.0]
+    grid = parts.crossJoin(spark.createDataFrame([(x,) for x in lams], "lam double")).select("lam", "user_id", "business_id", F.round(F.col("lam") * F.col("g") + (1 - F.col("lam")) * F.col("m"), 9).alias("score"))
+    plain = evaluate.user_metrics(evaluate.rerank(train, test, grid, ["lam"]), ["lam"])
+    got = cf.weight_metrics(parts, train, test, lams)
+    key = lambda r: (r["lam"], r["user_id"])
+    want = {key(r): r.asDict() for r in plain.collect()}
+    have = {key(r): r.asDict() for r in got.collect()}
+    assert set(want) == set(have) and all(have[k] == pytest.approx(want[k]) for k in want)
+    assert "Window" not in plan_of(got) and "hashpartitioning(lam" not in plan_of(got)
