@@ -427,3 +427,37 @@ def test_blend_weights_are_not_shuffled(spark):
     have = {key(r): r.asDict() for r in got.collect()}
     assert set(want) == set(have) and all(have[k] == pytest.approx(want[k]) for k in want)
     assert "Window" not in plan_of(got) and "hashpartitioning(lam" not in plan_of(got)
+
+
+@pytest.mark.parametrize("longest", [4096, 2])
+def test_friends_travel_as_lists(spark, monkeypatch, longest):
+    """Pairs made through friends are not shuffled; cut lists and many partitions give the same ones."""
+    monkeypatch.setattr(linkage, "LIST", longest)
+    monkeypatch.setattr(linkage, "MEETINGS", 50)
+    rng = np.random.default_rng(7)
+    raw = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 40, (90, 2)).tolist() if a != b} | {(0, i) for i in range(1, 25)}
+    edges = spark.createDataFrame(sorted(raw), "user_a int, user_b int")
+    friends = {}
+    for a, b in raw:
+        friends.setdefault(a, set()).add(b)
+        friends.setdefault(b, set()).add(a)
+    linked = {u: 1 / (1 + u) for u in range(0, 40, 3)}
+    nodes = spark.createDataFrame(sorted(linked.items()), "b_user_id int, confidence double")
+    far = linkage.friends_of_friends(edges, nodes, "b_user_id", "full", "confidence")
+    want = {(u, w, c) for u, c in linked.items() for m in friends.get(u, ()) for w in friends[m] if w != u and w not in friends[u]}
+    assert sorted(map(tuple, far.select("u", "w", "confidence").collect())) == sorted(want)
+    got = {tuple(r) for r in linkage.friends_of_friends(edges, nodes, "b_user_id").collect()}
+    known = {(u, w) for u in linked for w in friends.get(u, ())}
+    touching = known | {(w, u) for u, w in known}
+    assert got == {(u, w) for u, m in known for x, w in touching if x == m and w != u and (u, w) not in known}
+    visits = spark.createDataFrame([(int(u), int(v)) for u, v in rng.integers(0, 40, (200, 2))] + [(None, 1)], "user_id int, business_id int")
+    seen = {(r[0], r[1]) for r in visits.collect() if r[0] is not None}
+    counts = {}
+    for u in friends:
+        for w, v in seen:
+            if w in friends[u]:
+                counts[u, v] = counts.get((u, v), 0) + 1
+    out = linkage.friend_visits(edges, visits)
+    assert {(r[0], r[1]): r[2] for r in out.collect()} == counts
+    assert "hashpartitioning(user_id" in plan_of(out) and ", business_id#" not in "".join(x for x in plan_of(out).split("\n") if "hashpartitioning(u" in x)
+    assert not any("hashpartitioning(u#" in x and ", w#" in x for x in plan_of(far).split("\n"))
