@@ -461,3 +461,19 @@ def test_friends_travel_as_lists(spark, monkeypatch, longest):
     assert {(r[0], r[1]): r[2] for r in out.collect()} == counts
     assert "hashpartitioning(user_id" in plan_of(out) and ", business_id#" not in "".join(x for x in plan_of(out).split("\n") if "hashpartitioning(u" in x)
     assert not any("hashpartitioning(u#" in x and ", w#" in x for x in plan_of(far).split("\n"))
+
+
+def test_ranking_meets_edges_once(spark, monkeypatch):
+    """All settings ride on one row per node and a user's edges lie together; the scores are those of each setting alone."""
+    rng = np.random.default_rng(9)
+    edges = spark.createDataFrame([(int(u), int(v), float(1 + (u * v) % 3)) for u, v in {(a, b) for a, b in rng.integers(0, 30, (250, 2)).tolist()}], "user_id int, business_id int, weight double")
+    written = []
+    monkeypatch.setattr(graph, "settle", lambda df: written.append(df) or scale.settle(df))
+    cells = [(0.5, 0.85), (0.85, 0.5), (0.7, 0.7)]
+    for light in (2_000_000, 0):
+        together = {(r["cell"], r["business_id"]): r["score"] for r in graph.birank(edges, max_iter=2, tol=None, cells=cells, max_broadcast=light, chunk=3).venues.collect()}
+        for c, (a, b) in enumerate(cells):
+            alone = graph.birank(edges, alpha=a, beta=b, max_iter=2, tol=None).venues.collect()
+            assert {r["business_id"]: pytest.approx(r["score"]) for r in alone} == {v: s for (k, v), s in together.items() if k == c}
+    edge = next(df for df in written if "w_user" in df.columns)
+    assert edge.withColumn("p", F.spark_partition_id()).groupBy("user_id").agg(F.count_distinct("p").alias("n")).agg(F.max("n")).first()[0] == 1
