@@ -591,3 +591,26 @@ def test_one_seed_is_enough(spark):
     got = collected(chains.fuzzy_passages(frame(spark, rows)))
     assert all((r["start"], r["words"], r["source_doc_id"], r["differing"]) == (60, 48, r["doc_id"] - 1, 8) for r in got)
     assert len(got) >= 40
+
+
+def test_seeds_are_shuffled_once(spark):
+    """A seed's first place is carried over batches and rows alike count once; nothing but the seeds themselves is shuffled."""
+    import random
+
+    from footfall.llm import chains as ch
+
+    draw = random.Random(3)
+    data = [(draw.randrange(12), draw.randrange(40), draw.randrange(6)) for _ in range(3000)]
+    found = spark.createDataFrame(data, "seed long, doc_id long, place long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = ch.first_places(found)
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    first = {}
+    for s, d, p in sorted(data):
+        first.setdefault(s, (d, p))
+    assert got == sorted((d, p, *first[s]) for s, d, p in set(data) if (d, p) != first[s])
+    assert ch.first_places(found)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
