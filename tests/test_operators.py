@@ -477,3 +477,13 @@ def test_ranking_meets_edges_once(spark, monkeypatch):
             assert {r["business_id"]: pytest.approx(r["score"]) for r in alone} == {v: s for (k, v), s in together.items() if k == c}
     edge = next(df for df in written if "w_user" in df.columns)
     assert edge.withColumn("p", F.spark_partition_id()).groupBy("user_id").agg(F.count_distinct("p").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """Rows of one key add up, null and empty texts have no terms, and rows of their own are counted without a shuffle."""
+    data = [(1, "b a b"), (2, ""), (3, None), (4, "a c"), (4, "c d"), (None, "e"), (None, "e f"), (5, "c")]
+    docs = spark.createDataFrame(data, "doc int, text string")
+    got = sorted((tuple(r) for r in text.term_counts(docs, "doc", "text").collect()), key=str)
+    assert got == sorted([(1, "a", 1), (1, "b", 2), (4, "a", 1), (4, "c", 2), (4, "d", 1), (None, "e", 2), (None, "f", 1), (5, "c", 1)], key=str)
+    runs = docs.select(text.counted(F.split("text", " ")).alias("x"))
+    assert "Exchange" not in plan_of(runs) and [tuple(x) for x in runs.first()["x"]] == [("a", 1), ("b", 2)]
