@@ -614,3 +614,32 @@ def test_seeds_are_shuffled_once(spark):
         first.setdefault(s, (d, p))
     assert got == sorted((d, p, *first[s]) for s, d, p in set(data) if (d, p) != first[s])
     assert ch.first_places(found)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_pages_travel_once_for_the_chains_of_a_part(spark):
+    """A text that repeats a line has a chain per repeat; their pages overlap and are named once."""
+    line = [f"u{i}" for i in range(11)]
+    texts = chains._texts(frame(spark, [(1, " ".join(line * 300), "en")]))
+    met = chains.first_places(chains.seeds(texts, chains.GRAM, chains.STRETCH)).where("place > source_place")
+    found = collected(chains.chain_anchors(met, chains.GRAM))
+    n_pages = -(-len(line) * 300 // chains.PAGE)
+    assert len(found) >= 299 and sum(len(r["pages"] or []) for r in found) <= n_pages + 2
+    assert not any(r["source_pages"] for r in found)
+    got = collected(chains.fuzzy_passages(frame(spark, [(1, " ".join(line * 300), "en")])))
+    # The last three repeats have less than 40 words left, and none before the first.
+    assert len(got) >= 296 and all(r["differing"] == 0 for r in got)
+
+
+def test_reach_does_not_hang_on_the_hash_of_a_text(spark):
+    """Passages whose one seed is at their end: words before it count from the same reach, whatever the text's hash."""
+    fresh = iter(range(100_000))
+    line = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        passage = line(66)
+        copy = list(passage)
+        for j in range(4, 56, 5):  # equal stretches of 4 words before the last ten
+            copy[j] = line(1)[0]
+        rows += [(2 * i, " ".join([*line(200), *passage, *line(60)]), "en"), (2 * i + 1, " ".join([*line(200), *copy, *line(60)]), "en")]
+    got = collected(chains.fuzzy_passages(frame(spark, rows)))
+    assert {(r["doc_id"], r["start"], r["words"], r["differing"]) for r in got} == {(2 * i + 1, 200, 66, 11) for i in range(40)}
