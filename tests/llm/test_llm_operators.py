@@ -643,3 +643,30 @@ def test_reach_does_not_hang_on_the_hash_of_a_text(spark):
         rows += [(2 * i, " ".join([*line(200), *passage, *line(60)]), "en"), (2 * i + 1, " ".join([*line(200), *copy, *line(60)]), "en")]
     got = collected(chains.fuzzy_passages(frame(spark, rows)))
     assert {(r["doc_id"], r["start"], r["words"], r["differing"]) for r in got} == {(2 * i + 1, 200, 66, 11) for i in range(40)}
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_plain_extensions_equal_extend(step):
+    """Extensions that stop at the first difference, all at once, against one at a time."""
+    rng, stopped = np.random.default_rng(4), 0
+    pairs = []
+    for _ in range(400):
+        a, b = (rng.integers(0, 4, n).astype("<u4") for n in rng.integers(1, 130, 2))
+        same = min(len(a), len(b), int(rng.integers(0, 130)))
+        b[:same] = a[:same]
+        pairs.append((a, b))
+    flat = [x[::step] for pair in pairs for x in pair]
+    ends = np.cumsum([len(x) for x in flat])
+    at = np.r_[0, ends[:-1]] if step == 1 else ends - 1
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    words = np.concatenate(flat)
+    run = chains.equal_run(words, at[::2], at[1::2], np.minimum(n, m), step)
+    on = chains.goes_on(words, at[::2] + step * run, at[1::2] + step * run, n - run, m - run, step)
+    for (a, b), r, goes in zip(pairs, run.tolist(), on.tolist()):
+        assert (a[:r] == b[:r]).all() and (r == min(len(a), len(b)) or a[r] != b[r])
+        if r < min(len(a), len(b)):
+            assert goes == any(len(a[r + i : r + i + 3]) == len(b[r + j : r + j + 3]) == 3 and (a[r + i : r + i + 3] == b[r + j : r + j + 3]).all() for _, i, j in chains._STEPS)
+        if not goes or r == min(len(a), len(b)):
+            stopped += 1
+            assert chains.extend(a, b) == (r, r, 0)
+    assert stopped > 50 and on.any()
