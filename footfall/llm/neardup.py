@@ -8,8 +8,8 @@ rule out is no link. The rest is confirmed on the full sets.
 
 No bucket is expanded into all its pairs. First each member meets its bucket's smallest node. Then, in buckets whose members
 are still of several components, the members outside the largest component meet the others as blocks of sketches inside
-tasks, and the likeliest partners in each other component are confirmed; that goes on with ever more partners until
-none is left untested.
+tasks, and the likeliest partners in each other component are confirmed; that goes on with ever more partners, in buckets that
+had more to offer, until none is left untested.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ DEVIATIONS = 5
 BLOCK = 1024
 PER_GROUP = 64
 FIRST_PARTNERS = 4
-MORE_PARTNERS = 4
+MORE_PARTNERS = 16
 SET_BITS = 1024
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def bands_for(percent: int, rows: int = ROWS, missed: float = MISSED) -> int:
@@ -150,6 +150,15 @@ def signatures(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     return keyed.mapInArrow(sign, SIGNED)
 
 
+def _listed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` that a Bloom filter of ``keys`` (both have ``key``) doesn't rule out; all of them once it were too large to broadcast.
+
+    Spark would move a semi-join with the same keys below the filter and shuffle all rows: settle the rows first, or use an inner join.
+    """
+    blocks = max(1, -(-keys.count() * BITS_PER_URL // (64 * WORDS)))
+    return maybe_listed(rows, blocked_bloom(keys, blocks), blocks) if blocks * ROW_BYTES <= BROADCAST_BYTES else rows
+
+
 def full_sets(keyed: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """node, n, parity (odd sketch of the set), shingles (sorted 64-bit hashes as bytes) of the nodes in ``reps`` (node, k1, k2)."""
 
@@ -166,7 +175,8 @@ def full_sets(keyed: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
                 )
 
     # Rows alike share a key; one of each is enough.
-    texts = keyed.join(reps, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+    some = _listed(keyed.withColumn("key", F.col("k1")), reps.select(F.col("k1").alias("key")))
+    texts = some.join(reps, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
     return texts.mapInArrow(fill, "node binary, n bigint, parity array<bigint>, shingles binary")
 
 
@@ -225,7 +235,7 @@ def _differing(a: str, b: str, bits: int):
 
 def other_components(members: DataFrame, sketches: DataFrame, most: int, percent: int, partners: int) -> DataFrame:
     """Pairs (a, b) of bucket members in different components that their sketches don't rule out: for each member outside
-    its bucket's largest component the ``partners`` likeliest in each other component; ``cut`` says that there were more.
+    its bucket's largest component the ``partners`` likeliest in each other component. If there were more, ``key`` names the bucket.
 
     ``members`` has key, node, comp; ``sketches`` has node, sketch, n, parity, which only travel for buckets of several components. Probes and targets meet in blocks of ``BLOCK``.
     """
@@ -282,9 +292,10 @@ def other_components(members: DataFrame, sketches: DataFrame, most: int, percent
             found = pairs(group)
             if found:
                 a, b, cut = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+                keys = [group[0][0] if c else None for c in cut]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(keys, pa.int64())], names=["a", "b", "key"])
 
-    return dealt.mapInArrow(meet, "a binary, b binary, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return dealt.mapInArrow(meet, "a binary, b binary, key bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -305,11 +316,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     short = F.xxhash64("node")
     shared = keys.groupBy("key").agg(F.min(short).alias("a"), F.max(short).alias("b")).where(F.col("a") != F.col("b")).select("key")
     shared = settled(shared)
-    blocks = max(1, -(-shared.count() * BITS_PER_URL // (64 * WORDS)))
-    some = keys
-    if blocks * ROW_BYTES <= BROADCAST_BYTES:
-        some = maybe_listed(keys, blocked_bloom(shared, blocks), blocks)
-    members = settled(some.join(shared, "key", "left_semi").distinct())
+    members = settled(settled(_listed(keys, shared)).join(shared, "key", "left_semi").distinct())
     leads = members.groupBy("key").agg(F.min("node").alias("lead"))
     buckets = members.join(leads, "key")
     reps = whole.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("r"), F.first("sketch").alias("sketch"))
@@ -325,24 +332,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     stars = settled(weighed(buckets.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
     tested, edges, partners = stars, settled(confirm(stars, sets, percent)), FIRST_PARTNERS
-    comp = components(edges)
+    comp, open_ = components(edges), members
     while True:
-        placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        placed = open_.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         found = settled(other_components(placed, sketches, most, percent, partners))
-        fresh = settled(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        cut = not found.where("cut").isEmpty()
-        if fresh.isEmpty():
-            if not cut:
-                break
-            partners *= MORE_PARTNERS
-            continue
-        tested = tested.unionByName(fresh)
-        linked = settled(confirm(fresh, sets, percent))
-        if not linked.isEmpty():
-            edges = edges.unionByName(linked)
-            comp = components(edges)
-        elif not cut:
+        fresh = settled(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            tested = tested.unionByName(fresh)
+            linked = settled(confirm(fresh, sets, percent))
+            if not linked.isEmpty():
+                edges = edges.unionByName(linked)
+                comp = components(edges)
+        # A bucket that gave all its pairs is done, as components only grow.
+        cut = found.where(F.col("key").isNotNull()).select("key").distinct()
+        if cut.isEmpty():
             break
+        open_ = settled(open_.join(cut, "key", "left_semi"))
         partners *= MORE_PARTNERS
     rows = signed.select("doc_id", "k1", "k2", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2"))

@@ -670,3 +670,24 @@ def test_plain_extensions_equal_extend(step):
             stopped += 1
             assert chains.extend(a, b) == (r, r, 0)
     assert stopped > 50 and on.any()
+
+
+def test_only_what_is_needed_travels_for_near_duplicates(spark, monkeypatch):
+    """Keys that the filter rules out are not shuffled, and buckets that gave all their pairs don't come again."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, 60, 10**6)), "en") for i in range(300)]
+    base = words(rng, 200)
+    for i in range(1000, 1060):
+        near = list(base)
+        for j in rng.sample(range(200), rng.randrange(2, 5)):
+            near[j] = f"z{i}x{j}"
+        rows.append((i, " ".join(near), "en"))
+    monkeypatch.setattr(neardup, "FIRST_PARTNERS", 1)
+    settled, meet, sizes, given = neardup.settled, neardup.other_components, [], []
+    monkeypatch.setattr(neardup, "settled", lambda df: sizes.append((df.columns, (out := settled(df)).count())) or out)
+    monkeypatch.setattr(neardup, "other_components", lambda members, *rest: given.append(members.count()) or meet(members, *rest))
+    got = collected(neardup.near_duplicates(frame(spark, rows), 3, 85))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute_groups(rows, 3, 85)
+    candidates = next(n for columns, n in sizes if columns == ["node", "key"])
+    assert candidates < 0.5 * neardup.bands_for(85) * len(rows)
+    assert len(given) > 1 and given[-1] < given[0]
