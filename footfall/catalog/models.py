@@ -206,9 +206,11 @@ def _(v):
 def _(v):
     """Hotel guests: missing values by the median, counts cut at the 99 % quantile, four named clusters."""
     from footfall.operators.clean import winsorize
+    from footfall.session import settle
 
     cols = ["total_hotel_reviews", "n_unique_hotels", "weekday_fraction", "hotel_frequency", "n_states_visited", "n_cities_visited", "hotel_city_diversity"]
-    users = sg.impute_median(ft.hotel_user_features(v.reviews, v.businesses), cols)
+    # Medians, quantiles and scales each read the users: their features are made once.
+    users = sg.impute_median(settle(ft.hotel_user_features(v.reviews, v.businesses).select("user_id", *cols)), cols)
     out, _ = sg.cluster(winsorize(users, cols), cols, 4, restarts=2)
     return sg.name_hotel_clusters(out).select("user_id", "cluster", "segment")
 

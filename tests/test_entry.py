@@ -19,3 +19,24 @@ assert set(e.oracle_sql()) <= names
 
 def test_queries_without_the_training_part():
     subprocess.run([sys.executable, "-c", BLOCKED], check=True, timeout=120)
+
+
+def test_guest_features_are_made_once(spark, monkeypatch):
+    """Medians, quantiles and clusters read the users' features; these are not computed again for each."""
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+
+    from footfall.catalog import models
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    once = F.udf(count, "long").asNondeterministic()
+    real = models.ft.hotel_user_features
+    monkeypatch.setattr(models.ft, "hotel_user_features", lambda *a: real(*a).withColumn("total_hotel_reviews", once("total_hotel_reviews")))
+    folder = "/root/testdata/sf0.001"
+    n = entry.queries()["hotel_guest_clusters"](spark, folder).count()
+    assert 0 < seen.value <= n
