@@ -18,6 +18,8 @@ from footfall.operators.scale import spread_join
 
 # Near copies by the measure of the near-copy stage.
 SHINGLE, PERCENT = 5, 80
+# Workers that carry the memory of all stages remember fewer ids; those that come again are encoded again.
+REMEMBERED = 24_000_000
 
 
 def _without(docs: DataFrame, keys: DataFrame, salt: int) -> DataFrame:
@@ -100,7 +102,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left into sequences of 1,024 ids."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, remembered=REMEMBERED)
 
 
 STAGES = [

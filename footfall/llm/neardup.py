@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.shared import content_keys, settled
+from footfall.llm.shared import content_keys, settled, text_batches
 from footfall.llm.urls import BITS_PER_URL, BROADCAST_BYTES, ROW_BYTES, WORDS, blocked_bloom, maybe_listed
 
 SHINGLE = 5
@@ -307,7 +307,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     which is kept then. Repeated rows get a row each; those with the smallest doc_id are all kept. Other columns are ignored.
     """
     keyed = _keyed(docs)
-    signed = settled(signatures(keyed, shingle, percent))
+    with text_batches(docs.sparkSession):
+        signed = settled(signatures(keyed, shingle, percent))
     samples = bands_for(percent) * ROWS
     most = most_differing_bits(percent, samples)
     whole = signed.where(F.col("n_shingles") > 0)
@@ -321,7 +322,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     buckets = members.join(leads, "key")
     reps = whole.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("r"), F.first("sketch").alias("sketch"))
     involved = settled(members.select("node").distinct().join(reps, "node").select("node", "r.k1", "r.k2", "sketch"))
-    sets = settled(full_sets(keyed, involved.drop("sketch"), shingle))
+    with text_batches(docs.sparkSession):
+        sets = settled(full_sets(keyed, involved.drop("sketch"), shingle))
     sketches = settled(involved.select("node", "sketch").join(sets.select("node", "n", "parity"), "node"))
 
     def weighed(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import shared
-from footfall.llm.tokens import Encoder, texts_of
+from footfall.llm.tokens import REMEMBERED, Encoder, texts_of
 
 OPEN = 32_768
 # Pieces that one packer sees; their number grows with the input, so does the number of packers.
@@ -52,16 +52,17 @@ class BestFit:
         return number
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaces: str = "kept") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaces: str = "kept", remembered: int = REMEMBERED) -> DataFrame:
     """Encode each text and cut it: doc_id, piece, start, length, ids_crc32. A document of more than ``capacity`` ids becomes
     pieces of that length, the first taking what is left over. A null text has the end id only; repeated rows are kept.
+    ``remembered`` bounds half the bytes of ids that a worker remembers.
     """
 
     def cut(batches):
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        encoder = Encoder.of(tokenizer, spaces)
+        encoder = Encoder.of(tokenizer, spaces, remembered)
         for batch in batches:
             for i, texts in texts_of(batch, "text"):
                 out = [[], [], [], [], []]
@@ -84,7 +85,8 @@ def place_pieces(pieces: DataFrame, capacity: int, bins: int = OPEN, per_packer:
     longest first and in a fixed order, so a task that runs again gives the same rows. The share of unfilled
     sequences falls with the number of pieces a packer sees. An empty table gives none.
     """
-    pieces = shared.settled(pieces)
+    with shared.text_batches(pieces.sparkSession):
+        pieces = shared.settled(pieces)
     packers = max(1, -(-pieces.count() // per_packer))
     columns = pieces.columns
 
@@ -104,6 +106,6 @@ def place_pieces(pieces: DataFrame, capacity: int, bins: int = OPEN, per_packer:
     return dealt.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``capacity`` ids."""
-    return place_pieces(cut_pieces(docs, tokenizer, end_id, capacity), capacity)
+    return place_pieces(cut_pieces(docs, tokenizer, end_id, capacity, remembered=remembered), capacity)

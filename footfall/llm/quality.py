@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.shared import ascii_lower, content_keys, settled
+from footfall.llm.shared import ascii_lower, content_keys, settled, text_batches
 
 SALT = 41
 # Fixed values of the base rules.
@@ -264,7 +264,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
     empty label table are harmless. Other columns are ignored. k1 and k2 are keys of the row's id and text.
     """
     known = settled(wanted_labels(labels))
-    measured = settled(features(docs, stratum, learn_marked(docs, known)))
+    marked = learn_marked(docs, known)
+    with text_batches(docs.sparkSession):
+        measured = settled(features(docs, stratum, marked))
     cutoffs = choose_cutoffs(measured, known, limit, error)
     exceeded = F.lit(False)
     for rule, value in rule_values().items():

@@ -1,15 +1,17 @@
 """Ids of whole texts from the tokenizers library, remembering the ids of pieces that come again.
 
 Both kinds of vocabulary cut a text at blanks before any merge, so a text's ids are those of its blank-separated pieces
-one after the other, unless an added token stands in it. Most pieces of a corpus repeat; each is encoded once per worker and then looked up as bytes.
+one after the other, unless an added token stands in it. Most pieces of a corpus repeat; a worker looks the ids of those that came lately up as bytes.
 """
 
 from __future__ import annotations
 
 import re
 
-# Pieces kept per Python worker (about 0.2 kB each). Beyond it the memory starts anew; results don't depend on it.
-REMEMBERED = 1_000_000
+# Bytes of pieces and ids that a worker's memory holds before it starts anew beside the older half; results don't depend on it.
+REMEMBERED = 96_000_000
+# What a piece takes: its place in the dictionary and the heads of two objects, and for each character some bytes of text and ids.
+HEADS, PER_CHARACTER = 180, 5
 ENCODE_AT_ONCE = 2_000
 # Where cutting before a blank would cut inside a run of white space that the byte-level pattern takes as one piece.
 _UNSAFE = re.compile(r"\s \s|\s $")
@@ -32,13 +34,36 @@ class _ByteLevel(dict):
         return value
 
 
+class _Memory:
+    """Ids of the pieces that came lately. What came since the last turn is in ``now``; a piece of the half before is taken over when it
+    comes again, so that frequent pieces stay and rare ones go, and at most two halves are held."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.size = 0
+
+    def turn(self, most: int) -> None:
+        """Let the older half go if the other one holds ``most`` bytes."""
+        if self.size > most:
+            self.now, self.before, self.size = {}, self.now, 0
+
+    def unknown(self, pieces: set[str]) -> list[str]:
+        """Those of ``pieces`` that are to be learnt; the others are in ``now`` after it."""
+        now, before = self.now, self.before
+        new = [x for x in pieces if x not in now]
+        now.update({x: before[x] for x in new if x in before})
+        self.size += HEADS * len(new) + PER_CHARACTER * sum(map(len, new))
+        return [x for x in new if x not in now] if before else new
+
+
 class Encoder:
     """``ids(texts, end_id)``: for each text the ids as little-endian unsigned 32-bit integers, end id included.
 
     ``spaces``: "dropped" where the vocabulary ignores white space and case, "kept" where a blank belongs to the word after it.
     """
 
-    def __init__(self, path: str, spaces: str):
+    def __init__(self, path: str, spaces: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,20 +73,21 @@ class Encoder:
         self.added = [t.content for t in added if not t.normalized]
         self.folded = [t.content.lower() for t in added if t.normalized]
         self.model = self.tokenizer.model
-        self.spaces = spaces
+        self.spaces, self.remembered = spaces, remembered
         self.bytes = _ByteLevel()
         # Ids of pieces at the start of a text, and of those after a blank.
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if spaces == "dropped" else {}
+        self.first = _Memory()
+        self.later = self.first if spaces == "dropped" else _Memory()
 
     @classmethod
-    def of(cls, path: str, spaces: str) -> "Encoder":
+    def of(cls, path: str, spaces: str, remembered: int = REMEMBERED) -> "Encoder":
         """This worker's encoder of a vocabulary file."""
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if (path, spaces) not in _encoders:
             _encoders[path, spaces] = cls(path, spaces)
+        _encoders[path, spaces].remembered = remembered
         return _encoders[path, spaces]
 
     def _word(self, word: str, blank: str) -> bytes:
@@ -69,27 +95,29 @@ class Encoder:
         found = self.model.tokenize((blank + word).translate(self.bytes))
         return b"".join([t.id.to_bytes(4, "little") for t in found])
 
-    def _learn(self, known: dict[str, bytes], pieces: list[str], blank: str) -> None:
+    def _learn(self, known: _Memory, pieces: set[str], blank: str) -> None:
         """Ids of new pieces: words by the model, what may be cut further by the whole library."""
-        rest = []
-        for piece in pieces:
+        now, before, marked, rest = known.now, known.before, self.first.now, []
+        for piece in known.unknown(pieces):
             found = _WORD_AND_MARKS.match(piece)
             # Below U+0130 a letter has one lower case and is composed.
             if not found or not found[1].isalpha() or max(found[1]) >= "\u0130":
                 rest.append(piece)
                 continue
             word, marks = found[1].lower() if self.spaces == "dropped" else found[1], found[2]
-            if word not in known:
-                known[word] = self._word(word, blank)
+            if word not in now:
+                now[word] = before.get(word) or self._word(word, blank)
+                known.size += HEADS + PER_CHARACTER * len(word) if word != piece else 0
             if marks:
-                if marks not in self.first:
-                    self.first[marks] = self._whole([marks])[0]
-                known[piece] = known[word] + self.first[marks]
+                if marks not in marked:
+                    marked[marks] = self._whole([marks])[0]
+                    self.first.size += HEADS + PER_CHARACTER * len(marks)
+                now[piece] = now[word] + marked[marks]
             elif word != piece:
-                known[piece] = known[word]
+                now[piece] = now[word]
         for i in range(0, len(rest), ENCODE_AT_ONCE):
             part = rest[i : i + ENCODE_AT_ONCE]
-            known.update(zip(part, self._whole([blank + x for x in part])))
+            now.update(zip(part, self._whole([blank + x for x in part])))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -110,14 +138,13 @@ class Encoder:
         return text.split(" ")
 
     def ids(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        if len(self.first) + len(self.later) > REMEMBERED * (2 if self.first is self.later else 1):
-            self.first.clear()
-            self.later.clear()
+        for memory in (self.first, self.later):
+            memory.turn(self.remembered)
         end = int(end_id).to_bytes(4, "little")
         cut = [self._cut(t) if t else [] for t in texts]
-        first, later = self.first, self.later
-        self._learn(first, [x for x in {c[0] for c in cut if c} if x not in first], "")
-        self._learn(later, [x for x in set().union(*[c for c in cut if c]) if x not in later], "" if self.spaces == "dropped" else " ")
+        self._learn(self.first, {c[0] for c in cut if c}, "")
+        self._learn(self.later, set().union(*[c for c in cut if c]), "" if self.spaces == "dropped" else " ")
+        first, later = self.first.now, self.later.now
         get, out = later.__getitem__, []
         for text, pieces in zip(texts, cut):
             if pieces is None:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,6 +88,50 @@ def test_encoder_equals_the_library_on_random_texts(path, spaces):
     assert [t for t, g in zip(texts, got) if g != plain_ids(path, t, 9).tobytes()] == []
 
 
+@pytest.mark.parametrize("path, spaces", [(WORD_BPE, "dropped"), (BYTE_BPE, "kept")])
+def test_the_encoder_holds_bounded_bytes_and_keeps_what_comes_again(path, spaces):
+    rng = random.Random(12)
+    often = "The usual words, again."
+    texts = [f"{often} {' '.join(''.join(rng.choices('abcdefghij', k=8)) + rng.choice(['', '.', '1']) for _ in range(40))} {'z' * 5000}{i}" for i in range(300)]
+    encoder, most, learnt = Encoder(path, spaces, remembered=200_000), 0, []
+    word = encoder._word
+    encoder._word = lambda w, blank: learnt.append(w) or word(w, blank)
+    for text in texts:
+        assert encoder.ids([text], 9) == [plain_ids(path, text, 9).tobytes()]
+        halves = {id(h): h for m in (encoder.first, encoder.later) for h in (m.now, m.before)}.values()
+        most = max(most, sum(sys.getsizeof(k) + sys.getsizeof(v) for h in halves for k, v in h.items()))
+    # Two halves for each of two places of a word, and the last text of each half.
+    assert most < 900_000
+    assert learnt.count("usual") == 1
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    rows = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words "), 2000), F.col("id").cast("string")).alias("text"))
+    usual = spark.conf.get(shared.BATCH_BYTES)
+    settled, seen = shared.settled, []
+    monkeypatch.setattr(shared, "settled", lambda df: seen.append(spark.conf.get(shared.BATCH_BYTES)) or settled(df))
+    monkeypatch.setattr(neardup, "settled", shared.settled)
+    monkeypatch.setattr(quality, "settled", shared.settled)
+    assert packing.pack_documents(rows.limit(3), BYTE_BPE).count() > 0 and shared.TEXT_BATCH in seen
+    seen.clear()
+    signed = neardup.near_duplicates(rows.limit(3), 5, 80)
+    assert signed.count() == 3 and seen.count(shared.TEXT_BATCH) == 2
+    seen.clear()
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality.judge(rows.limit(3).withColumn("lang", F.lit("en")), labels).count() == 3 and seen.count(shared.TEXT_BATCH) == 1
+    assert spark.conf.get(shared.BATCH_BYTES) == usual
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    with shared.text_batches(spark):
+        held = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert len(held) > 1 and max(held) < 5_000_000
+
+
 @pytest.mark.parametrize("high", [1, 2, 300, 50_000, 2**31, 2**64 - 1])
 @pytest.mark.parametrize("n", [0, 1, 239, 1024, 1025, 7000])
 def test_simple8b_round_trip(n, high):
