@@ -736,3 +736,24 @@ def test_only_what_is_needed_travels_for_near_duplicates(spark, monkeypatch):
     candidates = next(n for columns, n in sizes if columns == ["node", "key"])
     assert candidates < 0.5 * neardup.bands_for(85) * len(rows)
     assert len(given) > 1 and given[-1] < given[0]
+
+
+def test_a_passage_whose_parts_stand_in_other_documents_is_found(spark):
+    """Halves in two documents, the whole in a third and a fourth: the third is the first that has it in one piece."""
+    fresh = iter(range(100_000))
+    line = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows, sizes = [], [40, 45, 60, 78] * 5
+    for i, n in enumerate(sizes):
+        passage = line(n)
+        parts = (passage[: n // 2], passage[n // 2 :], passage, passage)
+        rows += [(4 * i + j, " ".join([*line(60), *p, *line(60)]), "en") for j, p in enumerate(parts)]
+    got = collected(chains.fuzzy_passages(frame(spark, rows)))
+    assert {(r["doc_id"], r["start"], r["words"], r["source_doc_id"], r["source_start"], r["differing"]) for r in got} == {(4 * i + 3, 60, n, 4 * i + 2, 60, 0) for i, n in enumerate(sizes)}
+
+
+def test_long_seeds_go_on_where_passages_end(spark):
+    """Words covered by one passage or by several that touch are not asked for again; others are."""
+    met = spark.createDataFrame([(1, p, 0, 7) for p in (0, 9, 10, 40, 45, 46, 90)] + [(2, 10, 0, 7)], "doc_id long, place long, source_id long, source_place long")
+    passages = spark.createDataFrame([(1, 10, 40), (1, 50, 30)], "doc_id long, start long, words long")
+    got = sorted((r["doc_id"], r["place"]) for r in chains.beyond(met, passages, 35).collect())
+    assert got == [(1, 0), (1, 9), (1, 46), (1, 90), (2, 10)]
