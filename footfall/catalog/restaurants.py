@@ -221,7 +221,8 @@ SELECT user_id, items[chosen[n]].id AS business_id, CAST(n AS BIGINT) AS rank FR
 )
 def _(v):
     """Twenty recommendations per user, re-ranked for diversity."""
-    return rec.diversify(rec.score_candidates(tagged(v), popular(v))).select("user_id", "business_id", F.col("rank").cast("bigint").alias("rank"))
+    best = rec.score_candidates(tagged(v), popular(v)).select("user_id", "business_id", "rank", "score", "latitude", "longitude", "categories")
+    return rec.diversify(best).select("user_id", "business_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("category_jaccard", "U7",

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalar import (
+    EARTH_RADIUS_M,
     contains_any,
     context_score,
     critic_penalty,
     distance_decay,
-    haversine_km,
     haversine_m,
     ratio,
     ride_cost_factor,
@@ -142,50 +142,101 @@ def score_candidates(users: DataFrame, venues: DataFrame, radius_km: float = CAN
 CATEGORY_SHARE, NEAR_SHARE, NEAR_KM = 0.7, 0.3, 5.0
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two venues (kinds, latitude, longitude): Jaccard of categories and nearness."""
-    common = F.size(F.array_intersect(a["kinds"], b["kinds"])) / F.greatest(F.size(F.array_union(a["kinds"], b["kinds"])), F.lit(1))
-    km = haversine_km(a["latitude"], a["longitude"], b["latitude"], b["longitude"])
-    return CATEGORY_SHARE * common + NEAR_SHARE * F.greatest(F.lit(0.0), 1 - km / NEAR_KM)
+# Users whose lists are re-ranked at once.
+FOLD_USERS = 512
+
+
+def likeness(common, km):
+    """Likeness of venues from the Jaccard of their categories and their distance; an unknown distance adds nothing."""
+    import numpy as np
+
+    return CATEGORY_SHARE * common + NEAR_SHARE * np.where(np.isnan(km), 0.0, np.maximum(0.0, 1 - km / NEAR_KM))
+
+
+def _diverse_order(sizes, score, lat, lon, kinds, k: int, lam: float, decimals: int):
+    """Of lists that lie one after another, the places chosen one by one: list, and place among all items, in the order of choice."""
+    import numpy as np
+
+    n, ends = len(sizes), np.cumsum(sizes)
+    starts, whose = ends - sizes, np.repeat(np.arange(n), sizes)
+    at = np.full((n, int(sizes.max(initial=0))), -1)
+    at[whose, np.arange(len(whose)) - starts[whose]] = np.arange(len(whose))
+    filled = at >= 0
+    # The distinct words of an item side by side; each text is split once.
+    texts, text_of = np.unique(kinds, return_inverse=True)
+    vocabulary: dict[str, int] = {}
+    split = [list({vocabulary.setdefault(w, len(vocabulary)) for w in t.split(", ")}) for t in texts.tolist()]
+    text_sizes = np.array([len(s) for s in split], np.int64)
+    words_of = text_sizes[text_of]
+    flat, text_starts = np.array([w for s in split for w in s], np.int64), np.cumsum(text_sizes) - text_sizes
+    first = np.cumsum(words_of) - words_of
+    word = flat[np.repeat(text_starts[text_of] - first, words_of) + np.arange(words_of.sum())]
+    owner = np.repeat(whose, words_of)
+    marked = np.zeros((n, len(vocabulary)), bool)
+    la = np.radians(lat)
+    cos = np.cos(la)
+    like, left = np.zeros(len(whose)), np.ones(len(whose), bool)
+    lists, picks = [], []
+    for step in range(min(k, at.shape[1])):
+        value = score if step == 0 else lam * score - (1 - lam) * like
+        # Half away from zero, as Spark rounds.
+        gain = np.where(left, np.copysign(np.floor(np.abs(value) * 10.0**decimals + 0.5), value), -np.inf)
+        live = np.flatnonzero(sizes > step)
+        grid = np.where(filled[live], gain[at[live]], -np.inf)
+        pick = at[live, grid.argmax(axis=1)]
+        lists.append(live)
+        picks.append(pick)
+        left[pick] = False
+        chosen = np.zeros(n, np.int64)
+        chosen[live] = pick
+        other = chosen[whose]
+        taken = np.zeros(len(whose), bool)
+        taken[pick] = True
+        now = np.repeat(taken, words_of)
+        marked[owner[now], word[now]] = True
+        both = np.add.reduceat(marked[owner, word].astype(np.int64), first)
+        marked[owner[now], word[now]] = False
+        common = both / (words_of + words_of[other] - both)
+        h = np.sin((la[other] - la) / 2) ** 2 + cos * cos[other] * np.sin(np.radians(lon[other] - lon) / 2) ** 2
+        km = 2 * EARTH_RADIUS_M / 1000 * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+        like = np.maximum(like, likeness(common, km))
+    if not lists:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.repeat(np.arange(1, len(lists) + 1), [len(x) for x in lists])
+    user, pick = np.concatenate(lists), np.concatenate(picks)
+    by = np.lexsort((place, user))
+    return user[by], pick[by], place[by]
 
 
 def diversify(df: DataFrame, k: int = 20, lam: float = 0.7, decimals: int = 9) -> DataFrame:
     """Re-rank each user's kept candidates (a bounded handful, from :func:`weighted_top`) for diversity.
 
     The greedy choice is a fold over the user's list: of those left, the one with the best balance of score and likeness to what is chosen
-    comes next, the better ranked one on ties; each one's likeness to the chosen set is kept as a running maximum.
+    comes next, the better ranked one on ties; each one's likeness to the chosen set is kept as a running maximum. A step is
+    taken for the lists of many users at once. Lists are made where the candidates lie if those are dealt by user_id.
     """
-    kinds = F.split(F.coalesce("categories", F.lit("")), ", ").alias("kinds")
-    item = F.struct("rank", *[c for c in df.columns if c not in ("user_id", "rank")], kinds)
-    # At most the kept candidates of a user, a number fixed by the caller. The fold takes far longer than its rows let expect, so
-    # it isn't left to be put into few tasks by size.
-    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
-    lists = dealt.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    items = F.col("items")
-    start = F.struct(F.array().cast("array<int>").alias("chosen"), F.transform(items, lambda x: F.lit(0.0)).alias("like"))
-
-    def choose(state: Column, _: Column) -> Column:
-        first = F.size(state["chosen"]) == 0
-        gain = F.transform(items, lambda x, i: F.when(
-            ~F.array_contains(state["chosen"], i),
-            F.round(F.when(first, x["score"]).otherwise(lam * x["score"] - (1 - lam) * F.get(state["like"], i)), decimals),
-        ))
-        return F.struct(state["chosen"].alias("chosen"), state["like"].alias("like"), (F.array_position(gain, F.array_max(gain)) - 1).cast("int").alias("pick"))
-
-    def follow(state: Column, step: Column) -> Column:
-        picked = choose(state, step)
-        # The pick is computed once per step: a one-element array binds it.
-        bound = F.transform(F.array(picked), lambda p: F.struct(
-            F.array_append(p["chosen"], p["pick"]).alias("chosen"),
-            F.zip_with(items, p["like"], lambda x, old: F.greatest(old, likeness(x, F.get(items, p["pick"])))).alias("like"),
-        ))
-        return F.get(bound, F.lit(0))
-
-    steps = F.sequence(F.lit(1), F.least(F.lit(k), F.size(items)))
-    chosen = F.aggregate(steps, start, follow, lambda s: s["chosen"])
-    placed = lists.select("user_id", "items", F.posexplode(chosen).alias("_place", "_i")).select("user_id", F.get(items, F.col("_i")).alias("_x"), "_place")
-    columns = {c: F.col(f"_x.{c}") for c in df.columns if c not in ("user_id", "rank")} | {"user_id": F.col("user_id"), "rank": (F.col("_place") + 1).cast(df.schema["rank"].dataType)}
-    return placed.select(*[columns[c].alias(c) for c in df.columns])
+    columns = ["rank", *[c for c in df.columns if c not in ("user_id", "rank")]]
+    # At most the kept candidates of a user, a number fixed by the caller.
+    lists = df.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def fold(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, FOLD_USERS):
+                users, items = batch.column(0).slice(i, FOLD_USERS), batch.column(1).slice(i, FOLD_USERS)
+                flat = items.flatten()
+                fields = dict(zip(columns, flat.flatten()))
+                score, lat, lon = (fields[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("score", "latitude", "longitude"))
+                kinds = np.array(fields["categories"].fill_null("").to_pylist(), object)
+                user, pick, place = _diverse_order(items.value_lengths().to_numpy(), score, lat, lon, kinds, k, lam, decimals)
+                out = {c: a.take(pa.array(pick)) for c, a in fields.items()} | {"user_id": users.take(pa.array(user))}
+                out["rank"] = pa.array(place).cast(fields["rank"].type)
+                yield pa.RecordBatch.from_arrays([out[c] for c in types], names=list(types))
+
+    return lists.mapInArrow(fold, ", ".join(f"`{c}` {x}" for c, x in types.items()))
 
 
 def mean_weights(recommended: DataFrame, columns: Sequence[str] = OBJECTIVES) -> DataFrame:

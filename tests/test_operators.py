@@ -487,3 +487,38 @@ def test_terms_are_counted_in_their_row(spark):
     assert got == sorted([(1, "a", 1), (1, "b", 2), (4, "a", 1), (4, "c", 2), (4, "d", 1), (None, "e", 2), (None, "f", 1), (5, "c", 1)], key=str)
     runs = docs.select(text.counted(F.split("text", " ")).alias("x"))
     assert "Exchange" not in plan_of(runs) and [tuple(x) for x in runs.first()["x"]] == [("a", 1), ("b", 2)]
+
+
+def test_diversity_of_many_lists_equals_one_by_one(spark, monkeypatch):
+    """Lists of several users and batches against a plain loop; lists stay where candidates dealt by user lie."""
+    import random
+
+    monkeypatch.setattr(recommend, "FOLD_USERS", 3)
+    rng = random.Random(6)
+    kinds = [None, "", "a", "a, b", "b, a, a", "c, b", "d"]
+    rows_ = []
+    for u in range(17):
+        for i in range(rng.choice([1, 2, 7, 30])):
+            rows_.append((f"u{u}", i, i + 1, round(rng.random(), 2), 40 + rng.random() / 20, -75 + rng.random() / 20, rng.choice(kinds)))
+    df = spark.createDataFrame(rows_, "user_id string, business_id int, rank bigint, score double, latitude double, longitude double, categories string")
+
+    def like(a, b):
+        x, y = (set((r[6] or "").split(", ")) for r in (a, b))
+        p, q = (math.radians(r[4]) for r in (a, b))
+        h = math.sin((p - q) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(a[5] - b[5]) / 2) ** 2
+        return 0.7 * len(x & y) / len(x | y) + 0.3 * max(0.0, 1 - 2 * sc.EARTH_RADIUS_M / 1000 * math.asin(math.sqrt(h)) / 5)
+
+    want = []
+    for u in {r[0] for r in rows_}:
+        left, chosen = [r for r in rows_ if r[0] == u], []
+        while left and len(chosen) < 20:
+            best = max(left, key=lambda r: (round(r[3] if not chosen else 0.7 * r[3] - 0.3 * max(like(r, c) for c in chosen), 9), -r[2]))
+            left.remove(best)
+            chosen.append(best)
+            want.append((u, best[1], len(chosen)))
+    out = recommend.diversify(df)
+    assert out.columns == df.columns and out.schema == df.schema
+    assert sorted((r["user_id"], r["business_id"], r["rank"]) for r in out.collect()) == sorted(want)
+    dealt = recommend.diversify(df.repartition(4, "user_id"))
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert recommend.diversify(df.limit(0)).count() == 0
