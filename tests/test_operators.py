@@ -522,3 +522,17 @@ def test_diversity_of_many_lists_equals_one_by_one(spark, monkeypatch):
     dealt = recommend.diversify(df.repartition(4, "user_id"))
     assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert recommend.diversify(df.limit(0)).count() == 0
+
+
+def test_method_table_makes_its_users_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows_ = [(m, u, float((u * 7 + len(m)) % 11) / 11) for m in ("popularity", "random") for u in range(40)]
+    df = spark.createDataFrame(rows_, "method string, user_id int, ndcg_10 double").withColumn("hit_10", F.lit(1.0))
+    got = evaluate.method_table(df.mapInArrow(count, df.schema), "popularity", 20, ks=(10,)).collect()
+    assert seen.value == len(rows_) and {r["method"]: r["n_users"] for r in got} == {"popularity": 40, "random": 40}
