@@ -166,15 +166,24 @@ def global_scores(user_factors: DataFrame, venue_factors: DataFrame, rank: int)
     return venue_factors.withColumn("_m", scalar(mean)).select("business_id", dot(F.col("factors"), F.col("_m")).alias("score"))
 
 
+# Rank by which the venues that may travel are counted.
+FULL_RANK = 64
+
+
 def bpr_factors(
     edges: DataFrame, rank: int = 64, epochs: int = 30, rate: float = 0.05, reg: float = 0.01, seed: int = 42, max_broadcast: int = 200_000
 ) -> tuple[DataFrame, DataFrame]:
     """Pairwise-ranking factors. Every epoch draws, by hash, one venue the user has not been to for each known pair,
-    and moves all factors along the summed gradients of that epoch. Gradients are added up before they travel."""
+    and moves all factors along the summed gradients of that epoch. Gradients are added up before they travel.
+
+    Venues travel to every task while their factors are as many numbers as ``max_broadcast`` venues of ``FULL_RANK`` have; then a user's venues
+    are one list, met by the user's factors, and no pair is shuffled."""
     pos = settle(edges.select("user_id", "business_id").distinct())
     items = settle(number_rows(pos.select("business_id").distinct(), [F.col("business_id")], name="pos"))
     n_items = scalar(items.agg(rows().alias("n")))
-    light = small_enough(items, max_broadcast)
+    light = small_enough(items, max_broadcast * FULL_RANK // rank)
+    # At most all venues.
+    lists = settle(pos.groupBy("user_id").agg(F.collect_list("business_id").alias("items"))) if light else None
 
     def start(df, key):
         def draw(i):
@@ -193,13 +202,16 @@ def bpr_factors(
         return F.array(*[F.sum(F.col(col)[i]) for i in range(rank)])
 
     for epoch in range(epochs):
-        pick = F.pmod(portable_hash(F.lit(f"{seed}-e{epoch}"), F.col("user_id").cast("string"), F.col("business_id").cast("string")), n_items) + 1
-        drawn = pos.withColumn("pos", pick)
-        other = items.select("pos", F.col("business_id").alias("j"))
-        drawn = (drawn.join(F.broadcast(other), "pos") if light else drawn.join(other, "pos")).drop("pos")
-        seen = pos.select("user_id", F.col("business_id").alias("j"))
-        triples = drawn.join(seen, ["user_id", "j"], "left_anti").select("user_id", F.col("business_id").alias("i"), "j")
-        full = meet(meet(triples.join(uf.withColumnRenamed("f", "fu"), "user_id"), vf, "fi", "i"), vf, "fj", "j")
+        pick = F.pmod(portable_hash(F.lit(f"{seed}-e{epoch}"), F.col("user_id").cast("string"), F.col("i").cast("string")), n_items) + 1
+        other, fu = items.select("pos", F.col("business_id").alias("j")), uf.withColumnRenamed("f", "fu")
+        if light:
+            drawn = lists.join(fu, "user_id").select("*", F.explode("items").alias("i")).withColumn("pos", pick).join(F.broadcast(other), "pos")
+            triples = drawn.where(~F.array_contains("items", F.col("j"))).select("user_id", "i", "j", "fu")
+        else:
+            drawn = pos.select("user_id", F.col("business_id").alias("i")).withColumn("pos", pick).join(other, "pos")
+            seen = pos.select("user_id", F.col("business_id").alias("j"))
+            triples = drawn.join(seen, ["user_id", "j"], "left_anti").select("user_id", "i", "j").join(fu, "user_id")
+        full = meet(meet(triples, vf, "fi", "i"), vf, "fj", "j")
         lead = F.zip_with("fi", "fj", lambda x, y: x - y)
         full = full.withColumn("lead", lead)
         s = 1 / (1 + F.exp(F.least(dot(F.col("fu"), F.col("lead")), F.lit(700.0))))

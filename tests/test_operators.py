@@ -536,3 +536,13 @@ def test_method_table_makes_its_users_once(spark):
     df = spark.createDataFrame(rows_, "method string, user_id int, ndcg_10 double").withColumn("hit_10", F.lit(1.0))
     got = evaluate.method_table(df.mapInArrow(count, df.schema), "popularity", 20, ks=(10,)).collect()
     assert seen.value == len(rows_) and {r["method"]: r["n_users"] for r in got} == {"popularity": 40, "random": 40}
+
+
+def test_factors_learnt_from_lists_equal_those_of_pairs(spark, monkeypatch):
+    """Venues travel by what their factors weigh, not by their number; lists of a user's venues give the same draws and sums."""
+    edges = spark.createDataFrame([(u, v) for u in range(30) for v in range(40) if (u * 7 + v * 11) % 5 == 0 or u == 3 and v < 35], "user_id int, business_id int")
+    pairs = [{r[0]: r[1] for r in x.collect()} for x in cf.bpr_factors(edges, rank=4, epochs=2, max_broadcast=2)]
+    monkeypatch.setattr(cf, "spread_join", lambda *_: pytest.fail("vectors are shuffled"))
+    lists = [{r[0]: r[1] for r in x.collect()} for x in cf.bpr_factors(edges, rank=4, epochs=2, max_broadcast=3)]
+    for a, b in zip(pairs, lists):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-12, atol=1e-15) for k in a)
