@@ -248,11 +248,44 @@ ABLATION_WEIGHTS = (0.55, 0.45, 0.00)
 ABLATIONS = ("Full Model", "No Mobility (C_mob)", "No Context (R_ctx)", "No Critic Penalty", "Popularity", "Rating", "Random")
 
 
+def _first_places(lists: DataFrame, kinds: Sequence[str], n: int, decimals: int) -> DataFrame:
+    """(method, user_id, position, rel, n_relevant): the first ``n`` of each user's ``items`` by each variant's score s0, s1, ..., ties by venue.
+
+    Scores are rounded so that equal sums in another order stay ties, half away from zero as Spark does; a missing score comes last.
+    """
+
+    def order(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, FOLD_USERS):
+                users, items = batch.column(0).slice(i, FOLD_USERS), batch.column(1).slice(i, FOLD_USERS)
+                sizes = items.value_lengths().to_numpy()
+                venue, rel, *scores = items.flatten().flatten()
+                # By user and venue first, so that a stable sort by score leaves ties in the order of venues.
+                whose = np.repeat(np.arange(len(sizes)), sizes)
+                table = pa.table({"u": whose, "v": venue})
+                base = pa.compute.sort_indices(table, [("u", "ascending"), ("v", "ascending")]).to_numpy()
+                rel = rel.to_numpy(zero_copy_only=False)
+                relevant = np.bincount(whose, weights=rel, minlength=len(sizes)).astype(np.int64)
+                place = np.arange(len(whose)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                head = place < n
+                for kind, score in zip(kinds, scores):
+                    value = score.to_numpy(zero_copy_only=False)[base]
+                    value = np.copysign(np.floor(np.abs(value) * 10.0**decimals + 0.5), value)
+                    by = base[np.lexsort((-value, whose))][head]
+                    user = whose[head]
+                    columns = [pa.array([kind] * len(by)), users.take(pa.array(user)), pa.array(place[head] + 1), pa.array(rel[by].astype(np.int32)), pa.array(relevant[user])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["method", "user_id", "position", "rel", "n_relevant"])
+
+    return lists.mapInArrow(order, f"method string, user_id {lists.schema['user_id'].dataType.simpleString()}, position bigint, rel int, n_relevant bigint")
+
+
 def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Sequence[str] = ABLATIONS, radius_km: float = CANDIDATE_KM, ks: Sequence[int] = (5, 10, 20), weights: Sequence[float] = ABLATION_WEIGHTS, seed: int = 42) -> DataFrame:
     """NDCG and hits of each scoring variant against future visits, over users with a future venue among the
     candidates. Each user brings the future venues, so candidates are marked where they are made; each variant only re-orders them."""
-    from pyspark.sql import Window
-
     from footfall.operators.evaluate import mean_metrics, user_metrics
 
     wb, wm, wc = weights
@@ -270,15 +303,12 @@ def ablate(users: DataFrame, venues: DataFrame, test_pairs: DataFrame, kinds: Se
             "Rating": F.col("avg_rating").cast("double"),
             "Random": portable_hash(F.lit(str(seed)), F.col("user_id").cast("string"), F.col("business_id").cast("string")) / F.lit(4294967296.0),
         }
-        # Rounded so that equal sums in another order stay ties, decided by venue id.
-        return F.round(fixed.get(kind, wb * beh + wm * mob + wc * ctx), 9)
-
-    kinds_of = F.array(*[F.struct(F.lit(kind).alias("method"), variant(kind).alias("score")) for kind in kinds])
-    every = scored.select("user_id", "business_id", rel.alias("rel"), kinds_of.alias("kinds"))
-    every = every.withColumn("n_relevant", F.sum("rel").over(Window.partitionBy("user_id"))).where("n_relevant > 0")
-    every = every.select("user_id", "business_id", "rel", "n_relevant", F.explode("kinds").alias("m")).select("user_id", "business_id", "rel", "n_relevant", "m.method", "m.score")
-    lists = top_k(every, max(ks), [F.col("score").desc(), F.col("business_id")], ["user_id", "method"], "position")
-    marked = lists.select("method", "user_id", "position", "rel", "n_relevant")
+        return fixed.get(kind, wb * beh + wm * mob + wc * ctx)
+
+    # Candidates of a user, at most the venues near them, become one list where they lie; each variant orders the lists of many users at once.
+    item = F.struct("business_id", rel.alias("rel"), *[variant(kind).alias(f"s{i}") for i, kind in enumerate(kinds)])
+    lists = scored.groupBy("user_id").agg(F.collect_list(item).alias("items")).where(F.exists("items", lambda x: x["rel"] == 1))
+    marked = _first_places(lists, list(kinds), max(ks), decimals=9)
     return mean_metrics(user_metrics(marked, ["method"], ks, ideal="slice"), ["method"], ks)
 
 

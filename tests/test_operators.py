@@ -546,3 +546,24 @@ def test_factors_learnt_from_lists_equal_those_of_pairs(spark, monkeypatch):
     lists = [{r[0]: r[1] for r in x.collect()} for x in cf.bpr_factors(edges, rank=4, epochs=2, max_broadcast=3)]
     for a, b in zip(pairs, lists):
         assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-12, atol=1e-15) for k in a)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_variants_order_the_lists_of_many_users(spark, monkeypatch, kind):
+    """First places by each variant's score, rounded, ties by venue, against sorting one list after another."""
+    import random
+
+    monkeypatch.setattr(recommend, "FOLD_USERS", 3)
+    rng = random.Random(8)
+    rows_ = [(f"u{u}", v, rng.randrange(2), rng.randrange(5) / 4 + rng.choice([0.0, 2e-10]), rng.random()) for u in range(11) for v in rng.sample(range(200), rng.choice([1, 4, 30]))]
+    df = spark.createDataFrame(rows_, "user_id string, business_id bigint, rel int, s0 double, s1 double").withColumn("business_id", F.col("business_id").cast(kind))
+    lists = df.groupBy("user_id").agg(F.collect_list(F.struct("business_id", "rel", "s0", "s1")).alias("items"))
+    got = sorted(map(tuple, recommend._first_places(lists, ["one", "two"], 7, 9).collect()))
+    venue = str if kind == "string" else int
+    want = []
+    for u in {r[0] for r in rows_}:
+        mine = [r for r in rows_ if r[0] == u]
+        for m, name in ((3, "one"), (4, "two")):
+            best = sorted(mine, key=lambda r: (-round(r[m], 9), venue(r[1])))[:7]
+            want += [(name, u, i, r[2], sum(x[2] for x in mine)) for i, r in enumerate(best, 1)]
+    assert got == sorted(want)
